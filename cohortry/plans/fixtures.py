@@ -145,14 +145,17 @@ PRED_SQL = (SCORED_SQL + ",\npred AS (SELECT cohort, model, label, row_id, y_tru
 VAL_SQL = (PRED_SQL + ",\nval AS (SELECT cohort, model, label, row_id, y_true, score_raw"
            " FROM scored WHERE split = 'val' AND cohort = 'main')")
 
-# Running counts at or above each distinct score, per cell.
-CUM_SQL = """
-counts AS (SELECT cohort, model, label, score_raw AS score, sum(y_true)::BIGINT AS p,
-  sum(1 - y_true)::BIGINT AS n FROM pred GROUP BY ALL),
-cum AS (SELECT *, (sum(p) OVER w)::BIGINT AS tp, (sum(n) OVER w)::BIGINT AS fp,
-  (sum(p) OVER (PARTITION BY cohort, model, label))::BIGINT AS pos,
-  (sum(n) OVER (PARTITION BY cohort, model, label))::BIGINT AS neg
-  FROM counts WINDOW w AS (PARTITION BY cohort, model, label ORDER BY score DESC))"""
+
+
+def cum_sql(src: str = "pred", keys: str = "cohort, model, label", out: str = "cum") -> str:
+    """Running counts at or above each distinct score, per cell."""
+    return f"""
+{out}_counts AS (SELECT {keys}, score_raw AS score, sum(y_true)::BIGINT AS p,
+  sum(1 - y_true)::BIGINT AS n FROM {src} GROUP BY ALL),
+{out} AS (SELECT *, (sum(p) OVER w)::BIGINT AS tp, (sum(n) OVER w)::BIGINT AS fp,
+  (sum(p) OVER (PARTITION BY {keys}))::BIGINT AS pos,
+  (sum(n) OVER (PARTITION BY {keys}))::BIGINT AS neg
+  FROM {out}_counts WINDOW w AS (PARTITION BY {keys} ORDER BY score DESC))"""
 
 
 def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
