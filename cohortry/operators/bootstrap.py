@@ -5,112 +5,232 @@ key and the draw number. So no table of resamples exists, tasks agree without
 talking, and models scored on the same rows get the same draws. The size of a
 draw varies around n, unlike a draw of exactly n rows; that is the usual form
 for distributed data and gives the same spread for large n.
+
+Rows are never repeated per draw. They are spread once by (cell, score range);
+inside a range the weights of all draws are made and summed with numpy, and only
+a few sums per range and draw leave the task. Spark adds the ranges up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections import Counter
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortry.functions.hashing import draw_hash, poisson_weight, row_lane
+from cohortry.functions import hashing
 from cohortry.functions.rates import RATE_METRICS, rates
-from cohortry.operators.prefix import RANGE_ROWS, running_totals, split_points
+from cohortry.operators.prefix import in_ranges
 from cohortry.operators.ranking import CELL
+from cohortry.session import pinned
 
 N_DRAWS = 1000
 CI = (0.025, 0.975)
-# Draws that travel together as columns of one row. The rows are repeated once
-# per block, so 1,000 draws repeat them 50 times and not 1,000 times.
-BLOCK = 20
-
-
-def in_blocks(pred: DataFrame, n_draws: int, block: int = BLOCK, row_id: str = "row_id") -> DataFrame:
-    """Rows x draw blocks, with a weight column ``w0``.. per draw of the block."""
-    blocks = -(-n_draws // block)
-    lanes = pred.withColumns({"_l0": row_lane(F.col(row_id), 0), "_l1": row_lane(F.col(row_id), 1)})
-    rows = lanes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    hashes = {f"_h{j}": draw_hash(F.col("_l0"), F.col("_l1"), F.col("block") * block + j)
-              for j in range(block)}
-    hashed = rows.withColumns(hashes)
-    weighted = hashed.withColumns(
-        {f"w{j}": poisson_weight(F.col(f"_h{j}")) for j in range(block)})
-    return weighted.drop("_l0", "_l1", *hashes)
-
-
-def _long(wide: DataFrame, keys: Sequence[str], n_draws: int, block: int,
-          values: dict[str, list[Column]]) -> DataFrame:
-    """One row per draw from one row per block."""
-    entries = [F.struct((F.col("block") * block + j).alias("draw"),
-                        *[cols[j].alias(m) for m, cols in values.items()])
-               for j in range(block)]
-    return wide.select(*keys, F.inline(F.array(*entries))).where(F.col("draw") < n_draws)
-
-
-def rank_draws(pred: DataFrame, n_draws: int = N_DRAWS, keys: Sequence[str] = CELL,
-               block: int = BLOCK, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """(cell, draw, auroc, auprc), NULL where a draw has only one class.
-
-    The weights of tied scores are summed before the shuffle; one sort per block
-    serves all draws in it.
+# Rows of one task's group, and how many (row, draw) weights it holds at once.
+RANGE_ROWS = 500_000
+WEIGHTS_AT_ONCE = 4_000_000
+_RANGE, _SALT = "_range", "_salt"
+
+
+# --- the part that runs inside a task -----------------------------------------
+
+def _scramble(x: np.ndarray) -> np.ndarray:
+    x = ((x ^ (x >> 15)) * hashing.MIX_A) % hashing.PRIME
+    x = ((x ^ (x >> 13)) * hashing.MIX_B) % hashing.PRIME
+    return x ^ (x >> 16)
+
+
+def draw_weights(lane0: np.ndarray, lane1: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Rows x draws: how often each row is drawn. Equals the column expressions
+    ``draw_hash`` and ``poisson_weight``."""
+    m = (draws * hashing.MIX_C + 1) * hashing.MIX_C % hashing.PRIME
+    h = _scramble((lane0[:, None] * m[None, :] + lane1[:, None]) % hashing.PRIME)
+    return np.searchsorted(np.array(hashing.poisson_cuts()), h, side="right").astype(np.float64)
+
+
+def _batches(table: pa.Table, n_draws: int):
+    """Per batch of draws: (draws, weights of positives, of all) in falling score order."""
+    col = {c: table.column(c).to_numpy() for c in ("score_raw", "y_true", "_l0", "_l1")}
+    order = np.argsort(-col["score_raw"], kind="stable")
+    s, y = col["score_raw"][order], col["y_true"][order].astype(np.float64)[:, None]
+    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    step = max(1, WEIGHTS_AT_ONCE // len(s))
+    for lo in range(0, n_draws, step):
+        draws = np.arange(lo, min(lo + step, n_draws), dtype=np.int64)
+        w = draw_weights(col["_l0"][order], col["_l1"][order], draws)
+        yield draws, order, starts, w * y, w
+
+
+def _tied_sums(starts, wp, w):
+    """Weighted positives and negatives per distinct score, and running totals."""
+    p = np.add.reduceat(wp, starts, axis=0)
+    n = np.add.reduceat(w, starts, axis=0) - p
+    return p, n, np.cumsum(p, axis=0), np.cumsum(n, axis=0)
+
+
+def _precision_sum(p, tp, fp, before_p=0.0, before_n=0.0):
+    tp, fp = tp + before_p, fp + before_n
+    return np.divide(p * tp, tp + fp, out=np.zeros_like(p), where=p > 0).sum(axis=0)
+
+
+def _range_sums(n_draws: int, flags: Sequence[str], names: Sequence[str]) -> Callable:
+    def run(key, table):
+        marks = [table.column(f).to_numpy() for f in flags]
+        out: dict[str, list] = {c: [] for c in names}
+        for draws, order, starts, wp, w in _batches(table, n_draws):
+            p, n, tp, fp = _tied_sums(starts, wp, w)
+            sums = {"draw": draws, "wp": tp[-1], "wn": fp[-1],
+                    "area": (n * (tp - p / 2)).sum(axis=0), "prec": _precision_sum(p, tp, fp)}
+            for i, mark in enumerate(marks):
+                f = mark[order].astype(np.float64)
+                sums[f"hit_p{i}"], sums[f"hit_n{i}"] = f @ wp, f @ (w - wp)
+            for c in names:
+                out[c].append(sums[c] if c in sums else np.full(len(draws), len(starts)))
+        cols = [pa.array([k.as_py()] * n_draws, k.type) for k in key]
+        cols += [pa.array(np.concatenate(out[c])) for c in names]
+        return pa.table(cols, names=[f"k{i}" for i in range(len(key))] + list(names))
+    return run
+
+
+def _range_precision(n_draws: int) -> Callable:
+    def run(key, rows, before):
+        names = [f"k{i}" for i in range(len(key))] + ["draw", "prec"]
+        draw_col, prec_col = np.zeros(0, np.int64), np.zeros(0)
+        if rows.num_rows and before.num_rows:
+            at = np.argsort(before.column("draw").to_numpy())
+            bp, bn = (before.column(c).to_numpy()[at] for c in ("before_p", "before_n"))
+            parts = []
+            for draws, _, starts, wp, w in _batches(rows, n_draws):
+                p, _, tp, fp = _tied_sums(starts, wp, w)
+                parts.append(_precision_sum(p, tp, fp, bp[draws], bn[draws]))
+            draw_col, prec_col = np.arange(n_draws, dtype=np.int64), np.concatenate(parts)
+        cols = [pa.array([k.as_py()] * len(draw_col), k.type) for k in key]
+        return pa.table([*cols, pa.array(draw_col), pa.array(prec_col)], names=names)
+    return run
+
+
+# --- the Spark part -----------------------------------------------------------
+
+def range_plan(df: DataFrame, value: str, range_rows: int = RANGE_ROWS,
+               max_ranges: int = 100_000) -> tuple[list[float], dict[float, int]]:
+    """(cut points, {range number: salts}) so that no group exceeds its share.
+
+    A score that holds several shares by itself gets a range of its own. Ties
+    need no order among them, so that range can be salted into smaller groups.
     """
-    rows = in_blocks(pred, n_draws, block)
-    y = F.col("y_true").cast("long")
-    group = [*keys, "block"]
-    counts = rows.groupBy(*group, F.col("score_raw").alias("score")).agg(
-        *[F.sum(F.col(f"w{j}") * y).alias(f"p{j}") for j in range(block)],
-        *[F.sum(F.col(f"w{j}") * (1 - y)).alias(f"n{j}") for j in range(block)])
-    points = split_points(pred, "score_raw", max(range_rows // block, 1))
-    measures = {f"{c}{j}": F.col(f"{c}{j}") for c in "pn" for j in range(block)}
-    cum = running_totals(counts, group, "score", measures, descending=True, points=points)
-
-    sums = []
-    for j in range(block):
-        p, n, tp = F.col(f"p{j}"), F.col(f"n{j}"), F.col(f"cum_p{j}")
-        sums += [
-            F.sum(n * (tp - p / 2)).alias(f"rank{j}"),
-            F.sum(F.when(p > 0, p * (tp / (tp + F.col(f"cum_n{j}"))))).alias(f"prec{j}"),
-            F.max(f"tot_p{j}").alias(f"pos{j}"), F.max(f"tot_n{j}").alias(f"neg{j}")]
-    per_block = cum.groupBy(*group).agg(*sums)
-
-    def both(j, value):
-        return F.when((F.col(f"pos{j}") > 0) & (F.col(f"neg{j}") > 0), value)
-
-    return _long(per_block, keys, n_draws, block, {
-        "auroc": [both(j, F.col(f"rank{j}") / (F.col(f"pos{j}").cast("double") * F.col(f"neg{j}")))
-                  for j in range(block)],
-        "auprc": [both(j, F.col(f"prec{j}") / F.col(f"pos{j}")) for j in range(block)]})
-
-
-def rule_draws(flagged: DataFrame, rules: Sequence[str], n_draws: int = N_DRAWS,
-               keys: Sequence[str] = CELL, block: int = BLOCK) -> DataFrame:
-    """(cell, rule, draw, rates): each rule's flags stay as they are in every draw.
-
-    ``flagged`` has the array column ``flags``. Rows are summed by their set of
-    flags, of which there are a handful, and only those sums meet the rules.
+    n = df.count()
+    if n <= range_rows:
+        return [], {}
+    parts = min(math.ceil(n / range_rows), max_ranges)
+    cuts = df.select(F.col(value).cast("double").alias("v")).approxQuantile(
+        "v", [i / parts for i in range(parts + 1)], 1.0 / (4 * parts))
+    seen = Counter(cuts)
+    hot = {c: k for c, k in seen.items() if k > 1}
+    points = sorted(set(seen) | {float(np.nextafter(c, math.inf)) for c in hot})
+    return points, {float(points.index(c) + 1): k + 1 for c, k in hot.items()}
+
+
+def draw_sums(pred: DataFrame, n_draws: int = N_DRAWS, flags: Sequence[str] = (),
+              keys: Sequence[str] = CELL, row_id: str = "row_id",
+              range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(cell, draw, pos, neg, rank_sum, prec_sum, hit_p<i>, hit_n<i>).
+
+    One row per cell and draw: what every metric of a draw is computed from. The
+    0/1 columns in ``flags`` mark the rows that a fixed rule flags.
+    """
+    keys = list(keys)
+    unit = [*keys, _RANGE, _SALT]
+    points, salts = range_plan(pred, "score_raw", range_rows)
+    laned = pred.select(
+        *keys, F.col("score_raw").cast("double").alias("score_raw"),
+        F.col("y_true").cast("int").alias("y_true"), *[F.col(f).cast("double").alias(f) for f in flags],
+        hashing.row_lane(F.col(row_id), 0).alias("_l0"),
+        hashing.row_lane(F.col(row_id), 1).alias("_l1"))
+    salt = F.lit(0).cast("long")
+    if salts:
+        table = F.create_map(*[F.lit(x) for kv in salts.items() for x in kv])
+        salt = F.coalesce(F.col("_l0") % F.try_element_at(table, F.col(_RANGE)), salt)
+    rows = in_ranges(laned, "score_raw", points, _RANGE).withColumn(_SALT, salt)
+
+    hits = [f"hit_{c}{i}" for i in range(len(flags)) for c in "pn"]
+    names = ["draw", "scores", "wp", "wn", "area", "prec", *hits]
+    kinds = {"draw": T.LongType(), "scores": T.LongType()}
+    key_fields = [T.StructField(f"k{i}", rows.schema[c].dataType) for i, c in enumerate(unit)]
+    schema = T.StructType(key_fields + [
+        T.StructField(c, kinds.get(c, T.DoubleType())) for c in names])
+    back = {f"k{i}": c for i, c in enumerate(unit)}
+    sums = rows.groupBy(*unit).applyInArrow(
+        _range_sums(n_draws, list(flags), names), schema).withColumnsRenamed(back)
+    group = [*keys, "draw"]
+    hit_sums = [F.sum(F.nanvl(F.col(h), F.lit(None))).alias(h) for h in hits]
+    if not points:
+        return sums.groupBy(*group).agg(
+            F.sum("wp").alias("pos"), F.sum("wn").alias("neg"), F.sum("area").alias("rank_sum"),
+            F.sum("prec").alias("prec_sum"), *hit_sums)
+
+    # Salts of a tied range merge by adding up; its own area is half the product.
+    # Pinned, because three later steps read it: a few numbers per range and draw.
+    ranges = pinned(sums.groupBy(*keys, _RANGE, "draw").agg(
+        F.max("scores").alias("scores"), F.sum("wp").alias("wp"), F.sum("wn").alias("wn"),
+        F.sum("area").alias("area"), *hit_sums))
+    steps = Window.partitionBy(*group).orderBy(F.desc(_RANGE)).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    tied = F.col("scores") == 1
+    placed = ranges.withColumns({
+        "before_p": F.sum("wp").over(steps) - F.col("wp"),
+        "before_n": F.sum("wn").over(steps) - F.col("wn"),
+        "area": F.when(tied, F.col("wp") * F.col("wn") / 2).otherwise(F.col("area"))})
+
+    before = placed.where(~tied).select(
+        *keys, _RANGE, F.lit(0).cast("long").alias(_SALT), "draw", "before_p", "before_n")
+    prec_schema = T.StructType([*key_fields, T.StructField("draw", T.LongType()),
+                                T.StructField("prec", T.DoubleType())])
+    inside = rows.groupBy(*unit).cogroup(before.groupBy(*unit)).applyInArrow(
+        _range_precision(n_draws), prec_schema).withColumnsRenamed(back)
+    inside = inside.groupBy(*group).agg(F.sum("prec").alias("inside"))
+    reached = F.col("before_p") + F.col("wp")
+    tied_prec = F.when(tied & (F.col("wp") > 0), F.col("wp") * reached / (
+        reached + F.col("before_n") + F.col("wn")))
+    cells = placed.groupBy(*group).agg(
+        F.sum("wp").alias("pos"), F.sum("wn").alias("neg"),
+        F.sum(F.col("area") + F.col("before_p") * F.col("wn")).alias("rank_sum"),
+        F.sum(tied_prec).alias("between"), *[F.sum(h).alias(h) for h in hits])
+    zero = F.lit(0.0)
+    return cells.join(inside, group, "left").withColumn(
+        "prec_sum", F.coalesce("inside", zero) + F.coalesce("between", zero)
+    ).drop("inside", "between")
+
+
+def _usable() -> Column:
+    return (F.col("pos") > 0) & (F.col("neg") > 0)
+
+
+def rank_draws(sums: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
+    """(cell, draw, auroc, auprc), NULL where a draw has only one class."""
+    return sums.select(
+        *keys, "draw",
+        F.when(_usable(), F.col("rank_sum") / (F.col("pos") * F.col("neg"))).alias("auroc"),
+        F.when(_usable(), F.col("prec_sum") / F.col("pos")).alias("auprc"))
+
+
+def rule_draws(sums: DataFrame, rules: Sequence[str], keys: Sequence[str] = CELL) -> DataFrame:
+    """(cell, rule, draw, rates): the flags of a rule are the same in every draw.
+
+    ``rules`` names the flag columns that went into ``draw_sums``, in order.
     """
-    rows = in_blocks(flagged, n_draws, block)
-    group = [*keys, "block"]
-    patterns = rows.groupBy(*group, "y_true", "flags").agg(
-        *[F.sum(f"w{j}").alias(f"w{j}") for j in range(block)])
-    per_rule = patterns.withColumn("rule", F.explode(F.array(*[F.lit(r) for r in rules])))
-    hit, one = F.array_contains("flags", F.col("rule")), F.col("y_true") == 1
-    sums = []
-    for j in range(block):
-        w = F.col(f"w{j}")
-        sums += [F.sum(F.when(hit & one, w).otherwise(0)).alias(f"tp{j}"),
-                 F.sum(F.when(hit & ~one, w).otherwise(0)).alias(f"fp{j}"),
-                 F.sum(F.when(~hit & one, w).otherwise(0)).alias(f"fn{j}"),
-                 F.sum(F.when(~hit & ~one, w).otherwise(0)).alias(f"tn{j}")]
-    per_block = per_rule.groupBy(*group, "rule").agg(*sums)
-    values: dict[str, list[Column]] = {m: [] for m in RATE_METRICS}
-    for j in range(block):
-        tp, fp, fn, tn = (F.col(f"{c}{j}") for c in ("tp", "fp", "fn", "tn"))
-        usable = (tp + fn > 0) & (fp + tn > 0)
-        for m, c in rates(tp, fp, fn, tn).items():
-            values[m].append(F.when(usable, c))
-    return _long(per_block, [*keys, "rule"], n_draws, block, values)
+    entries = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"hit_p{i}").alias("tp"),
+                                 F.col(f"hit_n{i}").alias("fp")) for i, r in enumerate(rules)])
+    per_rule = sums.select(*keys, "draw", "pos", "neg", F.inline(entries)).where(
+        F.col("tp").isNotNull())
+    tp, fp = F.col("tp"), F.col("fp")
+    each = rates(tp, fp, F.col("pos") - tp, F.col("neg") - fp)
+    return per_rule.select(*keys, "rule", "draw",
+                           *[F.when(_usable(), each[m]).alias(m) for m in RATE_METRICS])
 
 
 def long_draws(draws: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

@@ -127,22 +127,24 @@ def operating_points(pred: DataFrame, val: DataFrame, internal: str, ks: Sequenc
         "threshold_source", source[F.col("kind")])
 
 
-def flagged_rows(pred: DataFrame, rules: DataFrame, crossed: DataFrame | None = None) -> DataFrame:
-    """Predictions with ``flags``: the names of the rules that flag the row.
+def flagged_rows(pred: DataFrame, rules: DataFrame, names: Sequence[str],
+                 crossed: DataFrame | None = None) -> DataFrame:
+    """Predictions with a 0/1 column ``f<i>`` per rule in ``names``.
 
     ``rules`` (cell, rule, threshold); ``crossed`` (cell, half, threshold) needs
-    a ``half`` column on the rows.
+    a ``half`` column on the rows. A rule a cell does not have gives NULL.
     """
-    per_cell = settle(rules.groupBy(*CELL).agg(
-        F.sort_array(F.collect_list(F.struct("rule", "threshold"))).alias("cuts")))
-    hit = F.transform(F.filter("cuts", lambda c: F.col("score_raw") >= c["threshold"]),
-                      lambda c: c["rule"])
-    out = pred.join(per_cell, CELL).withColumn("flags", hit).drop("cuts")
-    if crossed is None:
-        return out
-    cuts = settle(crossed.withColumnRenamed("threshold", "_cut"))
-    # Cells without a cross-fitted rule keep their other flags.
-    return out.join(cuts, [*CELL, "half"], "left").withColumn(
-        "flags", F.when(F.col("score_raw") >= F.col("_cut"),
-                        F.array_append("flags", F.lit(CROSSFIT_RULE)))
-        .otherwise(F.col("flags"))).drop("_cut")
+    per_cell = settle(rules.groupBy(*CELL).agg(F.map_from_entries(
+        F.collect_list(F.struct("rule", "threshold"))).alias("cuts")))
+    rows = pred.join(per_cell, CELL)
+    if crossed is not None:
+        rows = rows.join(settle(crossed.withColumnRenamed("threshold", "_cut")),
+                         [*CELL, "half"], "left")
+
+    def cut(rule: str) -> Column:
+        if rule == CROSSFIT_RULE and crossed is not None:
+            return F.col("_cut")
+        return F.try_element_at("cuts", F.lit(rule))
+
+    flags = {f"f{i}": (F.col("score_raw") >= cut(r)).cast("int") for i, r in enumerate(names)}
+    return rows.withColumns(flags).drop("cuts", "_cut")

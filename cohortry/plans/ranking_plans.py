@@ -8,6 +8,8 @@ from cohortry.functions import hashing
 from cohortry.functions.rates import RATE_METRICS
 from cohortry.operators import bootstrap, ranking, report, thresholds
 from cohortry.plans import fixtures as fx
+from cohortry.session import pinned
+from cohortry.sources.tables import published_scores
 
 CELL = ranking.CELL
 N_DRAWS = 40
@@ -85,54 +87,54 @@ def pr_curve(spark, sf_dir):
     return rounded(ranking.pr_curve(fx.test_scores(spark, sf_dir)), "recall", "precision")
 
 
+def _rank_draws(pred):
+    return bootstrap.rank_draws(bootstrap.draw_sums(pred, N_DRAWS))
+
+
 def bootstrap_draws(spark, sf_dir):
-    out = bootstrap.rank_draws(fx.test_scores(spark, sf_dir), N_DRAWS)
-    return rounded(out, "auroc", "auprc")
+    return rounded(_rank_draws(fx.test_scores(spark, sf_dir)), "auroc", "auprc")
 
 
 def rank_intervals(spark, sf_dir):
-    draws = bootstrap.rank_draws(fx.test_scores(spark, sf_dir), N_DRAWS)
+    draws = _rank_draws(fx.test_scores(spark, sf_dir))
     out = bootstrap.intervals(bootstrap.long_draws(draws, CELL, ["auroc", "auprc"]),
                               [*CELL, "metric"])
     return rounded(out, "ci_lo", "ci_hi", "boot_std")
 
 
-def _flagged(spark, sf_dir):
-    """Test rows with the rules that flag them, all six rules."""
+RULES = [f"top{k:g}%" for k in thresholds.TOP_K] + [thresholds.VAL_RULE, thresholds.CROSSFIT_RULE]
+
+
+def _rule_sums(spark, sf_dir):
+    """Sums of all draws with the flags of all six rules, made once."""
     pred, val = fx.test_scores(spark, sf_dir), fx.val_scores(spark, sf_dir)
     rules = thresholds.topk_cuts(pred).unionByName(
         thresholds.transferred(pred, thresholds.val_cuts(val))).select(*CELL, "rule", "threshold")
     halved = thresholds.with_halves(pred)
     cuts = thresholds.crossfit_cuts(halved).where(F.col("cohort") == fx.INTERNAL)
-    return thresholds.flagged_rows(halved, rules, cuts)
-
-
-RULES = [f"top{k:g}%" for k in thresholds.TOP_K] + [thresholds.VAL_RULE, thresholds.CROSSFIT_RULE]
-
-
-def _rule_draws(spark, sf_dir):
-    draws = bootstrap.rule_draws(_flagged(spark, sf_dir), RULES, N_DRAWS)
-    return draws.where((F.col("cohort") == fx.INTERNAL) |
-                       (F.col("rule") != thresholds.CROSSFIT_RULE))
+    flagged = thresholds.flagged_rows(halved, rules, RULES, cuts)
+    return bootstrap.draw_sums(flagged, N_DRAWS, [f"f{i}" for i in range(len(RULES))])
 
 
 def rule_intervals(spark, sf_dir):
-    draws = bootstrap.long_draws(_rule_draws(spark, sf_dir), [*CELL, "rule"], RATE_METRICS)
-    return rounded(bootstrap.intervals(draws, [*CELL, "rule", "metric"]),
+    draws = bootstrap.rule_draws(_rule_sums(spark, sf_dir), RULES)
+    long = bootstrap.long_draws(draws, [*CELL, "rule"], RATE_METRICS)
+    return rounded(bootstrap.intervals(long, [*CELL, "rule", "metric"]),
                    "ci_lo", "ci_hi", "boot_std")
 
 
 def paired_diff(spark, sf_dir):
-    draws = bootstrap.rank_draws(fx.test_scores(spark, sf_dir), N_DRAWS)
+    draws = pinned(_rank_draws(fx.test_scores(spark, sf_dir)))
     return rounded(bootstrap.paired_differences(draws, "m_noise"),
                    "ci_lo", "ci_hi", "boot_std", "mean_diff")
 
 
 def summary(spark, sf_dir):
     pred, val = fx.test_scores(spark, sf_dir), fx.val_scores(spark, sf_dir)
+    sums = pinned(_rule_sums(spark, sf_dir))
     return report.tidy_summary(
         ranking.discrimination(pred), thresholds.operating_points(pred, val, fx.INTERNAL),
-        bootstrap.rank_draws(pred, N_DRAWS), _rule_draws(spark, sf_dir))
+        bootstrap.rank_draws(sums), bootstrap.rule_draws(sums, RULES))
 
 
 def rank_summary(spark, sf_dir):
@@ -140,7 +142,7 @@ def rank_summary(spark, sf_dir):
     pred = fx.test_scores(spark, sf_dir)
     areas = ranking.discrimination(pred).unpivot(
         [*CELL, "n_rows", "n_pos", "prevalence"], ["auroc", "auprc"], "metric", "value")
-    draws = bootstrap.long_draws(bootstrap.rank_draws(pred, N_DRAWS), CELL, ["auroc", "auprc"])
+    draws = bootstrap.long_draws(_rank_draws(pred), CELL, ["auroc", "auprc"])
     return areas.withColumn("kind", F.lit("ranking")).join(
         bootstrap.intervals(draws, [*CELL, "metric"]), [*CELL, "metric"])
 
@@ -184,18 +186,16 @@ def _published(spark, sf_dir):
 
 
 def published_score_eval(spark, sf_dir):
-    from cohortry.sources.tables import published_scores
     rows = published_scores(_published(spark, sf_dir), {"y_a": "prob_a"}, "published")
     out = ranking.discrimination(rows).join(ranking.losses(rows), CELL)
     return rounded(out, "prevalence", "auroc", "auprc", "brier", "log_loss")
 
 
 def _reference_summary(spark, sf_dir):
-    from cohortry.sources.tables import published_scores
     rows = published_scores(_published(spark, sf_dir), {"y_a": "prob_a"}, "published")
     areas = ranking.discrimination(rows).unpivot(
         CELL, ["auroc", "auprc"], "metric", "value")
-    draws = bootstrap.long_draws(bootstrap.rank_draws(rows, N_DRAWS), CELL, ["auroc", "auprc"])
+    draws = bootstrap.long_draws(_rank_draws(rows), CELL, ["auroc", "auprc"])
     return areas.join(bootstrap.intervals(draws, [*CELL, "metric"]), [*CELL, "metric"])
 
 
@@ -340,7 +340,7 @@ def draws_sql(src="pred", out="draws"):
 {out}_c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp,
   sum(p) OVER (PARTITION BY {k}) AS pos, sum(n) OVER (PARTITION BY {k}) AS neg
   FROM {out}_w WINDOW w AS (PARTITION BY {k} ORDER BY score DESC)),
-{out} AS (SELECT {KEYS}, draw::INTEGER AS draw,
+{out} AS (SELECT {KEYS}, draw,
   CASE WHEN max(pos) > 0 AND max(neg) > 0
     THEN sum(n * (tp - p / 2)) / (max(pos)::DOUBLE * max(neg)::DOUBLE) END AS auroc,
   CASE WHEN max(pos) > 0 AND max(neg) > 0

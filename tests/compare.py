@@ -69,7 +69,7 @@ def main():
     a = ap.parse_args()
     spark = build_session("compare", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g",
-        "spark.ui.enabled": "false"})
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(a.sf)
     names = a.names or list(registry.QUERIES)
