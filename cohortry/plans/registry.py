@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortry.plans import ranking_plans
+from cohortry.plans import harmonize_plans, prep_plans, ranking_plans
 
-_MODULES = [ranking_plans]
+_MODULES = [ranking_plans, prep_plans, harmonize_plans]
 
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
