@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from cohortry.plans import harmonize_plans, prep_plans, ranking_plans
+from cohortry.plans import (harmonize_plans, model_plans, output_plans, prep_plans, ranking_plans,
+                            text_plans)
 
-_MODULES = [ranking_plans, prep_plans, harmonize_plans]
+_MODULES = [ranking_plans, harmonize_plans, prep_plans, text_plans, output_plans, model_plans]
 
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
+assert len(QUERIES) == sum(len(m.QUERIES) for m in _MODULES), "two queries share a name"
