@@ -52,11 +52,12 @@ def in_ranges(df: DataFrame, value: str, points: Sequence[float], out: str = _RA
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: str, measures: dict[str, Column],
                    descending: bool = False, points: Sequence[float] = (),
-                   following: Sequence[str] = ()) -> DataFrame:
+                   following: Sequence[str] = (), totals: bool = True) -> DataFrame:
     """Per row: ``cum_<m>`` up to and with it, ``tot_<m>`` of its group.
 
     ``order`` must be unique within a group (group by it first). Columns named
-    in ``following`` are also returned as ``next_<c>``, from the next row.
+    in ``following`` are also returned as ``next_<c>``, from the next row. Without
+    ``totals`` the rows stream through one window and need no buffer.
     """
     keys = list(keys)
     asc = F.desc if descending else F.asc
@@ -67,21 +68,21 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: str, measures: dic
         return df.select(
             "*",
             *[F.sum(m).over(run).alias(f"cum_{k}") for k, m in measures.items()],
-            *[F.sum(m).over(part).alias(f"tot_{k}") for k, m in measures.items()],
+            *[F.sum(m).over(part).alias(f"tot_{k}") for k, m in measures.items() if totals],
             *[F.lead(c).over(seq).alias(f"next_{c}") for c in following],
         )
 
     ranged = in_ranges(df, order, points)
     edge = F.max_by if descending else F.min_by
     heads = [edge(F.struct(*following), F.col(order)).alias("_head")] if following else []
-    totals = ranged.groupBy(*keys, _RANGE).agg(
+    sums = ranged.groupBy(*keys, _RANGE).agg(
         *[F.sum(m).alias(f"_in_{k}") for k, m in measures.items()], *heads)
 
     # One row per group and range from here: small, and bounded by MAX_RANGES per group.
     group = Window.partitionBy(*keys)
     steps = group.orderBy(asc(_RANGE))
     upto = steps.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = totals.select(
+    offsets = sums.select(
         *keys, _RANGE,
         *[(F.sum(f"_in_{k}").over(upto) - F.col(f"_in_{k}")).alias(f"_off_{k}") for k in measures],
         *[F.sum(f"_in_{k}").over(group).alias(f"tot_{k}") for k in measures],
@@ -101,7 +102,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: str, measures: dic
     return joined.select(
         *df.columns,
         *[(F.col(f"_loc_{k}") + F.col(f"_off_{k}")).alias(f"cum_{k}") for k in measures],
-        *[F.col(f"tot_{k}") for k in measures],
+        *[F.col(f"tot_{k}") for k in measures if totals],
         *[F.when(F.col("_has_lead"), F.col(f"_lead_{c}"))
            .otherwise(F.col(f"_next_head.{c}")).alias(f"next_{c}") for c in following],
     )

@@ -29,43 +29,35 @@ def score_counts(pred: DataFrame, keys: Sequence[str] = CELL, y: str = "y_true",
 
 def cumulative(pred: DataFrame, keys: Sequence[str] = CELL, y: str = "y_true",
                score: str = "score_raw", range_rows: int = RANGE_ROWS,
-               following: Sequence[str] = ()) -> DataFrame:
+               following: Sequence[str] = (), totals: bool = True) -> DataFrame:
     """(cell, score, p, n, tp, fp, pos, neg): counts at or above each score."""
     counts = score_counts(pred, keys, y, score)
     points = split_points(pred, score, range_rows)
     cum = running_totals(counts, keys, "score", {"p": F.col("p"), "n": F.col("n")},
-                         descending=True, points=points, following=following)
+                         descending=True, points=points, following=following, totals=totals)
     return cum.withColumnsRenamed(
         {"cum_p": "tp", "cum_n": "fp", "tot_p": "pos", "tot_n": "neg"})
 
 
-def auroc_term() -> Column:
-    """Adds up to AUROC over the rows of ``cumulative``; ties count half."""
-    n, p, tp = F.col("n"), F.col("p"), F.col("tp")
-    return n * (tp - p / 2) / (F.col("pos").cast("double") * F.col("neg"))
-
-
-def precision_term() -> Column:
-    """Adds up to average precision: the step sum, not the trapezoid."""
-    return F.col("p") / F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))
-
-
 def discrimination(pred: DataFrame, keys: Sequence[str] = CELL, y: str = "y_true",
                    score: str = "score_raw", range_rows: int = RANGE_ROWS) -> DataFrame:
     """(cell, n_rows, n_pos, n_neg, prevalence, auroc, auprc).
 
     The two areas are NULL where a cell has only one class.
     """
-    cum = cumulative(pred, keys, y, score, range_rows)
-    both = (F.col("pos") > 0) & (F.col("neg") > 0)
-    return cum.groupBy(*keys).agg(
-        (F.max("pos") + F.max("neg")).alias("n_rows"),
-        F.max("pos").alias("n_pos"),
-        F.max("neg").alias("n_neg"),
-        F.max(F.col("pos") / (F.col("pos") + F.col("neg"))).alias("prevalence"),
-        F.sum(F.when(both, auroc_term())).alias("auroc"),
-        F.sum(F.when(both, precision_term())).alias("auprc"),
-    )
+    cum = cumulative(pred, keys, y, score, range_rows, totals=False)
+    p, n, tp, fp = (F.col(c) for c in ("p", "n", "tp", "fp"))
+    # Ties count half in the first sum; the second is the step sum, not the trapezoid.
+    sums = cum.groupBy(*keys).agg(
+        F.sum(p).alias("n_pos"), F.sum(n).alias("n_neg"), F.sum(n * (tp - p / 2)).alias("rank"),
+        F.sum(p * (tp / (tp + fp))).alias("steps"))
+    pos, neg = F.col("n_pos"), F.col("n_neg")
+    both = (pos > 0) & (neg > 0)
+    return sums.select(
+        *keys, (pos + neg).alias("n_rows"), "n_pos", "n_neg",
+        (pos / (pos + neg)).alias("prevalence"),
+        F.when(both, F.col("rank") / (pos.cast("double") * neg)).alias("auroc"),
+        F.when(both, F.col("steps") / pos).alias("auprc"))
 
 
 def outcome_counts(pred: DataFrame, keys: Sequence[str], y: str = "y_true") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.functions.hashing import uniform
+from cohortry.functions.hashing import PRIME
 from cohortry.operators.harmonize import temporal_split
 
 TRAIN_TO, TEST_FROM = 1998, 2000
@@ -87,17 +87,29 @@ SELECT o.o_orderkey AS row_id, year(o.o_orderdate) AS op_year,
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)"""
 
 
+# Multipliers that spread row keys over [0, 1), one per score.
+SPREAD = {"y_a": 742938285, "y_b": 950706376, "n": 1226874159}
+
+
+def _u(k: str):
+    return (F.col("row_id") * SPREAD[k] % PRIME).cast("double") / F.lit(float(PRIME))
+
+
+def _u_sql(k: str) -> str:
+    return f"((row_id * {SPREAD[k]} % {PRIME})::DOUBLE / {PRIME}.0::DOUBLE)"
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of three models for two outcomes: (cohort, split, model, label,
     row_id, y_true, score_raw). Split ``val`` holds the development years."""
     c = cases(spark, sf_dir).where(F.col("split").isNotNull())
     y = F.col("y_true")
-    noise = uniform("n", F.col("row_id"))
+    noise = _u("n")
     tied = F.floor(F.col("lab_raw") / 10.0).cast("double") / 100.0
 
     def outcomes(label: str):
         yl = F.col(label).cast("double")
-        u = uniform(label, F.col("row_id"))
+        u = _u(label)
         return [F.struct(F.lit(label).alias("label"), F.lit(m).alias("model"),
                          F.col(label).alias("y_true"), s.alias("score_raw"))
                 for m, s in (("m_signal", 0.3 * yl + 0.7 * u), ("m_noise", noise),
@@ -119,17 +131,12 @@ def val_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("split") == "val") & (F.col("cohort") == INTERNAL)).drop("split")
 
 
-def _u_sql(seed_sql: str) -> str:
-    return (f"(('0x' || substr(md5({seed_sql} || ':' || row_id), 1, 13))::BIGINT::DOUBLE"
-            f" / 4503599627370496.0::DOUBLE)")
-
-
 def _scored_sql() -> str:
     parts = []
     for label in LABELS:
         for model, score in (
-            ("m_signal", f"0.3::DOUBLE * {label}::DOUBLE + 0.7::DOUBLE * {_u_sql(repr(label))}"),
-            ("m_noise", _u_sql("'n'")),
+            ("m_signal", f"0.3::DOUBLE * {label}::DOUBLE + 0.7::DOUBLE * {_u_sql(label)}"),
+            ("m_noise", _u_sql("n")),
             ("m_tied", "floor(lab_raw / 10.0::DOUBLE) / 100.0::DOUBLE"),
         ):
             parts.append(

@@ -8,7 +8,8 @@ from cohortry.functions import hashing
 from cohortry.functions.rates import RATE_METRICS
 from cohortry.operators import bootstrap, ranking, report, thresholds
 from cohortry.plans import fixtures as fx
-from cohortry.session import pinned
+from cohortry.session import pinned, work_path
+from cohortry.sources import sinks
 from cohortry.sources.tables import published_scores
 
 CELL = ranking.CELL
@@ -22,6 +23,17 @@ def rounded(df, *cols, places=6):
 
 # --- Spark side ---------------------------------------------------------------
 
+def saved(pred):
+    """Predictions as evaluation finds them: written once, then read per question."""
+    path = work_path(pred.sparkSession, "scores")
+    sinks.write_predictions(pred, path)
+    return sinks.read_cells(pred.sparkSession, path)
+
+
+def saved_scores(spark, sf_dir):
+    return saved(fx.test_scores(spark, sf_dir)), saved(fx.val_scores(spark, sf_dir))
+
+
 def auroc_ap(spark, sf_dir):
     out = ranking.discrimination(fx.test_scores(spark, sf_dir))
     return rounded(out, "prevalence", "auroc", "auprc")
@@ -56,26 +68,25 @@ def topk_rules(spark, sf_dir):
 
 
 def confusion(spark, sf_dir):
-    pred = fx.test_scores(spark, sf_dir)
+    pred = saved(fx.test_scores(spark, sf_dir))
     out = thresholds.apply_cuts(pred, thresholds.topk_cuts(pred))
     return rounded(out, "threshold", *RATE_METRICS)
 
 
 def f1_val_transfer(spark, sf_dir):
-    pred, val = fx.test_scores(spark, sf_dir), fx.val_scores(spark, sf_dir)
+    pred, val = saved_scores(spark, sf_dir)
     out = thresholds.apply_cuts(pred, thresholds.transferred(pred, thresholds.val_cuts(val)))
     return rounded(out, "threshold", *RATE_METRICS)
 
 
 def f1_crossfit(spark, sf_dir):
-    pred = fx.test_scores(spark, sf_dir).where(F.col("cohort") == fx.INTERNAL)
+    pred = saved(fx.test_scores(spark, sf_dir).where(F.col("cohort") == fx.INTERNAL))
     out = thresholds.crossfit(pred).drop("threshold")
     return rounded(out, "t_a", "t_b", *RATE_METRICS)
 
 
 def operating_points(spark, sf_dir):
-    out = thresholds.operating_points(
-        fx.test_scores(spark, sf_dir), fx.val_scores(spark, sf_dir), fx.INTERNAL)
+    out = thresholds.operating_points(*saved_scores(spark, sf_dir), fx.INTERNAL)
     return rounded(out, "threshold", *RATE_METRICS)
 
 
@@ -105,9 +116,8 @@ def rank_intervals(spark, sf_dir):
 RULES = [f"top{k:g}%" for k in thresholds.TOP_K] + [thresholds.VAL_RULE, thresholds.CROSSFIT_RULE]
 
 
-def _rule_sums(spark, sf_dir):
+def _rule_sums(pred, val):
     """Sums of all draws with the flags of all six rules, made once."""
-    pred, val = fx.test_scores(spark, sf_dir), fx.val_scores(spark, sf_dir)
     rules = thresholds.topk_cuts(pred).unionByName(
         thresholds.transferred(pred, thresholds.val_cuts(val))).select(*CELL, "rule", "threshold")
     halved = thresholds.with_halves(pred)
@@ -117,7 +127,7 @@ def _rule_sums(spark, sf_dir):
 
 
 def rule_intervals(spark, sf_dir):
-    draws = bootstrap.rule_draws(_rule_sums(spark, sf_dir), RULES)
+    draws = bootstrap.rule_draws(_rule_sums(*saved_scores(spark, sf_dir)), RULES)
     long = bootstrap.long_draws(draws, [*CELL, "rule"], RATE_METRICS)
     return rounded(bootstrap.intervals(long, [*CELL, "rule", "metric"]),
                    "ci_lo", "ci_hi", "boot_std")
@@ -130,8 +140,8 @@ def paired_diff(spark, sf_dir):
 
 
 def summary(spark, sf_dir):
-    pred, val = fx.test_scores(spark, sf_dir), fx.val_scores(spark, sf_dir)
-    sums = pinned(_rule_sums(spark, sf_dir))
+    pred, val = saved_scores(spark, sf_dir)
+    sums = pinned(_rule_sums(pred, val))
     return report.tidy_summary(
         ranking.discrimination(pred), thresholds.operating_points(pred, val, fx.INTERNAL),
         bootstrap.rank_draws(sums), bootstrap.rule_draws(sums, RULES))
@@ -139,7 +149,7 @@ def summary(spark, sf_dir):
 
 def rank_summary(spark, sf_dir):
     """The ranking rows of the summary alone: what the report tables read."""
-    pred = fx.test_scores(spark, sf_dir)
+    pred = saved(fx.test_scores(spark, sf_dir))
     areas = ranking.discrimination(pred).unpivot(
         [*CELL, "n_rows", "n_pos", "prevalence"], ["auroc", "auprc"], "metric", "value")
     draws = bootstrap.long_draws(_rank_draws(pred), CELL, ["auroc", "auprc"])
