@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from cohortry.functions import hashing
 from cohortry.functions.rates import RATE_METRICS, rates
-from cohortry.operators.prefix import in_ranges
+from cohortry.operators.prefix import in_ranges, sampled_quantiles
 from cohortry.operators.ranking import CELL
 from cohortry.session import pinned
 
@@ -117,7 +117,7 @@ def _range_precision(n_draws: int) -> Callable:
 # --- the Spark part -----------------------------------------------------------
 
 def range_plan(df: DataFrame, value: str, range_rows: int = RANGE_ROWS,
-               max_ranges: int = 100_000) -> tuple[list[float], dict[float, int]]:
+               max_ranges: int = 100_000) -> tuple[list[float], dict[int, int]]:
     """(cut points, {range number: salts}) so that no group exceeds its share.
 
     A score that holds several shares by itself gets a range of its own. Ties
@@ -126,13 +126,11 @@ def range_plan(df: DataFrame, value: str, range_rows: int = RANGE_ROWS,
     n = df.count()
     if n <= range_rows:
         return [], {}
-    parts = min(math.ceil(n / range_rows), max_ranges)
-    cuts = df.select(F.col(value).cast("double").alias("v")).approxQuantile(
-        "v", [i / parts for i in range(parts + 1)], 1.0 / (4 * parts))
+    cuts = sampled_quantiles(df, value, min(math.ceil(n / range_rows), max_ranges), n)
     seen = Counter(cuts)
     hot = {c: k for c, k in seen.items() if k > 1}
     points = sorted(set(seen) | {float(np.nextafter(c, math.inf)) for c in hot})
-    return points, {float(points.index(c) + 1): k + 1 for c, k in hot.items()}
+    return points, {points.index(c) + 1: k + 1 for c, k in hot.items()}
 
 
 def draw_sums(pred: DataFrame, n_draws: int = N_DRAWS, flags: Sequence[str] = (),

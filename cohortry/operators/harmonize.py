@@ -142,6 +142,26 @@ def crosswalk_pct(df: DataFrame, groups: Mapping[str, Sequence[str]], cohort: st
         F.avg(100.0 * F.col("n_recorded") / F.col("n_rows")).alias("pct_observed"))
 
 
+def apply_rules(df: DataFrame) -> DataFrame:
+    """The six derivation rules on the prespecified field names.
+
+    All read the columns as recorded, so no rule builds on another's result and
+    their order does not matter. Absent columns count as missing.
+    """
+    kinds = {"CASETYPE": "string", "EMERGNCY": "string", "ELECTSURG": "string",
+             "PRHEMOGLOBIN": "double", "PRHCT": "double", "HEMO": "double",
+             "PRHEMO_A1C": "double"}
+    raw = df.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in df.columns})
+    c = {k: F.col(k) for k in kinds}
+    return raw.withColumns({
+        "CASETYPE": backfill_casetype(c["CASETYPE"], c["EMERGNCY"], c["ELECTSURG"]),
+        "EMERGNCY": flag_from_casetype(c["EMERGNCY"], c["CASETYPE"], "Emergent"),
+        "ELECTSURG": flag_from_casetype(c["ELECTSURG"], c["CASETYPE"], "Elective"),
+        "PRHEMOGLOBIN": linear_proxy(c["PRHEMOGLOBIN"], c["PRHCT"]),
+        "HEMO": F.coalesce(c["HEMO"], c["PRHEMO_A1C"]),
+        "PRHEMO_A1C": F.coalesce(c["PRHEMO_A1C"], c["HEMO"])})
+
+
 def split_types(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[list[str], list[str]]:
     """(numeric, categorical) columns by stored type, in schema order."""
     keep = list(columns) if columns is not None else df.columns

@@ -17,11 +17,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows that one window partition may hold. Beyond it the order is cut.
-RANGE_ROWS = 4_000_000
-MAX_RANGES = 8192
+RANGE_ROWS = 500_000
+MAX_RANGES = 65_536
+SAMPLE_PER_RANGE, SAMPLE_ROWS = 2_000, 5_000_000
 _RANGE = "_range"
 
 
+def sampled_quantiles(df: DataFrame, value: str, parts: int, n: int) -> list[float]:
+    """parts + 1 cut values from a sample of a value column.
+
+    They only decide which task gets which rows, never a result, so a bounded
+    sample is enough.
+    """
+    share = min(1.0, min(parts * SAMPLE_PER_RANGE, SAMPLE_ROWS) / n)
+    values = df.select(F.col(value).cast("double").alias("v"))
+    if share < 1:
+        values = values.sample(share, seed=17)
+    probs = [i / parts for i in range(parts + 1)]
+    return [c for c in values.approxQuantile("v", probs, 1.0 / (8 * parts)) if math.isfinite(c)]
+
+
 def split_points(df: DataFrame, value: str, range_rows: int = RANGE_ROWS,
                  max_ranges: int = MAX_RANGES) -> list[float]:
     """Cut points that leave about ``range_rows`` rows between two of them.
@@ -34,30 +49,32 @@ def split_points(df: DataFrame, value: str, range_rows: int = RANGE_ROWS,
     n = df.count()
     if n <= range_rows:
         return []
-    parts = min(math.ceil(n / range_rows), max_ranges)
-    probs = [i / parts for i in range(1, parts)]
-    cuts = df.select(F.col(value).cast("double").alias("v")).approxQuantile(
-        "v", probs, 1.0 / (4 * parts))
-    return sorted({c for c in cuts if math.isfinite(c)})
+    return sorted(set(sampled_quantiles(df, value, min(math.ceil(n / range_rows), max_ranges), n)))
 
 
 def in_ranges(df: DataFrame, value: str, points: Sequence[float], out: str = _RANGE) -> DataFrame:
     """Adds the range number of a value; equal values share a range."""
     if not points:
-        return df.withColumn(out, F.lit(0.0))
+        return df.withColumn(out, F.lit(0))
     tmp = f"{out}_v"
     cut = Bucketizer(splits=[-math.inf, *points, math.inf], inputCol=tmp, outputCol=out)
-    return cut.transform(df.withColumn(tmp, F.col(value).cast("double"))).drop(tmp)
+    ranged = cut.transform(df.withColumn(tmp, F.col(value).cast("double")))
+    return ranged.withColumn(out, F.col(out).cast("int")).drop(tmp)
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: str, measures: dict[str, Column],
                    descending: bool = False, points: Sequence[float] = (),
-                   following: Sequence[str] = (), totals: bool = True) -> DataFrame:
+                   following: Sequence[str] = (), totals: bool = True,
+                   source: tuple[DataFrame, str, dict[str, Column]] | None = None) -> DataFrame:
     """Per row: ``cum_<m>`` up to and with it, ``tot_<m>`` of its group.
 
     ``order`` must be unique within a group (group by it first). Columns named
     in ``following`` are also returned as ``next_<c>``, from the next row. Without
     ``totals`` the rows stream through one window and need no buffer.
+
+    ``source`` (rows, order, measures) may name the table ``df`` was grouped from.
+    The sums per range are then taken there, by map-side sums over one more scan,
+    instead of grouping all distinct values a second time.
     """
     keys = list(keys)
     asc = F.desc if descending else F.asc
@@ -73,10 +90,14 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: str, measures: dic
         )
 
     ranged = in_ranges(df, order, points)
+    if source is None or following:
+        base, base_measures = ranged, measures
+    else:
+        base, base_measures = in_ranges(source[0], source[1], points), source[2]
     edge = F.max_by if descending else F.min_by
     heads = [edge(F.struct(*following), F.col(order)).alias("_head")] if following else []
-    sums = ranged.groupBy(*keys, _RANGE).agg(
-        *[F.sum(m).alias(f"_in_{k}") for k, m in measures.items()], *heads)
+    sums = base.groupBy(*keys, _RANGE).agg(
+        *[F.sum(m).alias(f"_in_{k}") for k, m in base_measures.items()], *heads)
 
     # One row per group and range from here: small, and bounded by MAX_RANGES per group.
     group = Window.partitionBy(*keys)
@@ -123,7 +144,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     """
     counts = value_counts(df, keys, value)
     points = split_points(df, value, range_rows)
-    cum = running_totals(counts, keys, value, {"cnt": F.col("cnt")}, points=points)
+    known = df.where(F.col(value).isNotNull())
+    cum = running_totals(counts, keys, value, {"cnt": F.col("cnt")}, points=points,
+                         source=(known, value, {"cnt": F.lit(1)}))
     return quantiles_of(cum, keys, value, probs, upto="cum_cnt", own="cnt", total="tot_cnt")
 
 

@@ -29,12 +29,16 @@ def score_counts(pred: DataFrame, keys: Sequence[str] = CELL, y: str = "y_true",
 
 def cumulative(pred: DataFrame, keys: Sequence[str] = CELL, y: str = "y_true",
                score: str = "score_raw", range_rows: int = RANGE_ROWS,
-               following: Sequence[str] = (), totals: bool = True) -> DataFrame:
+               following: Sequence[str] = (), totals: bool = True,
+               points: Sequence[float] | None = None) -> DataFrame:
     """(cell, score, p, n, tp, fp, pos, neg): counts at or above each score."""
     counts = score_counts(pred, keys, y, score)
-    points = split_points(pred, score, range_rows)
+    if points is None:
+        points = split_points(pred, score, range_rows)
+    one = F.col(y).cast("long")
     cum = running_totals(counts, keys, "score", {"p": F.col("p"), "n": F.col("n")},
-                         descending=True, points=points, following=following, totals=totals)
+                         descending=True, points=points, following=following, totals=totals,
+                         source=(pred, score, {"p": one, "n": 1 - one}))
     return cum.withColumnsRenamed(
         {"cum_p": "tp", "cum_n": "fp", "tot_p": "pos", "tot_n": "neg"})
 
@@ -100,13 +104,13 @@ def roc_curve(pred: DataFrame, keys: Sequence[str] = CELL, y: str = "y_true",
     A point between two equal steps lies on a straight line and is dropped. The
     index counts the kept points in descending score order.
     """
-    cum = cumulative(pred, keys, y, score, range_rows, following=["p", "n"])
+    points = split_points(pred, score, range_rows)
+    cum = cumulative(pred, keys, y, score, following=["p", "n"], points=points)
     first = (F.col("tp") == F.col("p")) & (F.col("fp") == F.col("n"))
     bend = (F.col("next_p") != F.col("p")) | (F.col("next_n") != F.col("n"))
     kept = cum.where(first | F.col("next_p").isNull() | bend).select(
         *keys, "score", F.try_divide("fp", "neg").alias("fpr"),
         F.try_divide("tp", "pos").alias("tpr"), F.lit(1).cast("long").alias("one"))
-    points = split_points(pred, score, range_rows)
     ranked = running_totals(kept, keys, "score", {"one": F.col("one")}, descending=True,
                             points=points)
     body = ranked.select(*keys, F.col("cum_one").alias("idx"), (F.col("tot_one") + 1).alias("m"),
@@ -124,8 +128,8 @@ def pr_curve(pred: DataFrame, keys: Sequence[str] = CELL, y: str = "y_true",
              score: str = "score_raw", k: int = CURVE_POINTS,
              range_rows: int = RANGE_ROWS) -> DataFrame:
     """(cell, idx, recall, precision) in ascending score order, ending in (0, 1)."""
-    cum = cumulative(pred, keys, y, score, range_rows)
     points = split_points(pred, score, range_rows)
+    cum = cumulative(pred, keys, y, score, points=points)
     ranked = running_totals(cum.withColumn("one", F.lit(1).cast("long")), keys, "score",
                             {"one": F.col("one")}, points=points)
     body = ranked.select(

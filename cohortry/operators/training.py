@@ -177,7 +177,7 @@ def train_cell(df: DataFrame, model: str, label: str, columns: Sequence[str],
                state: PrepState | None = None, row_id: str = "row_id",
                min_iterations: int = MIN_ITERATIONS, **params) -> Cell:
     """Split, fit the view on the fit rows, fit the model. ``state`` reuses a view."""
-    tagged = pinned(stratified_split(df, label, row_id))
+    tagged = stratified_split(df, label, row_id)
     fit_rows = tagged.where(F.col("split") == "fit")
     val_rows = tagged.where(F.col("split") == "val")
     state = state or fit(VIEW_FOR[model], fit_rows, columns, row_id)
