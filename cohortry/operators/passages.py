@@ -10,6 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortry.functions.text import JOIN, PREFIX, field_text, passage, value_text, word_count
 from cohortry.operators.harmonize import mask_columns
@@ -33,23 +34,34 @@ def set_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
         right.join(left, key, "left_anti").select(key, F.lit("right").alias("side")))
 
 
-def _values(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
-    return {c: value_text(F.col(c), df.schema[c].dataType) for c in columns}
+def _texts(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """The table with its number texts, and one text column per field.
+
+    The numbers go through one function over one array: written out per column,
+    the generated code of a wide table would be too large to be compiled well.
+    """
+    floating = [c for c in columns if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
+    values = {c: value_text(F.col(c), df.schema[c].dataType) for c in columns if c not in floating}
+    if floating:
+        numbers = F.array(*[F.col(c).cast("double") for c in floating])
+        df = df.withColumn("_numbers", F.transform(
+            numbers, lambda x: value_text(x, T.DoubleType())))
+        values.update({c: F.col("_numbers")[i] for i, c in enumerate(floating)})
+    return df, values
 
 
 def sentences(df: DataFrame, labels: Mapping[str, str], mask: Sequence[str] = (),
               row_id: str = "row_id") -> DataFrame:
     """(row_id, text): all labelled columns in label order, masked ones as missing."""
     columns = list(labels)
-    df = mask_columns(df, mask)
-    return df.select(row_id, passage(labels, _values(df, columns), columns).alias("text"))
+    df, values = _texts(mask_columns(df, mask), columns)
+    return df.select(row_id, passage(labels, values, columns).alias("text"))
 
 
 def passages(df: DataFrame, labels: Mapping[str, str], groups: Sequence[Sequence[str]],
              mask: Sequence[str] = (), keep: Sequence[str] = ("row_id",)) -> DataFrame:
     """(keep.., chunk, text): one passage per field group, each with the prefix."""
-    df = mask_columns(df, mask)
-    values = _values(df, [c for g in groups for c in g])
+    df, values = _texts(mask_columns(df, mask), [c for g in groups for c in g])
     texts = F.array(*[passage(labels, values, g) for g in groups])
     return df.select(*keep, F.posexplode(texts).alias("chunk", "text"))
 
@@ -58,9 +70,8 @@ def field_costs(df: DataFrame, labels: Mapping[str, str], mask: Sequence[str] =
                 counters: Sequence[Counter] = (word_count,)) -> DataFrame:
     """(pos, column, cost): the most tokens a field takes in any row under any
     counter, with its joiner. All fields in one pass; nothing is exploded."""
-    df = mask_columns(df, mask)
     columns = list(labels)
-    values = _values(df, columns)
+    df, values = _texts(mask_columns(df, mask), columns)
 
     def cost(c: str) -> Column:
         text = F.concat(field_text(labels[c], values[c]), F.lit(JOIN))

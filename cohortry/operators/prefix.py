@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows that one window partition may hold. Beyond it the order is cut.
-RANGE_ROWS = 500_000
+RANGE_ROWS = 1_000_000
 MAX_RANGES = 65_536
 SAMPLE_PER_RANGE, SAMPLE_ROWS = 2_000, 5_000_000
 _RANGE = "_range"

@@ -153,6 +153,20 @@ def boosted_trees(rows: DataFrame, val: DataFrame, seed: int = SEED, patience: i
     return _boosted(rows, seed, {**params, "maxIter": at + 1}), at
 
 
+def for_iterations(df: DataFrame) -> DataFrame:
+    """Cached rows for an iterative fit, on at least as many tasks as there are
+    cores. Tables of many files stay as they are; a single file is spread."""
+    cached = df.cache()
+    cached.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if cached.rdd.getNumPartitions() >= cores:
+        return cached
+    spread = cached.repartition(cores).cache()
+    spread.count()
+    cached.unpersist()
+    return spread
+
+
 @dataclass
 class Cell:
     """One fitted (model, label): the frozen preprocessing and the frozen model."""
@@ -185,7 +199,7 @@ def train_cell(df: DataFrame, model: str, label: str, columns: Sequence[str],
     def vectors(rows: DataFrame) -> DataFrame:
         return design(state, rows, [row_id, label]).withColumnRenamed(label, "y_true")
 
-    x = vectors(fit_rows).cache()
+    x = for_iterations(vectors(fit_rows))
     try:
         if model == "logistic_regression":
             fitted = logistic_regression(x, **params)

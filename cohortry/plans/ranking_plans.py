@@ -300,7 +300,7 @@ def _even(m, k=2000):
 ROC_SQL = f"""WITH {fx.PRED_SQL}, {fx.cum_sql()},
 steps AS (SELECT *, lead(p) OVER w AS np, lead(n) OVER w AS nn,
   row_number() OVER w AS pos_in FROM cum WINDOW w AS (PARTITION BY {KEYS} ORDER BY score DESC)),
-kept AS (SELECT {KEYS}, score, fp / neg AS fpr, tp / pos AS tpr FROM steps
+kept AS (SELECT {KEYS}, score, fp / nullif(neg, 0) AS fpr, tp / nullif(pos, 0) AS tpr FROM steps
   WHERE pos_in = 1 OR np IS NULL OR np <> p OR nn <> n),
 pts AS (SELECT {KEYS}, row_number() OVER (PARTITION BY {KEYS} ORDER BY score DESC) AS idx, fpr, tpr
   FROM kept UNION ALL SELECT DISTINCT {KEYS}, 0, 0.0::DOUBLE, 0.0::DOUBLE FROM kept),
@@ -520,7 +520,7 @@ FROM pred WHERE model = 'm_signal' GROUP BY cohort, label""",
 SELECT {KEYS}, metric, CASE WHEN model = 'm_tied' THEN 'text' ELSE 'tabular' END AS arm,
   {text_sql("–")} AS text,
   abs(value - max(value) OVER (PARTITION BY cohort, label, metric)) < 5e-7 AS best
-FROM rank_summary""",
+FROM rank_summary WHERE value IS NOT NULL""",
     "published_score_eval": f"""WITH {fx.CASES_SQL}, {PUBLISHED_SQL},
 {fx.cum_sql("published")}, areas AS ({areas_sql()}),
 c AS (SELECT *, greatest(least(score_raw, 1 - 1e-7::DOUBLE), 1e-7::DOUBLE) AS s FROM published),
