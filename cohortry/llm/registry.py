@@ -1,8 +1,9 @@
 """Queries of the text operators and the SQL that checks them."""
 
-from cohortry.llm import exact_dedup, simhash
+from cohortry.llm import exact_dedup, mixing, simhash
 
 QUERIES = {
+    "op2_entropy_mix": mixing.op2_entropy_mix,
     "op5_simhash_bytes": simhash.op5_simhash_bytes,
     "op7_digest_index": exact_dedup.op7_digest_index,
 }
