@@ -21,13 +21,32 @@ from cohortry.llm.features import (Distinct, byte_grams, platt, ragged, row_sums
                                    sigmoid)
 
 BITS, GRAMS = 18, (1, 2, 3, 4)
+# Indicators of repetition follow those of the byte n-grams.
+RUNS, SHARES = 4, 8
+DIMS = (1 << BITS) + RUNS + SHARES
 PER_CLASS, FOLDS, ACCEPT = 2500, 5, 0.3
 ALPHA, COST, EPOCHS = 1.0, 0.1, 12
 
 
+def repetition(raw: bytes) -> list[int]:
+    """n-grams of the marks "same word as before": runs of up to 4, and their share in eighths."""
+    words = raw.split()
+    again = np.fromiter(map(bytes.__eq__, words, words[1:]), bool, max(0, len(words) - 1))
+    out, run = [], again
+    for n in range(RUNS):
+        if run.any():
+            out.append((1 << BITS) + n)
+        run = run[:-1] & again[n + 1:]
+    if len(again):
+        out.append((1 << BITS) + RUNS + min(SHARES - 1, int(SHARES * again.mean())))
+    return out
+
+
 def grams(text: str, distinct: Distinct) -> np.ndarray:
-    buf = np.frombuffer(text.encode(), np.uint8)
-    return distinct(np.concatenate([byte_grams(buf, n, BITS) for n in GRAMS]))
+    raw = text.encode()
+    buf = np.frombuffer(raw, np.uint8)
+    found = distinct(np.concatenate([byte_grams(buf, n, BITS) for n in GRAMS]))
+    return np.r_[found, np.array(repetition(raw), np.int64)]
 
 
 def _gram_batches(batches):
@@ -80,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality",
     got = rows.mapInArrow(_gram_batches, "y int, ids array<int>, place long").toPandas()
     got = got.sort_values(["place", "y"], kind="stable")
     y = (got["y"].to_numpy() > 0).astype(float)
-    zero = np.zeros(1 << BITS)
+    zero = np.zeros(DIMS)
     if len(set(y)) < 2:
         return zero, float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))
     held = np.arange(len(y)) % 4 == 3
@@ -91,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality",
         seen = ~held
     lists = list(got["ids"])
     starts, ids = ragged([r for r, s in zip(lists, seen) if s])
-    ratio = log_count_ratio(starts, ids, y[seen], 1 << BITS)
+    ratio = log_count_ratio(starts, ids, y[seen], DIMS)
     w, bias = dual_descent(starts, ids, ratio, 2 * y[seen] - 1)
     weights = w * ratio
     starts, ids = ragged([r for r, s in zip(lists, held) if s])
