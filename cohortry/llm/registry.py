@@ -1,11 +1,15 @@
 """Queries of the text operators and the SQL that checks them."""
 
-from cohortry.llm import exact_dedup, mixing, simhash
+from cohortry.llm import (exact_dedup, langid, mixing, quality, simhash, suffix_tree, toxicity)
 
 QUERIES = {
     "op2_entropy_mix": mixing.op2_entropy_mix,
+    "op3_nbsvm": quality.op3_nbsvm,
+    "op4_ordinal_toxicity": toxicity.op4_ordinal_toxicity,
     "op5_simhash_bytes": simhash.op5_simhash_bytes,
     "op7_digest_index": exact_dedup.op7_digest_index,
+    "op9_suffix_tree": suffix_tree.op9_suffix_tree,
+    "op10_centroid_langid": langid.op10_centroid_langid,
 }
 
 ORACLE = {
