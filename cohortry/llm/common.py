@@ -41,11 +41,20 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents whose id is not in the one-column table ``ids``; null ids are
     compared as equal. All columns and repeated rows stay as they are."""
-    gone = ids.select(F.coalesce(F.col(ids.columns[0]), F.lit(NO_ID)).alias("_gone")).distinct()
-    return docs.join(gone, F.coalesce(F.col(id_col), F.lit(NO_ID)) == F.col("_gone"), "left_anti")
+    own = free_name(docs, "_gone")
+    gone = ids.select(F.coalesce(F.col(ids.columns[0]), F.lit(NO_ID)).alias(own)).distinct()
+    return docs.join(gone, F.coalesce(F.col(id_col), F.lit(NO_ID)) == F.col(own), "left_anti")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

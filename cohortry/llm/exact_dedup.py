@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import NO_ID, table, texts, written
+from cohortry.llm.common import NO_ID, drop_ids, free_name, table, texts, written
 from cohortry.session import work_path
 
 
@@ -80,15 +80,17 @@ def keep_unique(docs: DataFrame) -> DataFrame:
     and digest, and rows repeated with the id and text that stay are reduced to one.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    found = written(dedup(docs).select(key.alias("_k"), "kept", "text_sha256"), "deduped")
-    again = found.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_k")
-    once = drop_ids(docs, found.where("NOT kept").select("_k").union(again))
-    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    one = Window.partitionBy("_k", "_sha").orderBy("_sha")
-    stay = found.where("kept").select("_k", F.col("text_sha256").alias("_sha")).distinct()
-    repeated = (docs.withColumns({"_k": key, "_sha": sha}).join(again, "_k", "left_semi")
-                .join(stay, ["_k", "_sha"], "left_semi")
-                .withColumn("_n", F.row_number().over(one)).where("_n = 1"))
+    k, sha, no = (free_name(docs, c) for c in ("_key", "_sha", "_no"))
+    found = written(dedup(docs).select(key.alias(k), "kept", F.col("text_sha256").alias(sha)),
+                    "deduped")
+    again = found.groupBy(k).agg(F.count(F.lit(1)).alias(no)).where(F.col(no) > 1).select(k)
+    once = drop_ids(docs, found.where("NOT kept").select(k).union(again))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    stay = found.where("kept").select(k, sha).distinct()
+    repeated = (docs.withColumns({k: key, sha: digest}).join(again, k, "left_semi")
+                .join(stay, [k, sha], "left_semi")
+                .withColumn(no, F.row_number().over(Window.partitionBy(k, sha).orderBy(sha)))
+                .where(F.col(no) == 1))
     return once.unionByName(repeated.select(*docs.columns))
 
 

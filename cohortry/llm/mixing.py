@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import NO_ID, WORD, running_offsets, table, written
+from cohortry.llm.common import NO_ID, WORD, free_name, running_offsets, table, written
 from cohortry.session import pinned
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
@@ -184,10 +184,11 @@ def repeat_rows(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; rows repeated with one id
     share the decision of one of them, the largest."""
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    copies = written(mix(docs, **settings).groupBy(key.alias("_k")).agg(
-        F.max("copies").cast("int").alias("_copies")), "copies")
-    return docs.withColumn("_k", key).join(copies.where("_copies > 0"), "_k").withColumn(
-        "_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    k, times, turn = (free_name(docs, c) for c in ("_key", "_times", "_turn"))
+    copies = written(mix(docs, **settings).groupBy(key.alias(k)).agg(
+        F.max("copies").cast("int").alias(times)), "copies")
+    return docs.withColumn(k, key).join(copies.where(F.col(times) > 0), k).withColumn(
+        turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
