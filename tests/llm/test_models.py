@@ -134,7 +134,11 @@ def plain_scores(rows, alphabet_size=None):
     count = Counter(w for d in train for w in d)
     total, distinct = sum(count.values()), len(count)
     most = max(2.0, s.SYMBOL_SHARE * total)
-    cls = {w: int(s.shape_class([w])[0]) for t in rows for w in [x.encode() for x in words(t[1])]}
+    def shape(w):
+        tail = s._TAIL[w[-1]]
+        size = sum(len(w) >= n for n in (4, 7, 11))
+        return int((tail * 4 + size) * 2 + w.isascii())
+    cls = {w: shape(w) for t in rows for w in [x.encode() for x in words(t[1])]}
 
     def symbol(w):
         if w == s.END:
@@ -225,7 +229,7 @@ def test_suffix_tree_probabilities_sum_to_one():
     empty = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     tree = suffix_tree.Tree(base, [None, (ctx, n, rest), empty],
                             [None, (pair, np.array([4.0, 2.0, 2.0])), empty[:2]], size)
-    total = sum(10 ** tree.log10(np.array([3, x]))[1] for x in range(size))
+    total = sum(10 ** tree.log10(np.array([3, x]), np.array([0]))[1] for x in range(size))
     assert abs(total - 1) < 1e-12
 
 
