@@ -50,12 +50,14 @@ def sampled_labels(labels: DataFrame, label: str, per_class: int, seed: int) ->
 def ragged(rows) -> tuple[np.ndarray, np.ndarray]:
     """(starts, values) of a list of arrays; starts has one more entry than there are rows."""
     starts = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int64)
-    return starts, (np.concatenate(rows) if len(rows) else np.zeros(0)).astype(np.int64)
+    return starts, (np.concatenate(rows) if len(rows) else np.zeros(0)).astype(np.int32)
 
 
 def row_sums(starts: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sums of the rows of a ragged array; an empty row sums to zero."""
-    total = np.r_[0.0, np.cumsum(values)]
+    total = np.empty(len(values) + 1)
+    total[0] = 0.0
+    np.cumsum(values, out=total[1:])
     return total[starts[1:]] - total[starts[:-1]]
 
 

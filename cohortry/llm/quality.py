@@ -24,7 +24,7 @@ BITS, GRAMS = 18, (1, 2, 3, 4)
 # Indicators of repetition follow those of the byte n-grams.
 RUNS, SHARES = 4, 8
 DIMS = (1 << BITS) + RUNS + SHARES
-PER_CLASS, FOLDS, ACCEPT = 2500, 5, 0.3
+PER_CLASS, FOLDS, ACCEPT = 1800, 5, 0.3
 ALPHA, COST, EPOCHS = 1.0, 0.1, 12
 
 
@@ -59,9 +59,9 @@ def _gram_batches(batches):
 
 
 def log_count_ratio(starts, ids, y, dims: int) -> np.ndarray:
-    row = np.repeat(y, np.diff(starts))
-    p = ALPHA + np.bincount(ids, weights=row, minlength=dims)
-    q = ALPHA + np.bincount(ids, weights=1 - row, minlength=dims)
+    positive = np.repeat(y > 0, np.diff(starts))
+    p = ALPHA + np.bincount(ids[positive], minlength=dims)
+    q = ALPHA + np.bincount(ids[~positive], minlength=dims)
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality",
         seen = held
     else:
         seen = ~held
-    lists = list(got["ids"])
+    lists = list(got.pop("ids"))
     starts, ids = ragged([r for r, s in zip(lists, seen) if s])
     ratio = log_count_ratio(starts, ids, y[seen], DIMS)
     w, bias = dual_descent(starts, ids, ratio, 2 * y[seen] - 1)

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from cohortry.llm.common import fold, table, texts
 from cohortry.llm.features import ragged, row_sums, sampled_labels, sigmoid
 
-BITS, PREFIXES = 18, (5, 6, 7, 8)
-PER_CLASS, FOLDS, FLAG, GRADES = 4000, 5, 0.5, 3
+BITS, PREFIXES = 21, (5, 6, 7, 8)
+PER_CLASS, FOLDS, FLAG, GRADES = 2500, 5, 0.5, 3
 MIN_ROWS, RIDGE, STEPS, RATE = 4, 2e-4, 120, 0.15
 _WORD = re.compile(r"[^\W_]+")
 
@@ -50,23 +50,30 @@ def _feature_batches(batches):
 def graded(words: list, y: np.ndarray, grades: int = GRADES) -> np.ndarray:
     """Grades 1 .. ``grades`` for the rows of class 1, by how many telling words they hold."""
     starts, ids = ragged(words)
-    row = np.repeat(y, np.diff(starts))
-    p = np.bincount(ids, weights=row, minlength=1 << BITS)
-    q = np.bincount(ids, weights=1 - row, minlength=1 << BITS)
+    positive = np.repeat(y > 0, np.diff(starts))
+    p = np.bincount(ids[positive], minlength=1 << BITS)
+    q = np.bincount(ids[~positive], minlength=1 << BITS)
     odds = np.log((p + 0.5) / (y.sum() + 1)) - np.log((q + 0.5) / ((1 - y).sum() + 1))
     held = row_sums(starts, ((odds > 2) & (p >= 2 * MIN_ROWS))[ids].astype(float))
     cuts = np.quantile(held[y == 1], np.arange(1, grades) / grades)
     return np.where(y == 1, 1 + np.searchsorted(cuts, held, side="left"), 0)
 
 
-def fit_ordinal(starts, ids, grade, levels: int):
+def common_features(starts, ids):
+    """(starts, numbers, features): only features of ``MIN_ROWS`` rows or more, numbered."""
+    features = np.flatnonzero(np.bincount(ids, minlength=1 << BITS) >= MIN_ROWS)
+    number = np.full(1 << BITS, -1, np.int32)
+    number[features] = np.arange(len(features))
+    found = number[ids]
+    kept = found >= 0
+    per_row = row_sums(starts, kept).astype(np.int64)
+    return np.r_[0, np.cumsum(per_row)], found[kept], features
+
+
+def fit_ordinal(starts, ids, grade, levels: int, dims: int):
     """(weights, thresholds) by accelerated gradient steps on the likelihood with a ridge;
     the thresholds stay in order because their gaps are exponentials."""
-    n, dims = len(grade), 1 << BITS
-    common = np.bincount(ids, minlength=dims) >= MIN_ROWS
-    kept = common[ids]
-    per_row = row_sums(starts, kept.astype(float)).astype(np.int64)
-    ids, starts = ids[kept], np.r_[0, np.cumsum(per_row)]
+    n, per_row = len(grade), np.diff(starts)
     w, m, v = np.zeros(dims), np.zeros(dims), np.zeros(dims)
     share = np.array([(grade > k).mean() for k in range(levels)]).clip(1e-4, 1 - 1e-4)
     first = np.sort(-np.log(share / (1 - share))) + 1e-3 * np.arange(levels)
@@ -109,9 +116,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
         share = ((y > 0).sum() + 1) / (len(y) + 2)
         return np.zeros(1 << BITS), np.array([-np.log(share / (1 - share))])
     if y.max() == 1:
-        y = graded(list(got["words"]), y)
-    starts, ids = ragged(list(got["ids"]))
-    return fit_ordinal(starts, ids, y, int(y.max()))
+        y = graded(list(got.pop("words")), y)
+    starts, ids, features = common_features(*ragged(list(got.pop("ids"))))
+    small, theta = fit_ordinal(starts, ids, y, int(y.max()), max(1, len(features)))
+    weights = np.zeros(1 << BITS)
+    weights[features] = small[:len(features)]
+    return weights, theta
 
 
 def grade(docs: DataFrame, model) -> DataFrame:

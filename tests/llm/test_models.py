@@ -70,7 +70,7 @@ def test_ordinal_regression_orders_grades():
            .astype(np.int64) for g in grade]
     ids = [np.unique(i) for i in ids]
     starts = np.r_[0, np.cumsum([len(i) for i in ids])]
-    w, theta = toxicity.fit_ordinal(starts, np.concatenate(ids), grade, 3)
+    w, theta = toxicity.fit_ordinal(starts, np.concatenate(ids), grade, 3, 64)
     assert (np.diff(theta) > 0).all() and w[1] > 0 and w[2] > 0 and w[3] > 0
     x = np.array([w[i].sum() for i in ids])
     severity = (1 / (1 + np.exp(theta[None, :] - x[:, None]))).sum(axis=1)
