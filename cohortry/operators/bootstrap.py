@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from cohortry.functions import hashing
 from cohortry.functions.rates import RATE_METRICS, rates
 from cohortry.operators.prefix import in_ranges, sampled_quantiles
-from cohortry.operators.ranking import CELL
+from cohortry.operators.ranking import CELL, known_score
 from cohortry.session import pinned
 
 N_DRAWS = 1000
@@ -116,8 +117,8 @@ def _range_precision(n_draws: int) -> Callable:
 
 # --- the Spark part -----------------------------------------------------------
 
-def range_plan(df: DataFrame, value: str, range_rows: int = RANGE_ROWS,
-               max_ranges: int = 100_000) -> tuple[list[float], dict[int, int]]:
+def range_plan(df: DataFrame, value: str,
+               range_rows: int = RANGE_ROWS) -> tuple[list[float], dict[int, int]]:
     """(cut points, {range number: salts}) so that no group exceeds its share.
 
     A score that holds several shares by itself gets a range of its own. Ties
@@ -126,7 +127,7 @@ def range_plan(df: DataFrame, value: str, range_rows: int = RANGE_ROWS,
     n = df.count()
     if n <= range_rows:
         return [], {}
-    cuts = sampled_quantiles(df, value, min(math.ceil(n / range_rows), max_ranges), n)
+    cuts = sampled_quantiles(df, value, math.ceil(n / range_rows), n)
     seen = Counter(cuts)
     hot = {c: k for c, k in seen.items() if k > 1}
     points = sorted(set(seen) | {float(np.nextafter(c, math.inf)) for c in hot})
@@ -138,17 +139,24 @@ def draw_sums(pred: DataFrame, n_draws: int = N_DRAWS, flags: Sequence[str] = ()
               range_rows: int = RANGE_ROWS) -> DataFrame:
     """(cell, draw, pos, neg, rank_sum, prec_sum, hit_p<i>, hit_n<i>).
 
+    Missing scores rank below all others, as in the point estimates. Row keys that are not
+    whole numbers are hashed first.
+
     One row per cell and draw: what every metric of a draw is computed from. The
     0/1 columns in ``flags`` mark the rows that a fixed rule flags.
     """
     keys = list(keys)
     unit = [*keys, _RANGE, _SALT]
+    pred = pred.withColumn("score_raw", known_score(F.col("score_raw")))
     points, salts = range_plan(pred, "score_raw", range_rows)
+    lane_key = F.col(row_id)
+    if not isinstance(pred.schema[row_id].dataType, T.IntegralType):
+        lane_key = F.xxhash64(lane_key)
     laned = pred.select(
-        *keys, F.col("score_raw").cast("double").alias("score_raw"),
+        *keys, "score_raw",
         F.col("y_true").cast("int").alias("y_true"), *[F.col(f).cast("double").alias(f) for f in flags],
-        hashing.row_lane(F.col(row_id), 0).alias("_l0"),
-        hashing.row_lane(F.col(row_id), 1).alias("_l1"))
+        hashing.row_lane(lane_key, 0).alias("_l0"),
+        hashing.row_lane(lane_key, 1).alias("_l1"))
     salt = F.lit(0).cast("long")
     if salts:
         table = F.create_map(*[F.lit(x) for kv in salts.items() for x in kv])
@@ -199,11 +207,18 @@ def draw_sums(pred: DataFrame, n_draws: int = N_DRAWS, flags: Sequence[str] = ()
         F.sum(F.col("area") + F.col("before_p") * F.col("wn")).alias("rank_sum"),
         F.sum(tied_prec).alias("between"), *[F.sum(h).alias(h) for h in hits])
     zero = F.lit(0.0)
-    return cells.join(inside, group, "left").withColumn(
+    return null_safe_left(cells, inside, group).withColumn(
         "prec_sum", F.coalesce("inside", zero) + F.coalesce("between", zero)
     ).drop("inside", "between")
 
 
+def null_safe_left(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """A left join on columns that may be NULL; the right side brings its other columns."""
+    other = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return left.join(other, reduce(Column.__and__, same), "left").drop(*[f"_r_{c}" for c in on])
+
+
 def _usable() -> Column:
     return (F.col("pos") > 0) & (F.col("neg") > 0)
 

@@ -8,6 +8,8 @@ together: one pass for the medians, one for mean and spread, one for the levels.
 from __future__ import annotations
 
 from collections.abc import Sequence
+import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.missing import nan_to_null, normalise_missing
 from cohortry.operators.harmonize import split_types
 from cohortry.operators.prefix import RANGE_ROWS, exact_quantiles, running_totals, split_points
-from cohortry.session import BROADCAST_ROWS, pinned, settle
+from cohortry.session import BROADCAST_BYTES, pinned, settle
 from cohortry.sources.tables import require_columns
 
 VIEWS = ("linear", "matrix", "tree", "embed")
@@ -146,6 +148,10 @@ def fit_vocab(df: DataFrame, columns: Sequence[str], row_id: str = "row_id",
 
 # --- the fitted state ------------------------------------------------------------
 
+STATE_HEAD = ("version string, published long, view string, num_cols array<string>, "
+              "cat_cols array<string>, has_numeric boolean")
+
+
 @dataclass
 class PrepState:
     view: str
@@ -163,11 +169,12 @@ class PrepState:
         return self._cache["numbers"]
 
     def sizes(self) -> dict[str, dict]:
-        """column -> mode, number of levels, mu, sd; one row per column."""
+        """column -> mode, number of levels, mu, sd, bytes; one row per column."""
         if "sizes" not in self._cache:
             rows = self.levels.groupBy("column").agg(
                 F.first("mode").alias("mode"), F.count(F.lit(1)).alias("n"),
-                F.max("mu").alias("mu"), F.max("sd").alias("sd")).collect()
+                F.max("mu").alias("mu"), F.max("sd").alias("sd"),
+                F.sum(F.octet_length("level") + 32).alias("bytes")).collect()
             self._cache["sizes"] = {r["column"]: r.asDict() for r in rows}
         return self._cache["sizes"]
 
@@ -181,12 +188,24 @@ class PrepState:
             self._cache["onehot"] = out
         return self._cache["onehot"]
 
+    def small_columns(self) -> set[str]:
+        """The columns whose levels are broadcast: the smallest ones that fit the budget of
+        bytes together, as measured when the state was fitted."""
+        size = {c: x["bytes"] or 0 for c, x in self.sizes().items() if x["mode"] != "onehot"}
+        out, used = set(), 0
+        for c in sorted(size, key=size.get):
+            used += size[c]
+            if used > BROADCAST_BYTES:
+                break
+            out.add(c)
+        return out
+
     def lookup(self, column: str, value: str) -> DataFrame:
-        """(level, value) of one column, broadcast only if it has few levels."""
+        """(level, value) of one column, broadcast only within the budget of bytes."""
         rows = self.levels.where(F.col("column") == column).select(
             F.col("level").alias(column), F.col(value).alias("_value"))
-        n = self.sizes().get(column, {}).get("n", 0)
-        return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+        return F.broadcast(rows) if column in self.small_columns() or (
+            column not in self.sizes()) else rows
 
     def feature_names(self) -> list[str]:
         if self.view != "linear":
@@ -248,22 +267,26 @@ class PrepState:
     # --- saved state -------------------------------------------------------------
 
     def save(self, path: str) -> None:
+        """Writes a new version beside the older ones and then publishes it: a reader sees
+        the state before or after, never a mixture."""
         spark = self.levels.sparkSession
-        head = spark.createDataFrame([(self.view, self.num_cols, self.cat_cols)],
-                                     "view string, num_cols array<string>, cat_cols array<string>")
-        head.write.mode("overwrite").json(f"{path}/head")
+        version = uuid.uuid4().hex
         if self.numeric is not None:
-            self.numeric.write.mode("overwrite").parquet(f"{path}/numeric")
-        self.levels.write.mode("overwrite").parquet(f"{path}/levels")
+            self.numeric.write.parquet(f"{path}/{version}/numeric")
+        self.levels.write.parquet(f"{path}/{version}/levels")
+        spark.createDataFrame(
+            [(version, time.time_ns(), self.view, self.num_cols, self.cat_cols,
+              self.numeric is not None)], STATE_HEAD).coalesce(1).write.mode("append").json(
+            f"{path}/head")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "PrepState":
-        head = spark.read.schema(
-            "view string, num_cols array<string>, cat_cols array<string>").json(
-            f"{path}/head").first()
-        numeric = None if head.view == "tree" else spark.read.parquet(f"{path}/numeric")
+        """The version published last."""
+        head = spark.read.schema(STATE_HEAD).json(f"{path}/head").orderBy(
+            F.desc("published"), "version").first()
+        numeric = spark.read.parquet(f"{path}/{head.version}/numeric") if head.has_numeric else None
         return PrepState(head.view, list(head.num_cols), list(head.cat_cols), numeric,
-                         spark.read.parquet(f"{path}/levels"))
+                         spark.read.parquet(f"{path}/{head.version}/levels"))
 
 
 def imputed(c: str, median: float) -> Column:

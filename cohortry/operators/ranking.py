@@ -2,6 +2,9 @@
 
 Everything is read off one table per prediction set: a row per distinct score
 with the positives and negatives at or above it.
+
+A missing score (NULL or NaN) ranks below all others, tied with minus infinity.
+``audit.finite_scores`` counts such rows.
 """
 
 from __future__ import annotations
@@ -18,6 +21,12 @@ CELL = ["cohort", "model", "label"]
 CURVE_POINTS = 2000
 
 
+def known_score(score: Column) -> Column:
+    """The score as a double, minus infinity where it is missing."""
+    value = score.cast("double")
+    return F.when(value.isNull() | F.isnan(value), F.lit(float("-inf"))).otherwise(value)
+
+
 def score_counts(pred: DataFrame, keys: Sequence[str] = CELL, y: str = "y_true",
                  score: str = "score_raw", weight: Column | None = None) -> DataFrame:
     """(cell, score, p, n): tied scores are merged on the map side."""
@@ -32,6 +41,7 @@ def cumulative(pred: DataFrame, keys: Sequence[str] = CELL, y: str = "y_true",
                following: Sequence[str] = (), totals: bool = True,
                points: Sequence[float] | None = None) -> DataFrame:
     """(cell, score, p, n, tp, fp, pos, neg): counts at or above each score."""
+    pred = pred.withColumn(score, known_score(F.col(score)))
     counts = score_counts(pred, keys, y, score)
     if points is None:
         points = split_points(pred, score, range_rows)

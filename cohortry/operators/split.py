@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,14 +12,17 @@ from cohortry.functions.hashing import SEED, hash_key, label_seed, row_lane
 from cohortry.session import settle
 
 VAL_FRACTION = 0.05
-# Leading hex digits of the hash that make the histogram: 65,536 bins a stratum.
-_DIGITS = 4
+# Rows that share a bin of the hash histogram, about: what one task ranks.
+BIN_ROWS = 10_000
 
 
 def class_quotas(df: DataFrame, strata: str, fraction: float) -> DataFrame:
     """(stratum, n, quota): ceil(n * fraction) rows over all, shared over the strata
-    in proportion, the leftover going to the largest remainders."""
-    sizes = df.groupBy(strata).agg(F.count(F.lit(1)).alias("n"))
+    in proportion, the leftover going to the largest remainders.
+
+    Rows without a stratum take no part. ``strata`` is an outcome: a few classes.
+    """
+    sizes = df.where(F.col(strata).isNotNull()).groupBy(strata).agg(F.count(F.lit(1)).alias("n"))
     everything = Window.partitionBy(F.lit(0))  # one row per class
     total = F.sum("n").over(everything)
     shared = sizes.withColumn("total", F.ceil(total * F.lit(fraction))).withColumn(
@@ -35,12 +39,15 @@ def hash_cuts(df: DataFrame, strata: Sequence[str], key: Column, quotas: DataFra
     """(stratum, cut_key): rows with ``key <= cut_key`` are exactly the quota.
 
     A histogram of the leading hash digits finds the bin with the last wanted
-    row; only that bin, a 65,536th of a stratum, is ranked. No task orders a
-    whole stratum, and tagging the rows afterwards needs no shuffle.
+    row; only that bin is ranked. There are as many digits as leave about
+    ``BIN_ROWS`` rows in a bin of the largest stratum. No task orders a whole
+    stratum, and tagging the rows afterwards needs no shuffle. Equal keys (rows
+    that repeat a row key) fall on one side together.
     """
     strata = list(strata)
-    keyed = df.select(*strata, key.alias("key")).withColumn(
-        "bin", F.substring("key", 1, _DIGITS))
+    keyed = df.select(*strata, key.alias("key"))
+    digits = max(1, math.ceil(math.log(max(1, df.count() / BIN_ROWS), 16)))
+    keyed = keyed.withColumn("bin", F.substring("key", 1, digits))
     hist = keyed.groupBy(*strata, "bin").agg(F.count(F.lit(1)).alias("cnt"))
     upto = Window.partitionBy(*strata).orderBy("bin").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -69,11 +76,14 @@ def stratified_split(df: DataFrame, label: str, row_id: str = "row_id",
     """Adds ``split`` (fit / val), stratified on one outcome.
 
     The rows depend on the outcome's name and values and on the row keys only,
-    so every model of an outcome gets the same split.
+    so every model of an outcome gets the same split. Rows without an outcome
+    are in neither part: their ``split`` is NULL.
     """
     key = hash_key(label_seed(label, seed), F.col(row_id))
-    cuts = hash_cuts(df, [label], key, class_quotas(df, label, fraction))
-    return tag_split(df, [label], key, cuts, "val", "fit")
+    known = df.where(F.col(label).isNotNull())
+    cuts = hash_cuts(known, [label], key, class_quotas(df, label, fraction))
+    tagged = tag_split(df, [label], key, cuts, "val", "fit")
+    return tagged.withColumn("split", F.when(F.col(label).isNotNull(), F.col("split")))
 
 
 def halves(df: DataFrame, keys: Sequence[str], seed: Column | int,

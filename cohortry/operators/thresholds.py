@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.hashing import SEED, label_seed_col
 from cohortry.functions.rates import rates
 from cohortry.operators.prefix import RANGE_ROWS, quantiles_of
-from cohortry.operators.ranking import CELL, best_f1, cumulative
+from cohortry.operators.ranking import CELL, best_f1, cumulative, known_score
 from cohortry.operators.split import halves
 from cohortry.session import settle
 
@@ -94,7 +94,7 @@ def apply_cuts(pred: DataFrame, rules: DataFrame, keys: Sequence[str] = CELL) ->
     y = F.col("y_true").cast("long")
     hit = pred.select(*keys, "score_raw", y.alias("p"), (1 - y).alias("n")).join(
         settle(rules), list(keys))
-    return confusion(hit.withColumn("flag", F.col("score_raw") >= F.col("threshold")),
+    return confusion(hit.withColumn("flag", known_score(F.col("score_raw")) >= F.col("threshold")),
                      [*keys, "rule", "kind", "threshold"])
 
 
@@ -106,7 +106,7 @@ def crossfit(pred: DataFrame, seed: int = SEED, range_rows: int = RANGE_ROWS) ->
     y = F.col("y_true").cast("long")
     hit = halved.select(*CELL, "half", "score_raw", y.alias("p"), (1 - y).alias("n")).join(
         cuts, [*CELL, "half"])
-    out = confusion(hit.withColumn("flag", F.col("score_raw") >= F.col("threshold")), CELL)
+    out = confusion(hit.withColumn("flag", known_score(F.col("score_raw")) >= F.col("threshold")), CELL)
     ab = cuts.groupBy(*CELL).agg(
         F.max(F.when(F.col("half") == "B", F.col("threshold"))).alias("t_a"),
         F.max(F.when(F.col("half") == "A", F.col("threshold"))).alias("t_b"))
@@ -146,5 +146,5 @@ def flagged_rows(pred: DataFrame, rules: DataFrame, names: Sequence[str],
             return F.col("_cut")
         return F.try_element_at("cuts", F.lit(rule))
 
-    flags = {f"f{i}": (F.col("score_raw") >= cut(r)).cast("int") for i, r in enumerate(names)}
+    flags = {f"f{i}": (known_score(F.col("score_raw")) >= cut(r)).cast("int") for i, r in enumerate(names)}
     return rows.withColumns(flags).drop("cuts", "_cut")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import json
+import time
+import uuid
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Model
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
+                                       LogisticRegressionModel, RandomForestClassificationModel,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.functions.hashing import SEED
@@ -18,6 +23,7 @@ from cohortry.operators.prep import PrepState, fit
 from cohortry.operators.ranking import discrimination
 from cohortry.operators.split import stratified_split
 from cohortry.session import pinned
+from cohortry.sources import sinks
 
 # The prespecified hyperparameters.
 LR_C, LR_MAX_ITER, LR_TOL = 1.0, 200, 1e-3
@@ -26,7 +32,11 @@ RF_PARAMS = {"numTrees": 300, "maxDepth": 20, "minInstancesPerNode": 50,
 GBT_PARAMS = {"maxIter": 800, "stepSize": 0.05, "maxDepth": 8, "subsamplingRate": 0.8,
               "featureSubsetStrategy": "0.8"}
 PATIENCE, MIN_ITERATIONS = 50, 20
+MODEL_KINDS = {m.__name__: m for m in (LogisticRegressionModel, RandomForestClassificationModel,
+                                       GBTClassificationModel)}
 VIEW_FOR = {"logistic_regression": "linear", "random_forest": "matrix", "boosted_trees": "tree"}
+# Partitions of the rows of a fit. Fixed, because the layout is part of a seeded model.
+FIT_PARTITIONS = 32
 # MLlib trees split on numbers only; a missing one goes to the far left.
 MISSING = -1e30
 
@@ -72,10 +82,20 @@ def design(state: PrepState, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return assemble(out, state.feature_names(), keep)
 
 
-def positive_score(model: Model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """(keep.., score_raw): the raw model output. It ranks; it is no risk."""
-    return model.transform(df).select(
-        *keep, vector_to_array("probability")[1].alias("score_raw"))
+def positive_score(model: Model, df: DataFrame, keep: Sequence[str],
+                   best_iteration: int | None = None) -> DataFrame:
+    """(keep.., score_raw): the raw model output. It ranks; it is no risk.
+
+    With ``best_iteration`` only the trees up to that one are read.
+    """
+    if best_iteration is None or best_iteration + 1 >= len(model.trees):
+        return model.transform(df).select(
+            *keep, vector_to_array("probability")[1].alias("score_raw"))
+    out, total = df, F.lit(0.0)
+    for i in range(best_iteration + 1):
+        out = model.trees[i].setPredictionCol(f"t{i}").transform(out)
+        total = total + F.col(f"t{i}") * F.lit(float(model.treeWeights[i]))
+    return out.select(*keep, (1.0 / (1.0 + F.exp(-2.0 * total))).alias("score_raw"))
 
 
 def logistic_regression(rows: DataFrame, c: float = LR_C, **params) -> Model:
@@ -102,34 +122,31 @@ def _boosted(rows: DataFrame, seed: int, params: Mapping) -> Model:
     return est.fit(with_class_weight(rows, balanced=False))
 
 
-def staged_precision(model: Model, val: DataFrame, lo: int, hi: int) -> dict[int, float]:
-    """Average precision on the validation rows after lo+1 .. hi trees."""
-    scored = val.select("y_true", "features")
-    total = None
-    stages = []
-    for i in range(hi):
-        tree = model.trees[i]
+def stage_scores(model: Model, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(keep.., stage, score_raw): the score after 1 .. n trees, each tree read once.
+
+    All trees predict into one array; the running sums of a row are made inside the row.
+    """
+    scored, columns = rows, []
+    for i, tree in enumerate(model.trees):
         scored = tree.setPredictionCol(f"t{i}").transform(scored)
-        term = F.col(f"t{i}") * F.lit(float(model.treeWeights[i]))
-        total = term if total is None else total + term
-        if i >= lo:
-            stages.append(F.struct(F.lit(i).alias("stage"), total.alias("score_raw")))
-    long = scored.select("y_true", F.inline(F.array(*stages)))
-    return {r["stage"]: r["auprc"] for r in discrimination(long, ["stage"]).collect()}
-
-
-def best_iteration(stage_value: Callable[[int, int], dict[int, float]], n_stages: int,
-                   patience: int = PATIENCE, block: int = 25) -> int:
-    """The stage with the highest value, looking no further than ``patience``
-    stages past the best so far. Stages are asked for in blocks."""
+        columns.append(F.col(f"t{i}") * F.lit(float(model.treeWeights[i])))
+    terms = scored.select(*keep, F.array(*columns).alias("terms"))
+    # A fold over the row's own array: sums[i] = sums[i - 1] + terms[i].
+    sums = F.aggregate("terms", F.array().cast("array<double>"), lambda a, t: F.concat(
+        a, F.array(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0.0)) + t)))
+    return terms.select(*keep, F.posexplode(sums).alias("stage", "score_raw"))
+
+
+def best_stage(values: Mapping[int, float], patience: int = PATIENCE) -> int:
+    """The stage with the highest value, looking no further than ``patience`` stages past
+    the best so far."""
     best, best_at = float("-inf"), -1
-    for lo in range(0, n_stages, block):
-        values = stage_value(lo, min(lo + block, n_stages))
-        for i in sorted(values):
-            if values[i] is not None and values[i] > best:
-                best, best_at = values[i], i
-            elif i - best_at >= patience:
-                return best_at
+    for i in sorted(values):
+        if values[i] is not None and values[i] > best:
+            best, best_at = values[i], i
+        elif i - best_at >= patience:
+            break
     return best_at
 
 
@@ -137,34 +154,31 @@ def boosted_trees(rows: DataFrame, val: DataFrame, seed: int = SEED, patience: i
                   min_iterations: int = MIN_ITERATIONS, **params) -> tuple[Model, int]:
     """Boosting stopped on validation average precision: (model, best iteration).
 
-    Not on the weighted loss, which rises from the first tree on. The returned
-    model holds the trees up to the best one only, so scoring a new site cannot
-    use more trees than were evaluated: a shorter fit with the same seed is a
-    prefix of the longer one.
+    Not on the weighted loss, which rises from the first tree on. Every tree scores the
+    validation rows once and the precision of all stages comes from one table. The model keeps
+    all its trees; ``positive_score`` reads those up to the best iteration, so there is no
+    second fit and a new site cannot be scored with more trees than were evaluated.
     """
     full = _boosted(rows, seed, params)
-    val = pinned(val.select("y_true", "features"))
-    n = len(full.trees)
-    at = best_iteration(lambda lo, hi: staged_precision(full, val, lo, hi), n, patience)
+    stages = stage_scores(full, val.select("y_true", "features"), ["y_true"])
+    values = {r["stage"]: r["auprc"] for r in discrimination(stages, ["stage"]).collect()}
+    at = best_stage(values, patience)
     if at < min_iterations:
-        raise ValueError(f"early stopping fired at iteration {at} of {n}")
-    if at + 1 == n:
-        return full, at
-    return _boosted(rows, seed, {**params, "maxIter": at + 1}), at
-
-
-def for_iterations(df: DataFrame) -> DataFrame:
-    """Cached rows for an iterative fit, on at least as many tasks as there are
-    cores. Tables of many files stay as they are; a single file is spread."""
-    cached = df.cache()
-    cached.count()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if cached.rdd.getNumPartitions() >= cores:
-        return cached
-    spread = cached.repartition(cores).cache()
-    spread.count()
-    cached.unpersist()
-    return spread
+        raise ValueError(f"early stopping fired at iteration {at} of {len(full.trees)}")
+    return full, at
+
+
+def laid_out(df: DataFrame, row_id: str, parts: int = FIT_PARTITIONS) -> DataFrame:
+    """Rows for an iterative fit, in a layout that follows from their keys alone.
+
+    MLlib draws its samples per partition in the order of the rows. Dealt by key into a fixed
+    number of partitions and sorted there, the same rows and seed give the same model whatever
+    files or cores they came from. Pinned, so that a lost executor recomputes nothing.
+    """
+    return pinned(df.repartition(parts, row_id).sortWithinPartitions(row_id))
+
+
+CELL_HEAD = "version string, published long, model string, label string, kind string, meta string"
 
 
 @dataclass
@@ -181,15 +195,43 @@ class Cell:
         return self.score_design(design(self.state, df, [*keep, self.label]), keep)
 
     def score_design(self, vectors: DataFrame, keep: Sequence[str]) -> DataFrame:
-        out = positive_score(self.fitted, vectors, [*keep, self.label])
+        out = positive_score(self.fitted, vectors, [*keep, self.label],
+                             self.meta.get("best_iteration"))
         return out.select(
             *keep, F.lit(self.model).alias("model"), F.lit(self.label).alias("label"),
             F.col(self.label).cast("int").alias("y_true"), "score_raw")
 
+    def save(self, path: str) -> None:
+        """Writes model, state and metadata as a new version and publishes it last."""
+        spark, version = self.state.levels.sparkSession, uuid.uuid4().hex
+        self.fitted.write().save(f"{path}/{version}/model")
+        self.state.save(f"{path}/{version}/state")
+        spark.createDataFrame(
+            [(version, time.time_ns(), self.model, self.label, type(self.fitted).__name__,
+              json.dumps(self.meta))], CELL_HEAD).coalesce(1).write.mode("append").json(
+            f"{path}/head")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Cell":
+        """The version published last, with nothing taken from the session that fitted it."""
+        head = spark.read.schema(CELL_HEAD).json(f"{path}/head").orderBy(
+            F.desc("published"), "version").first()
+        fitted = MODEL_KINDS[head.kind].load(f"{path}/{head.version}/model")
+        return Cell(head.model, head.label, PrepState.load(spark, f"{path}/{head.version}/state"),
+                    fitted, json.loads(head.meta))
+
 
-def train_cell(df: DataFrame, model: str, label: str, columns: Sequence[str],
-               state: PrepState | None = None, row_id: str = "row_id",
-               min_iterations: int = MIN_ITERATIONS, **params) -> Cell:
+@dataclass
+class Trained:
+    """A cell with its split, as (row_id, label, split)."""
+    cell: Cell
+    split: DataFrame
+    val_rows: DataFrame
+
+
+def train(df: DataFrame, model: str, label: str, columns: Sequence[str],
+          state: PrepState | None = None, row_id: str = "row_id",
+          min_iterations: int = MIN_ITERATIONS, **params) -> Trained:
     """Split, fit the view on the fit rows, fit the model. ``state`` reuses a view."""
     tagged = stratified_split(df, label, row_id)
     fit_rows = tagged.where(F.col("split") == "fit")
@@ -199,35 +241,82 @@ def train_cell(df: DataFrame, model: str, label: str, columns: Sequence[str],
     def vectors(rows: DataFrame) -> DataFrame:
         return design(state, rows, [row_id, label]).withColumnRenamed(label, "y_true")
 
-    x = for_iterations(vectors(fit_rows))
+    x = laid_out(vectors(fit_rows), row_id)
+    sizes = x.agg(F.count(F.lit(1)), F.sum("y_true")).first()
+    meta = {"n_fit": int(sizes[0]), "n_fit_pos": int(sizes[1] or 0), "columns": list(columns)}
+    if model == "logistic_regression":
+        fitted = logistic_regression(x, **params)
+        n_iter = int(fitted.summary.totalIterations)
+        meta |= {"n_iter": n_iter, "converged": n_iter < fitted.getMaxIter()}
+    elif model == "random_forest":
+        fitted = random_forest(x, **params)
+    elif model == "boosted_trees":
+        fitted, at = boosted_trees(x, pinned(vectors(val_rows)), min_iterations=min_iterations,
+                                   **params)
+        meta |= {"best_iteration": at}
+    else:
+        raise ValueError(f"unknown model: {model}")
+    split = tagged.where(F.col("split").isNotNull()).select(
+        row_id, F.lit(label).alias("label"), "split")
+    return Trained(Cell(model, label, state, fitted, meta), split, val_rows)
+
+
+def train_cell(df: DataFrame, model: str, label: str, columns: Sequence[str], **options) -> Cell:
+    """The cell of ``train``."""
+    return train(df, model, label, columns, **options).cell
+
+
+def run_grid(df: DataFrame, tests: DataFrame, models: Sequence[str], labels: Sequence[str],
+             columns: Sequence[str], path: str, row_id: str = "row_id",
+             options: Mapping[str, Mapping] | None = None) -> list[tuple[str, str]]:
+    """Trains every (model, label) that ``path`` has no finished cell of; returns those trained.
+
+    For each cell it writes the model with its state, the split, and the predictions for the
+    validation rows and for ``tests`` (tables ``val`` and ``test`` of ``path``). The metadata
+    row comes last: it is what marks a cell as finished. The loop runs over the grid, a few
+    cells; every step of a cell is a job.
+    """
+    spark = df.sparkSession
+    trained = []
+    for model, label in unfinished(models, labels, finished(spark, path)).orderBy(
+            "label", "model").collect():
+        done = train(df, model, label, columns, row_id=row_id, **(options or {}).get(model, {}))
+        done.cell.save(f"{path}/cells/{model}/{label}")
+        sinks.write_cells(done.split.withColumn("model", F.lit(model)), f"{path}/split",
+                          ["label", "model"])
+        for part, rows in (("val", done.val_rows), ("test", tests)):
+            sinks.write_predictions(done.cell.score(rows, ["cohort", row_id]), f"{path}/{part}")
+        sinks.append_meta(spark.createDataFrame(
+            [(model, label, json.dumps(done.cell.meta))], "model string, label string, facts string"),
+            f"{path}/meta", ["model", "label"])
+        trained.append((model, label))
+    return trained
+
+
+def finished(spark: SparkSession, path: str) -> DataFrame:
+    """(model, label) of the cells whose metadata a grid run has written."""
     try:
-        if model == "logistic_regression":
-            fitted = logistic_regression(x, **params)
-            n_iter = int(fitted.summary.totalIterations)
-            meta = {"n_iter": n_iter, "converged": n_iter < fitted.getMaxIter()}
-        elif model == "random_forest":
-            fitted, meta = random_forest(x, **params), {}
-        elif model == "boosted_trees":
-            fitted, at = boosted_trees(x, vectors(val_rows), min_iterations=min_iterations,
-                                       **params)
-            meta = {"best_iteration": at}
-        else:
-            raise ValueError(f"unknown model: {model}")
-    finally:
-        x.unpersist()
-    return Cell(model, label, state, fitted, meta)
+        return sinks.read_meta(spark, f"{path}/meta", "model string, label string", "facts string"
+                               ).select("model", "label").distinct()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "model string, label string")
 
 
 def score_cells(cells: Sequence[Cell], df: DataFrame,
                 keep: Sequence[str] = ("cohort", "row_id")) -> DataFrame:
-    """Predictions of several cells; cells that share a state share its vectors."""
-    made: dict[int, DataFrame] = {}
-    out = None
+    """Predictions of several cells; cells that share a state share its vectors, which are
+    pinned in the shared folder."""
     labels = sorted({c.label for c in cells})
+    made: list[tuple[PrepState, DataFrame]] = []
+    out = None
     for c in cells:
-        if id(c.state) not in made:
-            made[id(c.state)] = design(c.state, df, [*keep, *labels]).cache()
-        part = c.score_design(made[id(c.state)], keep)
+        vectors = next((v for s, v in made if s is c.state), None)
+        if vectors is None:
+            vectors = pinned(design(c.state, df, [*keep, *labels]))
+            made.append((c.state, vectors))
+        part = c.score_design(vectors, keep)
         out = part if out is None else out.unionByName(part)
     return out
 

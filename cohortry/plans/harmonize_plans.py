@@ -129,14 +129,17 @@ def _pool(spark, sf_dir):
 
 
 def _splits(spark, sf_dir):
-    """(label, model, row_id, split): each model of an outcome makes its own split."""
+    """(label, model, row_id, split): each model of an outcome makes its own split, from rows in
+    another order and layout."""
     pool = _pool(spark, sf_dir)
     out = None
     for label in fx.LABELS:
-        s = split.stratified_split(pool.select("row_id", label), label).select(
-            F.lit(label).alias("label"), "row_id", "split")
-        out = s if out is None else out.unionByName(s)
-    return out.withColumn("model", F.explode(F.array(*[F.lit(m) for m in fx.MODELS])))
+        for i, model in enumerate(fx.MODELS):
+            own = pool.select("row_id", label).repartition(i + 2, "row_id")
+            s = split.stratified_split(own, label).select(
+                F.lit(label).alias("label"), F.lit(model).alias("model"), "row_id", "split")
+            out = s if out is None else out.unionByName(s)
+    return out
 
 
 def strat_split(spark, sf_dir):

@@ -1,14 +1,22 @@
-"""Queries that fit MLlib models and score held-out rows. No SQL form exists."""
+"""Queries that fit MLlib models and score held-out rows.
+
+Fits on many columns have no SQL form. The same fitting, saving and scoring code is checked
+against SQL where a model has a closed form: Newton steps for a logistic regression on one
+column, weighted shares and residual means for trees of one split.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortry.operators import ranking, training
+from cohortry.operators import ranking, thresholds, training
 from cohortry.operators import vectors as v
+from cohortry.operators.training import Cell
 from cohortry.plans import fixtures as fx
+from cohortry.plans import harmonize_plans as hp
 from cohortry.plans import prep_plans as pp
-from cohortry.session import pinned
+from cohortry.session import pinned, work_path
+from cohortry.sources import sinks
 
 COLUMNS = ["bal", "lab_raw", "lab_late", "segment", "casetype", "emergency", "elective",
            "proc_text"]
@@ -48,16 +56,126 @@ def shared_view_scores(spark, sf_dir):
 
 
 def probe_fit_score(spark, sf_dir):
-    """A linear probe on standardised pooled vectors."""
+    """A linear probe on standardised pooled vectors: fitted, with the scaler, on four fifths
+    of the rows, scored on the rest."""
     rows = fx.chunk_vectors(spark, sf_dir)
     y = rows.groupBy("row_id").agg(F.max(F.when(F.col("klass") == 0, 1).otherwise(0)).alias("y_true"))
     pooled = pinned(v.pool_chunks(rows))
-    x = v.apply_scaler(pooled, v.fit_scaler(pooled)).join(y, "row_id")
+    held = F.col("row_id") % 5 == 0
+    scaler = v.fit_scaler(pooled.where(~held))
+    x = v.apply_scaler(pooled, scaler).join(y, "row_id")
     x = pinned(x.withColumn("features", v.array_to_vector("vec")).drop("vec"))
-    model = training.probe(x)
-    return training.positive_score(model, x, ["row_id", "y_true"])
+    model = training.probe(training.laid_out(x.where(~held), "row_id"))
+    return training.positive_score(model, x.where(held), ["row_id", "y_true"])
+
+
+def frozen_score(spark, sf_dir):
+    """A cell fitted on the development years, saved, loaded in another session and applied to
+    the external cohort."""
+    path = work_path(spark, "cell")
+    cell = training.train_cell(pp.train_rows(spark, sf_dir), "logistic_regression", "y_a", ["bal"],
+                               tol=1e-12)
+    cell.save(path)
+    other = spark.newSession()
+    external = pp.test_rows(other, sf_dir).where("cohort = 'ext'")
+    out = Cell.load(other, path).score(external, KEEP)
+    return out.withColumn("score_raw", F.round("score_raw", 5))
+
+
+def _stump_rows(spark, sf_dir):
+    """(row_id, y_true, features) with one 0/1 feature, and the held-out rows."""
+    marked = F.when(F.col("lab_raw") > 150, 1.0).otherwise(0.0)
+    def rows(df):
+        return training.assemble(df.select("row_id", F.col("y_a").alias("y_true"), marked.alias("x")),
+                                 ["x"], ["row_id", "y_true"])
+    return (training.laid_out(rows(pp.train_rows(spark, sf_dir)), "row_id"),
+            rows(pp.test_rows(spark, sf_dir)))
+
+
+def rf_stump(spark, sf_dir):
+    """A forest of one tree with one split, without resampling: its leaves are weighted shares."""
+    train, test = _stump_rows(spark, sf_dir)
+    model = training.random_forest(train, numTrees=1, maxDepth=1, bootstrap=False,
+                                   featureSubsetStrategy="all", minInstancesPerNode=1)
+    out = training.positive_score(model, test, ["row_id", "y_true"])
+    return out.withColumn("score_raw", F.round("score_raw", 6))
+
+
+def gbt_stages(spark, sf_dir):
+    """Boosted trees of one split: the scores after one, two and three trees."""
+    train, test = _stump_rows(spark, sf_dir)
+    model, _ = training.boosted_trees(train, train, min_iterations=0, maxIter=3, maxDepth=1,
+                                      stepSize=0.5, subsamplingRate=1.0,
+                                      featureSubsetStrategy="all")
+    out = training.stage_scores(model, test, ["row_id"])
+    return out.withColumn("score_raw", F.round("score_raw", 6))
+
+
+def trained_transfer(spark, sf_dir):
+    """A grid run over two cells; a second run finds nothing left. The threshold learned on
+    the written validation predictions is applied to the written test predictions."""
+    path = work_path(spark, "grid")
+    train, test = pp.train_rows(spark, sf_dir), pp.test_rows(spark, sf_dir)
+    grid = (train, test, ["logistic_regression"], fx.LABELS, ["bal", "lab_raw"], path)
+    first, again = training.run_grid(*grid), training.run_grid(*grid)
+    val, pred = (sinks.read_cells(spark, f"{path}/{part}") for part in ("val", "test"))
+    out = thresholds.apply_cuts(pred, thresholds.transferred(pred, thresholds.val_cuts(val)))
+    return out.withColumns({"n_trained": F.lit(len(first)), "n_again": F.lit(len(again))})
 
 
 QUERIES = {f.__name__: f for f in (
-    lr_fit_score, rf_fit_score, gbt_fit_score, shared_view_scores, probe_fit_score)}
-ORACLE: dict[str, str] = {}
+    lr_fit_score, rf_fit_score, gbt_fit_score, shared_view_scores, probe_fit_score, frozen_score,
+    rf_stump, gbt_stages, trained_transfer)}
+
+_NEWTON_SQL = f"""
+WITH RECURSIVE {pp.CLEAN_SQL},
+pool AS (SELECT row_id, y_a, y_b FROM train), {hp._split_sql("y_a", "s")},
+fit AS (SELECT t.row_id, t.bal, t.y_a AS y FROM train t JOIN s USING (row_id) WHERE s.split = 'fit'),
+med AS (SELECT coalesce(median(bal), 0.0::DOUBLE) AS m FROM fit),
+mom AS (SELECT m, avg(coalesce(bal, m)) AS mu, stddev_samp(coalesce(bal, m)) AS sd
+  FROM fit, med GROUP BY m),
+wts AS (SELECT count(*) / (2.0::DOUBLE * sum(y)) AS w1, count(*) / (2.0::DOUBLE * sum(1 - y)) AS w0,
+  count(*)::DOUBLE AS total FROM fit),
+x AS (SELECT (coalesce(bal, m) - mu) / sd AS x, y, CASE WHEN y = 1 THEN w1 ELSE w0 END AS w, total
+  FROM fit, mom, wts),
+nt(i, b0, b1) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01),
+         b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+  FROM (
+    SELECT i, b0, b1, sum(w * (p - y)) / any_value(total) AS g0,
+      sum(w * (p - y) * x) / any_value(total) + b1 / any_value(total) AS g1,
+      sum(w * p * (1 - p)) / any_value(total) AS h00, sum(w * p * (1 - p) * x) / any_value(total) AS h01,
+      sum(w * p * (1 - p) * x * x) / any_value(total) + 1 / any_value(total) AS h11
+    FROM (SELECT nt.i, nt.b0, nt.b1, x.*, 1 / (1 + exp(-(nt.b0 + nt.b1 * x.x))) AS p FROM nt, x)
+    GROUP BY i, b0, b1)
+  WHERE i < 12)
+SELECT t.cohort, t.row_id, 'logistic_regression' AS model, 'y_a' AS label, t.y_a AS y_true,
+  round(1 / (1 + exp(-(b0 + b1 * (coalesce(t.bal, m) - mu) / sd))), 5) AS score_raw
+FROM test t, mom, (SELECT b0, b1 FROM nt ORDER BY i DESC LIMIT 1) WHERE t.cohort = 'ext'"""
+
+_STUMP_SQL = f"""{pp.CLEAN_SQL},
+tr AS (SELECT CASE WHEN lab_raw > 150 THEN 1 ELSE 0 END AS x, y_a AS y FROM train),
+te AS (SELECT row_id, y_a AS y_true, CASE WHEN lab_raw > 150 THEN 1 ELSE 0 END AS x FROM test)"""
+
+_GBT_SQL = f"""WITH {_STUMP_SQL},
+g AS (SELECT x, sum(y)::DOUBLE AS p, sum(1 - y)::DOUBLE AS n,
+  (SELECT sum(1 - y) / sum(y)::DOUBLE FROM tr) AS w FROM tr GROUP BY x),
+f1 AS (SELECT *, (p * w - n) / (p * w + n) AS s1 FROM g),
+f2 AS (SELECT *, s1 + 0.5::DOUBLE * (p * w * 4 / (1 + exp(2 * s1)) - n * 4 / (1 + exp(-2 * s1)))
+  / (p * w + n) AS s2 FROM f1),
+f3 AS (SELECT *, s2 + 0.5::DOUBLE * (p * w * 4 / (1 + exp(2 * s2)) - n * 4 / (1 + exp(-2 * s2)))
+  / (p * w + n) AS s3 FROM f2)
+SELECT row_id, k.stage, round(CASE k.stage WHEN 0 THEN s1 WHEN 1 THEN s2 ELSE s3 END, 6) AS score_raw
+FROM te JOIN f3 USING (x), (VALUES (0), (1), (2)) k(stage)"""
+
+ORACLE: dict[str, str] = {
+    "frozen_score": _NEWTON_SQL,
+    "rf_stump": f"""WITH {_STUMP_SQL},
+w AS (SELECT count(*) / (2.0::DOUBLE * sum(y)) AS w1, count(*) / (2.0::DOUBLE * sum(1 - y)) AS w0 FROM tr),
+leaf AS (SELECT x, sum(y) * any_value(w1) / (sum(y) * any_value(w1) + sum(1 - y) * any_value(w0)) AS p
+  FROM tr, w GROUP BY x)
+SELECT row_id, y_true, round(p, 6) AS score_raw FROM te JOIN leaf USING (x)""",
+    "gbt_stages": _GBT_SQL,
+}

@@ -70,6 +70,20 @@ def ordinal_codes(spark, sf_dir):
     return state.transform(test_rows(spark, sf_dir))
 
 
+def codes_text_key(spark, sf_dir):
+    """Codes by first appearance where rows are keyed by texts."""
+    rows = train_rows(spark, sf_dir).select(
+        F.concat(F.lit("case-"), F.lpad(F.col("row_id").cast("string"), 12, "0")).alias("key"),
+        *[F.col(c) for c in [*LOW, HIGH]])
+    return prep.fit_codes(rows, [*LOW, HIGH], "key", range_rows=500).select("column", "level", "pos")
+
+
+def approx_median(spark, sf_dir):
+    """Approximate medians at an accuracy that is exact for these tables: the lower middle value."""
+    out = prep.fit_numeric(train_rows(spark, sf_dir), NUMERIC, exact=False, accuracy=10_000_000)
+    return _r(out, ["median"]).select("column", "median")
+
+
 def native_cat(spark, sf_dir):
     state = prep.fit("tree", train_rows(spark, sf_dir), WIDE)
     return _r(state.transform(test_rows(spark, sf_dir)), NUMERIC)
@@ -209,7 +223,8 @@ UNION ALL SELECT 'all cohorts', 'numeric', count(*) FROM num a JOIN num2 b USING
   OR abs(a.std - b.std) > 1e-8 + 1e-5 * abs(b.std)"""
 
 QUERIES = {f.__name__: f for f in (
-    fit_numeric, impute_matrix, impute_scale, onehot_levels, onehot, freq_encode, ordinal_codes,
+    fit_numeric, impute_matrix, impute_scale, onehot_levels, onehot, freq_encode, ordinal_codes, codes_text_key,
+    approx_median,
     native_cat, vocab_ids, feature_names, state_diff, refit_transform)}
 
 ORACLE = {
@@ -231,6 +246,11 @@ SELECT row_id, round((coalesce(f, 0.0::DOUBLE) - mu) / sd, 6) AS {HIGH}__freq
 FROM test LEFT JOIN freq ON {HIGH} = level, mom""",
     "ordinal_codes": f"WITH {CLEAN_SQL}, {levels_sql([*LOW, HIGH])} "
                      + codes_sql([*LOW, HIGH], "by_first", -1),
+    "codes_text_key": f"""WITH {CLEAN_SQL}, {levels_sql([*LOW, HIGH])}
+SELECT "column", level, by_first AS pos FROM ranked""",
+    "approx_median": f"WITH {CLEAN_SQL} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", round(coalesce((SELECT quantile_disc({c}, 0.5) FROM train),"
+        f" 0.0::DOUBLE), 6) AS median" for c in NUMERIC),
     "native_cat": f"WITH {CLEAN_SQL}, {levels_sql([*LOW, HIGH])} SELECT row_id, "
                   + ", ".join(f"round({c}, 6) AS {c}" for c in NUMERIC) + ", " + ", ".join(
         f"CASE WHEN {c} IN (SELECT level FROM ranked WHERE \"column\" = '{c}') THEN {c} END AS {c}"

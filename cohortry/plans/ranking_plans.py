@@ -13,7 +13,7 @@ from cohortry.sources import sinks
 from cohortry.sources.tables import published_scores
 
 CELL = ranking.CELL
-N_DRAWS = 40
+N_DRAWS = bootstrap.N_DRAWS
 COUNTS = ["tp", "fp", "fn", "tn", "n_flagged"]
 
 
@@ -39,6 +39,17 @@ def auroc_ap(spark, sf_dir):
     return rounded(out, "prevalence", "auroc", "auprc")
 
 
+def auroc_missing(spark, sf_dir):
+    """Scores that divide by the balance: NULL, NaN and infinity occur; a cell without a name."""
+    c = fx.cases(spark, sf_dir).where("split = 'test'")
+    bad = F.when(F.col("bal") < -900, float("nan")).when(
+        F.col("bal") > 9900, float("inf")).otherwise(F.col("bal") / 1e4)
+    rows = c.select(F.col("segment").alias("cohort"), F.col("y_a").alias("y_true"),
+                    bad.alias("score_raw"))
+    return rounded(ranking.discrimination(rows, ["cohort"], range_rows=1000),
+                   "prevalence", "auroc", "auprc")
+
+
 def lineitem_auroc(spark, sf_dir):
     """One large cell: does the price rank returned lines?"""
     rows = fx.table(spark, sf_dir, "lineitem").select(
@@ -454,7 +465,7 @@ def pivot_sql(src, where="TRUE"):
 
 
 QUERIES = {f.__name__: f for f in (
-    auroc_ap, lineitem_auroc, outcome_counts, brier_logloss, best_f1, topk_rules, confusion,
+    auroc_ap, auroc_missing, lineitem_auroc, outcome_counts, brier_logloss, best_f1, topk_rules, confusion,
     f1_val_transfer, f1_crossfit, operating_points, roc_curve, pr_curve, bootstrap_draws,
     rank_intervals, rule_intervals, paired_diff, summary_tidy, summary_wide, panel, counts_line,
     merged_arms, published_score_eval, reference_row, axis_range)}
@@ -465,6 +476,11 @@ ORACLE = {
     "lineitem_auroc": f"""WITH pred AS (SELECT l_linestatus AS cohort,
   CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y_true, l_extendedprice AS score_raw
   FROM lineitem), {fx.cum_sql("pred", "cohort")}, areas AS ({areas_sql("cohort")})
+SELECT cohort, {AREAS_OUT} FROM areas""",
+    "auroc_missing": f"""WITH {fx.CASES_SQL}, pred AS (SELECT segment AS cohort, y_a AS y_true,
+  CASE WHEN bal IS NULL OR bal < -900 THEN '-infinity'::DOUBLE WHEN bal > 9900
+       THEN 'infinity'::DOUBLE ELSE bal / 10000.0::DOUBLE END AS score_raw
+  FROM cases WHERE split = 'test'), {fx.cum_sql("pred", "cohort")}, areas AS ({areas_sql("cohort")})
 SELECT cohort, {AREAS_OUT} FROM areas""",
     "outcome_counts": f"""WITH {fx.PRED_SQL} SELECT {KEYS}, count(*) AS n_rows,
   sum(y_true)::BIGINT AS n_pos, sum(1 - y_true)::BIGINT AS n_neg,

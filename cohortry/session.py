@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows a side may have before it is left to the shuffle join. The tables that go
-# through ``settle`` hold a few short columns, so this is some tens of MB.
-BROADCAST_ROWS = 200_000
+# Bytes that one operator may broadcast, all its sides together.
+BROADCAST_BYTES = 32 << 20
 
 
 def build_session(app: str = "cohortry", master: str | None = None, **conf: str) -> SparkSession:
@@ -61,11 +63,42 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Pin a summary table and broadcast it only if it was counted to be small.
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: texts by their length, nested values as JSON."""
+    def size(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 8
+        return F.lit(8)
+    return sum((size(f) for f in df.schema.fields), F.lit(16)).cast("long")
 
-    The row count is taken from the checkpoint, so the check costs no second
-    run of the plan. A larger table is returned unhinted and joins by shuffle.
+
+def settle(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Pin a summary table and broadcast it only if it was measured to be small.
+
+    The bytes are summed over the checkpoint, so the check costs no second run of
+    the plan. A larger table is returned unhinted and joins by shuffle.
     """
     fixed = pinned(df)
-    return F.broadcast(fixed) if fixed.count() <= max_rows else fixed
+    size = fixed.agg(F.coalesce(F.sum(row_bytes(fixed)), F.lit(0))).first()[0]
+    return F.broadcast(fixed) if size <= max_bytes else fixed
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors of a cluster on which it is not installed."""
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp()  # the driver's own; Spark copies the file to the executors
+    archive = shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+
+
+def remove_work(spark: SparkSession, path: str) -> None:
+    """Removes a table below the shared folder once nothing reads it any more."""
+    root = shared_root(spark).rstrip("/")
+    if not path.startswith(f"{root}/"):
+        raise ValueError(f"{path} is not below {root}")
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -139,24 +139,33 @@ def test_pooled_vectors_have_unit_norm_and_scaler_is_exact(spark):
 
 def test_best_iteration_waits_for_patience():
     def curve(values):
-        return lambda lo, hi: {i: values[i] for i in range(lo, hi)}
-    assert training.best_iteration(curve([.1, .3, .2, .2, .9]), 5, patience=2, block=2) == 1
-    assert training.best_iteration(curve([.1, .3, .2, .2, .9]), 5, patience=9, block=2) == 4
-    assert training.best_iteration(curve([.3, .3, .3]), 3, patience=9) == 0
+        return dict(enumerate(values))
+    assert training.best_stage(curve([.1, .3, .2, .2, .9]), patience=2) == 1
+    assert training.best_stage(curve([.1, .3, .2, .2, .9]), patience=9) == 4
+    assert training.best_stage(curve([.3, .3, .3]), patience=9) == 0
 
 
-def test_boosting_returns_only_the_best_trees(spark):
+def test_boosting_scores_only_the_best_trees(spark):
     df = spark.range(400).select(
         F.col("id").alias("row_id"), (F.rand(1) * 4).alias("a"), F.lit("main").alias("cohort"))
     df = df.withColumn("y", ((F.col("a") > 2.5) | (F.rand(2) < 0.1)).cast("int")).cache()
     cell = training.train_cell(df, "boosted_trees", "y", ["a"], maxIter=6, maxDepth=2,
                                min_iterations=0)
-    assert len(cell.fitted.trees) == cell.meta["best_iteration"] + 1
+    at = cell.meta["best_iteration"]
+    rows = training.design(cell.state, df, ["row_id"])
+    stages = training.stage_scores(cell.fitted, rows, ["row_id"]).where(F.col("stage") == at)
+    want = {r.row_id: 1 / (1 + np.exp(-2 * r.score_raw)) for r in stages.collect()}
+    for r in cell.score(df).collect():
+        assert abs(r.score_raw - want[r.row_id]) < 1e-12
+    one = training.positive_score(cell.fitted, rows, ["row_id"], 0)
+    first = training.stage_scores(cell.fitted, rows, ["row_id"]).where("stage = 0")
+    assert {r.row_id: round(r.score_raw, 9) for r in one.collect()} == {
+        r.row_id: round(1 / (1 + np.exp(-2 * r.score_raw)), 9) for r in first.collect()}
     assert training.inference_summary(cell.score(df)).first().auroc > 0.9
 
 
-def test_settled_tables_are_broadcast_by_count(spark):
-    small, large = settle(spark.range(10)), settle(spark.range(10), max_rows=5)
+def test_settled_tables_are_broadcast_by_bytes(spark):
+    small, large = settle(spark.range(10)), settle(spark.range(10), max_bytes=50)
     assert small.count() == large.count() == 10
     plans = [d._jdf.queryExecution().analyzed().toString().lower() for d in (small, large)]
     assert "hint" in plans[0] and "hint" not in plans[1]
@@ -190,3 +199,50 @@ def test_rewriting_one_cell_leaves_the_others(spark, tmp_path):
     sinks.write_predictions(rows.where("label = 'y0' AND row_id = 0"), path)
     assert sinks.read_cells(spark, path).count() == 3
     assert sinks.discover(spark, path).count() == 2
+
+
+def test_wide_texts_are_not_broadcast_however_few(spark):
+    wide = spark.range(3).select(F.repeat(F.lit("x"), 1000).alias("t"))
+    fixed = settle(wide, max_bytes=2000)
+    assert "hint" not in fixed._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_forest_does_not_depend_on_the_layout(spark):
+    df = spark.range(600).select(F.col("id").alias("row_id"), F.lit("main").alias("cohort"),
+                                 (F.hash("id") % 97).cast("double").alias("a"),
+                                 (F.hash("id", F.lit(1)) % 89).cast("double").alias("b"))
+    df = df.withColumn("y", (F.abs(F.hash("id", F.lit(2))) % 3 == 0).cast("int"))
+    sums = []
+    for parts in (2, 5):
+        cell = training.train_cell(df.repartition(parts), "random_forest", "y", ["a", "b"],
+                                   numTrees=5, maxDepth=3, minInstancesPerNode=5)
+        sums.append(cell.score(df).agg(F.sum("score_raw")).first()[0])
+    assert sums[0] == pytest.approx(sums[1], abs=1e-9)
+
+
+def test_saved_cells_and_states_are_published_whole(spark, tmp_path):
+    df = spark.range(300).select(F.col("id").alias("row_id"), F.lit("main").alias("cohort"),
+                                 (F.col("id") % 17).cast("double").alias("a"),
+                                 (F.col("id") % 3 == 0).cast("int").alias("y"))
+    path = str(tmp_path / "cell")
+    cell = training.train_cell(df, "random_forest", "y", ["a"], numTrees=2, maxDepth=2,
+                               minInstancesPerNode=1)
+    cell.save(path)
+    cell.save(path)  # a second version beside the first
+    back = training.Cell.load(spark.newSession(), path)
+    assert (back.model, back.label, back.meta) == (cell.model, cell.label, cell.meta)
+    assert sorted(map(tuple, back.score(df).collect())) == sorted(map(tuple, cell.score(df).collect()))
+
+
+def test_grid_run_skips_finished_cells(spark, tmp_path):
+    df = spark.range(400).select(F.col("id").alias("row_id"), F.lit("main").alias("cohort"),
+                                 (F.col("id") % 17).cast("double").alias("a"),
+                                 (F.col("id") % 3 == 0).cast("int").alias("y"),
+                                 (F.col("id") % 5 == 0).cast("int").alias("z"))
+    path = str(tmp_path / "grid")
+    run = (df, df, ["logistic_regression"])
+    assert training.run_grid(*run, ["y"], ["a"], path) == [("logistic_regression", "y")]
+    assert training.run_grid(*run, ["y", "z"], ["a"], path) == [("logistic_regression", "z")]
+    assert sinks.read_cells(spark, f"{path}/val").select("label").distinct().count() == 2
+    assert sinks.read_cells(spark, f"{path}/test").count() == 800
+    assert spark.read.parquet(f"{path}/split").where("label = 'y'").count() == 400
