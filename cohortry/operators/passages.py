@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,9 +125,34 @@ def describe(plan: DataFrame, overhead: int = PREFIX_TOKENS) -> DataFrame:
         (F.sum("cost") + overhead).alias("worst_tokens"))
 
 
-def check_plan(plan_masked: bool, configured_masked: bool) -> None:
-    if plan_masked != configured_masked:
-        raise ValueError("the plan was made under another masking setting; recalibrate")
+def save_plan(plan: DataFrame, path: str, masked: Sequence[str]) -> None:
+    """Writes a plan with the columns that were masked when it was made."""
+    plan.withColumn("masked", F.col("column").isin(*masked) if masked else F.lit(False)
+                    ).write.mode("overwrite").parquet(path)
+
+
+def plan_differences(spark: SparkSession, path: str, masked: Sequence[str],
+                     columns: Sequence[str]) -> DataFrame:
+    """(column, problem): where a saved plan does not fit the configured masking and columns.
+
+    A plan for other columns or another masking has other costs; it must be made anew.
+    """
+    plan = spark.read.parquet(path).select("column", F.col("masked").alias("was"))
+    now = spark.createDataFrame([(c, c in masked) for c in columns], "column string, now boolean")
+    problem = (F.when(F.col("was").isNull(), "not in the plan")
+               .when(F.col("now").isNull(), "not configured")
+               .when(F.col("was") != F.col("now"), "masked differently"))
+    return plan.join(now, "column", "full").select("column", problem.alias("problem")).where(
+        F.col("problem").isNotNull())
+
+
+def check_plan(spark: SparkSession, path: str, masked: Sequence[str],
+               columns: Sequence[str]) -> None:
+    """Refuses a saved plan that does not fit; see ``plan_differences``."""
+    bad = plan_differences(spark, path, masked, columns).collect()  # a row per column at most
+    if bad:
+        raise ValueError(f"the plan was made under another setting; recalibrate: "
+                         f"{sorted((r['column'], r['problem']) for r in bad)}")
 
 
 def truncation_audit(chunks: DataFrame, keys: Sequence[str], max_tokens: int = MAX_TOKENS,

@@ -101,6 +101,17 @@ def crosswalk_pct(spark, sf_dir):
         "pct_observed", F.round("pct_observed", 6))
 
 
+def named_field_rules(spark, sf_dir):
+    """The six derivation rules on the prespecified names. Late rows lack the old flags, early
+    ones the case type, and the second name of the last measurement is absent altogether."""
+    c = fx.cases(spark, sf_dir).select(
+        "row_id", F.col("casetype").alias("CASETYPE"), F.col("emergency").alias("EMERGNCY"),
+        F.col("elective").alias("ELECTSURG"), F.col("bal").alias("PRHEMOGLOBIN"),
+        sentinel_to_null(F.col("lab_raw")).alias("PRHCT"), F.col("lab_late").alias("HEMO"))
+    out = h.apply_rules(c)
+    return out.withColumns({x: F.round(x, 6) for x in ("PRHEMOGLOBIN", "PRHCT", "HEMO", "PRHEMO_A1C")})
+
+
 def column_types(spark, sf_dir):
     """Numeric or categorical, by stored type, with what each column holds."""
     c = fx.cases(spark, sf_dir)
@@ -235,7 +246,7 @@ def _crc32(text: str) -> str:
 QUERIES = {f.__name__: f for f in (
     cohort_split, casetype_backfill, flag_derive, sentinel_null, lab_proxy, lab_proxy_fit,
     rename_coalesce, rename_check, union_years, prune_empty, mask_cols, availability_by_year,
-    crosswalk_pct, column_types, feature_drift, strat_split, split_quotas, split_audit,
+    crosswalk_pct, named_field_rules, column_types, feature_drift, strat_split, split_quotas, split_audit,
     split_agreement, split_identity, label_seeds, shard_bounds, class_weights)}
 
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -308,6 +319,16 @@ SELECT *, round(pct_main_train - pct_main_test, 2) AS train_minus_test,
   pct_main_test = 0 AND pct_main_train > 0 AS unusable,
   abs(round(pct_main_train - pct_main_test, 2)) >= 25 AS large_shift, TRUE AS in_model FROM r
 UNION ALL SELECT 'late_only', 0, 0, 0, 0, FALSE, FALSE, FALSE""",
+    "named_field_rules": f"""WITH {C}, r AS (SELECT *, nullif(lab_raw, -99.0::DOUBLE) AS hct FROM cases)
+SELECT row_id, coalesce(casetype, CASE emergency WHEN 'Yes' THEN 'Emergent' WHEN 'No' THEN 'Elective'
+    END, CASE WHEN elective = 'Yes' THEN 'Elective' END) AS "CASETYPE",
+  coalesce(emergency, CASE WHEN casetype = 'Emergent' THEN 'Yes' WHEN casetype IS NOT NULL THEN 'No'
+    END) AS "EMERGNCY",
+  coalesce(elective, CASE WHEN casetype = 'Elective' THEN 'Yes' WHEN casetype IS NOT NULL THEN 'No'
+    END) AS "ELECTSURG",
+  round(coalesce(bal, hct * {h.PROXY_SLOPE}::DOUBLE + {h.PROXY_INTERCEPT}::DOUBLE), 6) AS "PRHEMOGLOBIN",
+  round(hct, 6) AS "PRHCT", round(lab_late, 6) AS "HEMO", round(lab_late, 6) AS "PRHEMO_A1C"
+FROM r""",
     "strat_split": f"""WITH {POOL_SQL}, {_split_sql("y_b", "s")}
 SELECT row_id, cls AS y_b, split FROM s""",
     "split_quotas": f"""WITH {POOL_SQL}, {_split_sql("y_b", "s")}

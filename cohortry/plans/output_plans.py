@@ -142,10 +142,27 @@ def vector_sink(spark, sf_dir):
         "x", F.round(F.col("x").cast("double"), 5))
 
 
+def crosswalk_csv(spark, sf_dir):
+    """The crosswalk percentages as a CSV with lists of columns in quotes, read back."""
+    path = work_path(spark, "crosswalk")
+    pct = hp.crosswalk_pct(spark, sf_dir).groupBy("difference").pivot(
+        "sample", ["main_train", "main_test"]).agg(F.first("pct_observed"))
+    names = F.create_map(*[F.lit(x) for g, cols in hp.GROUPS.items() for x in (g, ", ".join(cols))])
+    sinks.write_summary(pct.select(
+        F.col("difference").alias("difference_class"), names[F.col("difference")].alias("variables"),
+        F.col("main_train").alias("pct_observed_main_train"),
+        F.col("main_test").alias("pct_observed_main_test"), F.lit("as recorded").alias("handling")),
+        path, ["difference_class"])
+    return tables.read_crosswalk(spark, path)
+
+
 def scaler_sink(spark, sf_dir):
+    """Two scalers in one table; the second does not touch the first."""
     path = work_path(spark, "scaler")
-    tp.fit_scaler(spark, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
+    scaler = pinned(tp.fit_scaler(spark, sf_dir))
+    sinks.write_scaler(scaler, path, "e", "y_a")
+    sinks.write_scaler(scaler.withColumn("mean", F.lit(0.0)), path, "e", "y_b")
+    return sinks.read_scaler(spark, path, "e", "y_a")
 
 
 def run_discovery(spark, sf_dir):
@@ -201,7 +218,10 @@ def stale_outputs(spark, sf_dir):
     parts = harmonize.recorded_counts(c, fx.CASE_COLUMNS, ["part"]).withColumn("seen", seen)
     test = harmonize.recorded_counts(c.where("split = 'test'"), fx.CASE_COLUMNS).withColumn(
         "seen", seen)
-    return audit.stale_outputs(audit.fingerprint(parts, ["column", "seen"], ["part"]),
+    path = work_path(spark, "stamped")
+    stamps = audit.fingerprint(parts, ["column", "seen"], ["part"])
+    sinks.write_stamped(c.select("part", "row_id"), path, ["part"], stamps)
+    return audit.stale_outputs(sinks.read_stamps(spark, path, ["part"]),
                                audit.fingerprint(test, ["column", "seen"]))
 
 
@@ -257,7 +277,7 @@ def _seen_sql(part, where):
 
 
 QUERIES = {f.__name__: f for f in (
-    scan_contract, scan_outcome, scan_meta, contract_file, spec_csv, schema_rows, row_positions,
+    scan_contract, scan_outcome, scan_meta, contract_file, spec_csv, crosswalk_csv, schema_rows, row_positions,
     prediction_sink, split_sink, state_sink, summary_sink, draws_sink, curve_sink, cell_meta_sink,
     vector_sink, scaler_sink, run_discovery, grid_missing, rowcount_check, schema_check,
     finite_scores, stale_outputs, best_iter_check, interval_gaps, throughput, stream_apply)}
@@ -275,6 +295,11 @@ WHERE cohort = 'main' AND split = 'train'""",
     "spec_csv": f"""WITH a AS ({hp.ORACLE["availability_by_year"]})
 SELECT "column" AS name, availability, n_years::INTEGER AS n_years, n_years::INTEGER AS n_listed,
   split_part(years_present, ',', 1)::INTEGER AS first_year FROM a""",
+    "crosswalk_csv": f"WITH x AS ({hp.ORACLE['crosswalk_pct']}), " + "m AS (" + " UNION ALL ".join(
+        f"SELECT '{g}' AS difference, '{c}' AS member" for g, cols in hp.GROUPS.items()
+        for c in cols) + """)
+SELECT difference AS difference_class, member, sample, pct_observed, 'as recorded' AS handling
+FROM x JOIN m USING (difference) WHERE sample IN ('main_train', 'main_test')""",
     "schema_rows": f"WITH {C} " + " UNION ALL ".join(
         f"SELECT {i} AS position, '{c}' AS \"column\", '{t}' AS type, count(*) AS n_rows"
         f" FROM cases" for i, (c, t) in enumerate(_TYPES.items())),

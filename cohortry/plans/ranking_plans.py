@@ -127,18 +127,18 @@ def rank_intervals(spark, sf_dir):
 RULES = [f"top{k:g}%" for k in thresholds.TOP_K] + [thresholds.VAL_RULE, thresholds.CROSSFIT_RULE]
 
 
-def _rule_sums(pred, val):
+def _rule_sums(pred, learned):
     """Sums of all draws with the flags of all six rules, made once."""
-    rules = thresholds.topk_cuts(pred).unionByName(
-        thresholds.transferred(pred, thresholds.val_cuts(val))).select(*CELL, "rule", "threshold")
-    halved = thresholds.with_halves(pred)
-    cuts = thresholds.crossfit_cuts(halved).where(F.col("cohort") == fx.INTERNAL)
-    flagged = thresholds.flagged_rows(halved, rules, RULES, cuts)
+    flagged = thresholds.flagged_rows(
+        thresholds.with_halves(pred), learned.rules.select(*CELL, "rule", "threshold"), RULES,
+        learned.cuts)
     return bootstrap.draw_sums(flagged, N_DRAWS, [f"f{i}" for i in range(len(RULES))])
 
 
 def rule_intervals(spark, sf_dir):
-    draws = bootstrap.rule_draws(_rule_sums(*saved_scores(spark, sf_dir)), RULES)
+    pred, val = saved_scores(spark, sf_dir)
+    sums = _rule_sums(pred, thresholds.learn_rules(pred, val, fx.INTERNAL))
+    draws = bootstrap.rule_draws(sums, RULES)
     long = bootstrap.long_draws(draws, [*CELL, "rule"], RATE_METRICS)
     return rounded(bootstrap.intervals(long, [*CELL, "rule", "metric"]),
                    "ci_lo", "ci_hi", "boot_std")
@@ -152,9 +152,11 @@ def paired_diff(spark, sf_dir):
 
 def summary(spark, sf_dir):
     pred, val = saved_scores(spark, sf_dir)
-    sums = pinned(_rule_sums(pred, val))
+    learned = thresholds.learn_rules(pred, val, fx.INTERNAL)
+    sums = pinned(_rule_sums(pred, learned))
     return report.tidy_summary(
-        ranking.discrimination(pred), thresholds.operating_points(pred, val, fx.INTERNAL),
+        ranking.discrimination(pred),
+        thresholds.operating_points(pred, val, fx.INTERNAL, learned=learned),
         bootstrap.rank_draws(sums), bootstrap.rule_draws(sums, RULES))
 
 

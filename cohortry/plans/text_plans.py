@@ -10,6 +10,7 @@ from cohortry.operators import passages as p
 from cohortry.operators import vectors as v
 from cohortry.operators.harmonize import recorded_counts
 from cohortry.plans import fixtures as fx
+from cohortry.session import work_path
 
 LABELS = {
     "bal": "Account balance", "lab_raw": "First measurement, thousands",
@@ -60,6 +61,14 @@ def plan_describe(spark, sf_dir):
     return p.describe(_plan(spark, sf_dir))
 
 
+def plan_check(spark, sf_dir):
+    """A saved plan against the setting it was made under, and against another one."""
+    path = work_path(spark, "plan")
+    p.save_plan(_plan(spark, sf_dir), path, MASK)
+    p.check_plan(spark, path, MASK, list(LABELS))
+    return p.plan_differences(spark, path, ["bal"], [*LABELS, "added"])
+
+
 def _chunks(spark, sf_dir):
     groups = p.plan_groups(_plan(spark, sf_dir))
     return p.passages(_cases(spark, sf_dir), LABELS, groups, MASK, ["row_id", "cohort"])
@@ -230,7 +239,7 @@ GROUP BY chunk"""
 
 
 QUERIES = {f.__name__: f for f in (
-    format_values, render_sentence, field_token_cost, pack_chunks, plan_describe, render_chunks,
+    format_values, render_sentence, field_token_cost, pack_chunks, plan_describe, plan_check, render_chunks,
     truncation_audit, docs_truncation, fields_present, first_rows, label_match, l2_normalize,
     chunk_pool, token_pool, fit_scaler, apply_scaler, vector_audit, cosine_check)}
 
@@ -243,6 +252,9 @@ SELECT row_id, """ + ", ".join(f"{num_sql(c)} AS {c}" for c in (
     "render_sentence": f"WITH {C} SELECT row_id, {sentence_sql(LABELS)} AS text FROM clean",
     "field_token_cost": f"WITH {C}, {COST_SQL} SELECT * FROM cost",
     "pack_chunks": f"WITH {C}, {PACK_SQL} SELECT * FROM plan",
+    "plan_check": f"""WITH {C}, {PACK_SQL}
+SELECT "column", 'masked differently' AS problem FROM plan WHERE "column" IN ('bal', 'late_only')
+UNION ALL SELECT 'added', 'not in the plan'""",
     "plan_describe": f"""WITH {C}, {PACK_SQL} SELECT chunk, arg_min("column", pos) AS first_field,
   arg_max("column", pos) AS last_field, count(*) AS n_fields,
   (sum(cost) + 6)::BIGINT AS worst_tokens FROM plan GROUP BY chunk""",

@@ -92,3 +92,30 @@ def read_vectors(spark: SparkSession, path: str, expected_rows: int | None = Non
         if (expected_rows is not None and got.n != expected_rows) or got.bad:
             raise ValueError(f"vectors {part}: {got.n} rows, {got.bad} of another width")
     return df
+
+
+def write_scaler(scaler: DataFrame, path: str, encoder: str, label: str) -> None:
+    """(dim, mean, scale) of one encoder and outcome, beside those of the others."""
+    write_cells(scaler.withColumns({"encoder": F.lit(encoder), "label": F.lit(label)}), path,
+                ["encoder", "label"])
+
+
+def read_scaler(spark: SparkSession, path: str, encoder: str, label: str) -> DataFrame:
+    found = spark.read.parquet(path).where(
+        (F.col("encoder") == encoder) & (F.col("label") == label)).drop("encoder", "label")
+    if found.isEmpty():
+        raise ValueError(f"no scaler of {encoder}, {label} in {path}")
+    return found
+
+
+def write_stamped(df: DataFrame, path: str, keys: Sequence[str], stamps: DataFrame) -> None:
+    """Writes cells with the fingerprint they were made under, as a column ``config_sha``.
+
+    ``stamps`` (keys, config_sha) has one row per cell.
+    """
+    write_cells(df.join(stamps, list(keys)), path, keys)
+
+
+def read_stamps(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, config_sha) of the cells a stamped table holds."""
+    return spark.read.parquet(path).select(*keys, "config_sha").distinct()

@@ -54,6 +54,24 @@ def read_spec(spark: SparkSession, path: str) -> DataFrame:
         "n_years", F.col("n_years").cast("int"))
 
 
+def read_crosswalk(spark: SparkSession, path: str, members: str = "variables",
+                   shares: str = "pct_observed_") -> DataFrame:
+    """(difference_class, member, sample, pct_observed, handling) of a crosswalk file.
+
+    A row lists its columns in one quoted text and has a share per sample, in columns that
+    begin with ``shares``; what is left is the handling.
+    """
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+    samples = [c for c in raw.columns if c.startswith(shares)]
+    rest = [c for c in raw.columns if c not in samples and c not in ("difference_class", members)]
+    entries = F.array(*[F.struct(F.lit(c.removeprefix(shares)).alias("sample"),
+                                 F.col(c).cast("double").alias("pct_observed")) for c in samples])
+    return raw.select(
+        "difference_class", F.explode(F.split(members, r"\s*,\s*")).alias("member"),
+        entries.alias("entries"), F.concat_ws("; ", *rest).alias("handling")).select(
+        "difference_class", "member", F.inline("entries"), "handling")
+
+
 def published_scores(df: DataFrame, columns: Mapping[str, str], model: str,
                      row_id: str = "row_id") -> DataFrame:
     """Published probabilities in the shape of predictions.

@@ -115,5 +115,5 @@ def test_lookup_is_broadcast_only_when_small(df, monkeypatch):
     hint = "ResolvedHint (strategy=broadcast)"
     assert hint in state.lookup("many", "pos")._jdf.queryExecution().analyzed().toString() or \
         "broadcast" in state.lookup("many", "pos")._jdf.queryExecution().toString().lower()
-    monkeypatch.setattr(prep, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(prep, "BROADCAST_BYTES", 5)
     assert "broadcast" not in state.lookup("many", "pos")._jdf.queryExecution().toString().lower()

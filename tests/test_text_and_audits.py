@@ -183,8 +183,16 @@ def test_readers_refuse_wrong_tables(spark, tmp_path):
     sinks.write_split(s, str(tmp_path / "s"))
     with pytest.raises(ValueError, match="val_empty"):
         sinks.read_split(spark, str(tmp_path / "s"), "y", df)
-    with pytest.raises(ValueError):
-        passages.check_plan(True, False)
+    plan = spark.createDataFrame([(0, "a", 3, 0), (1, "b", 3, 0)], "pos int, column string, cost int, chunk int")
+    passages.save_plan(plan, str(tmp_path / "plan"), ["a"])
+    passages.check_plan(spark, str(tmp_path / "plan"), ["a"], ["a", "b"])
+    for masked, columns in (([], ["a", "b"]), (["a"], ["a"]), (["a"], ["a", "b", "c"])):
+        with pytest.raises(ValueError, match="recalibrate"):
+            passages.check_plan(spark, str(tmp_path / "plan"), masked, columns)
+    with pytest.raises(ValueError, match="no scaler"):
+        one = spark.createDataFrame([(0, 0.0, 1.0)], "dim int, mean double, scale double")
+        sinks.write_scaler(one, str(tmp_path / "sc"), "e", "y")
+        sinks.read_scaler(spark, str(tmp_path / "sc"), "e", "z")
     with pytest.raises(ValueError):
         passages.require_labels(["a"], {"b": "B"})
 
@@ -211,7 +219,7 @@ def test_forest_does_not_depend_on_the_layout(spark):
     df = spark.range(600).select(F.col("id").alias("row_id"), F.lit("main").alias("cohort"),
                                  (F.hash("id") % 97).cast("double").alias("a"),
                                  (F.hash("id", F.lit(1)) % 89).cast("double").alias("b"))
-    df = df.withColumn("y", (F.abs(F.hash("id", F.lit(2))) % 3 == 0).cast("int"))
+    df = df.withColumn("y", (F.abs(F.hash("row_id", F.lit(2))) % 3 == 0).cast("int"))
     sums = []
     for parts in (2, 5):
         cell = training.train_cell(df.repartition(parts), "random_forest", "y", ["a", "b"],
