@@ -23,8 +23,8 @@ from cohortry.llm.common import fold, table, texts
 from cohortry.llm.features import ragged, row_sums, sampled_labels, sigmoid
 
 BITS, PREFIXES = 21, (5, 6, 7, 8)
-PER_CLASS, FOLDS, FLAG, GRADES = 2500, 5, 0.5, 3
-MIN_ROWS, RIDGE, STEPS, RATE = 4, 2e-4, 120, 0.15
+PER_CLASS, FOLDS, FLAG, GRADES = 2500, 5, 0.3, 3
+MIN_ROWS, MIN_Z, RIDGE, STEPS, RATE = 4, 4.0, 1e-4, 200, 0.15
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -59,9 +59,19 @@ def graded(words: list, y: np.ndarray, grades: int = GRADES) -> np.ndarray:
     return np.where(y == 1, 1 + np.searchsorted(cuts, held, side="left"), 0)
 
 
-def common_features(starts, ids):
-    """(starts, numbers, features): only features of ``MIN_ROWS`` rows or more, numbered."""
-    features = np.flatnonzero(np.bincount(ids, minlength=1 << BITS) >= MIN_ROWS)
+def telling_features(starts, ids, positive):
+    """(starts, numbers, features): the features that tell the classes apart, numbered.
+
+    A feature counts if the rows of the two classes that hold it differ by ``MIN_Z`` standard
+    errors, and if ``MIN_ROWS`` rows hold it. Most words of a corpus occur in a few rows; without
+    this the weights would learn by heart which row is which.
+    """
+    of = np.repeat(positive, np.diff(starts))
+    p = np.bincount(ids[of], minlength=1 << BITS).astype(float)
+    q = np.bincount(ids[~of], minlength=1 << BITS).astype(float)
+    both, share = p + q, positive.mean()
+    z = np.abs(p - both * share) / np.sqrt(np.maximum(both, 1) * share * (1 - share))
+    features = np.flatnonzero((both >= MIN_ROWS) & (z >= MIN_Z))
     number = np.full(1 << BITS, -1, np.int32)
     number[features] = np.arange(len(features))
     found = number[ids]
@@ -115,13 +125,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     if len(set(y)) < 2:
         share = ((y > 0).sum() + 1) / (len(y) + 2)
         return np.zeros(1 << BITS), np.array([-np.log(share / (1 - share))])
+    n_all, n_pos = labels.where(F.col(label).isNotNull()).agg(
+        F.count(F.lit(1)), F.count_if(F.col(label) > 0)).first()
     if y.max() == 1:
         y = graded(list(got.pop("words")), y)
-    starts, ids, features = common_features(*ragged(list(got.pop("ids"))))
+    starts, ids, features = telling_features(*ragged(list(got.pop("ids"))), y > 0)
     small, theta = fit_ordinal(starts, ids, y, int(y.max()), max(1, len(features)))
     weights = np.zeros(1 << BITS)
     weights[features] = small[:len(features)]
-    return weights, theta
+    # The sample holds the classes in other shares than the labels do.
+    odds = np.log(max(1, n_pos) / max(1, n_all - n_pos)) - np.log((y > 0).sum() / (y == 0).sum())
+    return weights, theta - odds
 
 
 def grade(docs: DataFrame, model) -> DataFrame:
