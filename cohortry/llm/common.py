@@ -51,9 +51,14 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents whose id is not in the one-column table ``ids``; null ids are
-    compared as equal. All columns and repeated rows stay as they are."""
+    compared as equal. All columns and repeated rows stay as they are.
+
+    The ids are written first: Spark then knows their size before it plans the join, and
+    sends few ids to the texts instead of shuffling the texts.
+    """
     own = free_name(docs, "_gone")
-    gone = ids.select(F.coalesce(F.col(ids.columns[0]), F.lit(NO_ID)).alias(own)).distinct()
+    gone = written(ids.select(F.coalesce(F.col(ids.columns[0]), F.lit(NO_ID)).alias(own)).distinct(),
+                   "gone")
     return docs.join(gone, F.coalesce(F.col(id_col), F.lit(NO_ID)) == F.col(own), "left_anti")
 
 

@@ -83,8 +83,11 @@ def keep_unique(docs: DataFrame) -> DataFrame:
     k, sha, no = (free_name(docs, c) for c in ("_key", "_sha", "_no"))
     found = written(dedup(docs).select(key.alias(k), "kept", F.col("text_sha256").alias(sha)),
                     "deduped")
-    again = found.groupBy(k).agg(F.count(F.lit(1)).alias(no)).where(F.col(no) > 1).select(k)
+    again = written(found.groupBy(k).agg(F.count(F.lit(1)).alias(no)).where(F.col(no) > 1)
+                    .select(k), "repeated")
     once = drop_ids(docs, found.where("NOT kept").select(k).union(again))
+    if again.isEmpty():
+        return once
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     stay = found.where("kept").select(k, sha).distinct()
     repeated = (docs.withColumns({k: key, sha: digest}).join(again, k, "left_semi")

@@ -24,7 +24,7 @@ BITS, GRAMS = 18, (1, 2, 3, 4)
 # Indicators of repetition follow those of the byte n-grams.
 RUNS, SHARES = 4, 8
 DIMS = (1 << BITS) + RUNS + SHARES
-PER_CLASS, FOLDS, ACCEPT = 1800, 5, 0.3
+PER_CLASS, FOLDS, ACCEPT = 1000, 5, 0.3
 ALPHA, COST, EPOCHS = 1.0, 0.1, 12
 
 
@@ -70,7 +70,7 @@ def dual_descent(starts, ids, ratio, sign, cost: float = COST, epochs: int = EPO
     the last weight is the bias."""
     w, bias = np.zeros(len(ratio)), 0.0
     alpha = np.zeros(len(sign))
-    size = row_sums(starts, ratio[ids] ** 2) + 1.0
+    size = row_sums(starts, np.square(ratio, dtype=np.float32)[ids]) + 1.0
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(sign)):
