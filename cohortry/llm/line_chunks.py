@@ -69,7 +69,8 @@ def repeated_chunks(docs: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:
     at = F.struct("doc_id", "thash", "chunk_no")
     keys = written(rows.select("key", "bytes", at.alias("at")).groupBy("key", "bytes").agg(
         F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).where("n > 1"), "chunk-keys")
-    found = written(rows.join(keys.drop("n"), ["key", "bytes"]).withColumn(
+    # Always by shuffle, as in every corpus too large to send the keys to the texts.
+    found = written(rows.join(keys.drop("n").hint("merge"), ["key", "bytes"]).withColumn(
         "is_first", F.col("first") == at), "repeats")
     # Repeated rows of one document hold the first chunk more than once.
     kept = found.where("is_first").groupBy("key", "bytes").agg(F.min("chunk").alias("same"))
@@ -87,7 +88,7 @@ def without_repeats(docs: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:
     """
     gone = written(repeated_chunks(docs, mean_lines).groupBy("doc_id", "thash").agg(
         F.collect_set("chunk_no").alias("gone"), F.sum("n_lines").alias("removed_lines")), "gone")
-    rows = _kept_apart(chunked(docs, mean_lines).join(gone, ["doc_id", "thash"], "left"),
+    rows = _kept_apart(chunked(docs, mean_lines).join(gone.hint("merge"), ["doc_id", "thash"], "left"),
                        out=F.coalesce("gone", F.array().cast("array<int>")))
     stay = F.filter(F.sequence(F.lit(1), F.size("ends")), lambda k: ~F.array_contains("out", k))
     rows = _kept_apart(rows, stay=stay)
