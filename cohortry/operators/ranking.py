@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.rates import log_loss, squared_error
 from cohortry.operators.prefix import RANGE_ROWS, running_totals, split_points
+from cohortry.session import pinned
 
 CELL = ["cohort", "model", "label"]
 CURVE_POINTS = 2000
@@ -121,6 +122,8 @@ def roc_curve(pred: DataFrame, keys: Sequence[str] = CELL, y: str = "y_true",
     kept = cum.where(first | F.col("next_p").isNull() | bend).select(
         *keys, "score", F.try_divide("fp", "neg").alias("fpr"),
         F.try_divide("tp", "pos").alias("tpr"), F.lit(1).cast("long").alias("one"))
+    if points:
+        kept = pinned(kept)  # the range sums and the rows both read it
     ranked = running_totals(kept, keys, "score", {"one": F.col("one")}, descending=True,
                             points=points)
     body = ranked.select(*keys, F.col("cum_one").alias("idx"), (F.col("tot_one") + 1).alias("m"),
@@ -140,6 +143,8 @@ def pr_curve(pred: DataFrame, keys: Sequence[str] = CELL, y: str = "y_true",
     """(cell, idx, recall, precision) in ascending score order, ending in (0, 1)."""
     points = split_points(pred, score, range_rows)
     cum = cumulative(pred, keys, y, score, points=points)
+    if points:
+        cum = pinned(cum)
     ranked = running_totals(cum.withColumn("one", F.lit(1).cast("long")), keys, "score",
                             {"one": F.col("one")}, points=points)
     body = ranked.select(

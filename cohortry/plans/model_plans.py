@@ -45,8 +45,8 @@ def gbt_fit_score(spark, sf_dir):
 def shared_view_scores(spark, sf_dir):
     """Two cells that share one fitted state and its vectors; what the grid still lacks."""
     train, test = pp.train_rows(spark, sf_dir), pp.test_rows(spark, sf_dir)
-    first = training.train_cell(train, "logistic_regression", "y_b", COLUMNS[:4])
-    second = training.train_cell(train, "logistic_regression", "y_a", COLUMNS[:4],
+    first = training.train_cell(train, "logistic_regression", "y_b", COLUMNS)
+    second = training.train_cell(train, "logistic_regression", "y_a", COLUMNS,
                                  state=first.state)
     pred = pinned(training.score_cells([first, second], test, KEEP))
     open_cells = training.unfinished(["logistic_regression", "random_forest"], fx.LABELS, pred)
