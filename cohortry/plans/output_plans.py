@@ -232,10 +232,10 @@ def best_iter_check(spark, sf_dir):
 
 
 def interval_gaps(spark, sf_dir):
-    """Key ranges claimed by all orders' customers, and what they leave uncovered."""
-    shards = fx.table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("lo"), (F.col("o_custkey") + 1).alias("hi"))
-    n = fx.table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0] + 1
+    """Ranges of amounts around all orders' prices, and what they leave uncovered."""
+    at = F.floor("o_totalprice")
+    shards = fx.table(spark, sf_dir, "orders").select(at.alias("lo"), (at + 10).alias("hi"))
+    n = fx.table(spark, sf_dir, "orders").agg(F.max(at)).first()[0] + 1
     return audit.interval_gaps(shards, n)
 
 
@@ -348,8 +348,8 @@ m AS (SELECT cohort, model, label, CASE WHEN n_pos % 3 <> 0 THEN n_pos % 100 - 3
   AS best_iteration FROM n)
 SELECT * FROM m WHERE model IN ('m_signal', 'm_tied')
   AND (best_iteration IS NULL OR best_iteration < 0)""",
-    "interval_gaps": """WITH s AS (SELECT o_custkey AS lo, o_custkey + 1 AS hi
-  FROM orders), n AS (SELECT max(c_custkey) + 1 AS n FROM customer),
+    "interval_gaps": """WITH s AS (SELECT floor(o_totalprice)::BIGINT AS lo,
+  floor(o_totalprice)::BIGINT + 10 AS hi FROM orders), n AS (SELECT max(lo) + 1 AS n FROM s),
 o AS (SELECT lo, coalesce(max(hi) OVER (ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING
   AND 1 PRECEDING), 0) AS reach FROM (SELECT * FROM s UNION ALL SELECT n, n FROM n))
 SELECT reach AS gap_lo, least(lo, (SELECT n FROM n)) AS gap_hi FROM o
