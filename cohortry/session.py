@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 # Bytes that one operator may broadcast, all its sides together.
 BROADCAST_BYTES = 32 << 20
+_made: list[str] = []
 
 
 def build_session(app: str = "cohortry", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,6 +27,7 @@ def build_session(app: str = "cohortry", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for k, v in settings.items():
@@ -51,8 +53,17 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one written table."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for one written table; see ``clear_work``."""
+    path = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Removes the tables this process has written to the shared folder: call it once the
+    results that read them are saved. Checkpoints go when Spark's cleaner finds them unused."""
+    while _made:
+        remove_work(spark, _made.pop())
 
 
 def pinned(df: DataFrame) -> DataFrame:

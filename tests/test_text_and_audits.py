@@ -254,3 +254,16 @@ def test_grid_run_skips_finished_cells(spark, tmp_path):
     assert sinks.read_cells(spark, f"{path}/val").select("label").distinct().count() == 2
     assert sinks.read_cells(spark, f"{path}/test").count() == 800
     assert spark.read.parquet(f"{path}/split").where("label = 'y'").count() == 400
+
+
+def test_work_tables_are_removed(spark):
+    from cohortry import session
+    path = session.work_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    before, session._made[:] = list(session._made), [path]
+    session.clear_work(spark)
+    session._made[:] = [p for p in before if p != path]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    with pytest.raises(ValueError):
+        session.remove_work(spark, "/elsewhere/data")
