@@ -31,6 +31,10 @@ class DigestIndex:
                   f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS "
                   f"LOCATION '{path}'")
 
+    def close(self) -> None:
+        """Forgets the table; the files of the index stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -70,7 +74,10 @@ def dedup(docs: DataFrame, index_path: str | None = None, buckets: int | None =
     """``DigestIndex.dedup`` with the index at a path, or a new one for this call."""
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return DigestIndex(spark, index_path or work_path(spark, "digest-index"), buckets).dedup(docs)
+    index = DigestIndex(spark, index_path or work_path(spark, "digest-index"), buckets)
+    out = index.dedup(docs)  # reads the files, not the table
+    index.close()
+    return out
 
 
 def keep_unique(docs: DataFrame) -> DataFrame:
