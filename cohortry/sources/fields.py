@@ -84,31 +84,35 @@ FIELD_LABELS = {
     "WTLOSS": "Malnourishment or unintentional weight loss before surgery",
 }
 
-# The years that have a field, where not all have it.
+# The fields that not every year has, in column order, with the years that have
+# them and how the other years are built.
 ALL_YEARS = (2018, 2019, 2020, 2021, 2022, 2023, 2024)
-YEARS_OF = {
-    (2018, 2020, 2021, 2022, 2023, 2024): [
-        "Age", "HtoODay"],
-    (2021, 2022, 2023, 2024): [
-        "CASETYPE", "HOMESUP", "HXDEMENTIA", "HXFALL", "IMMUNO_CAT", "OXYGEN_SUPPORT",
-        "PREOP_COVID"],
-    (2023, 2024): [
-        "DPRHEMOGLOBIN", "DPRHEMO_A1C", "PRHEMOGLOBIN", "PRHEMO_A1C"],
-    (2018, 2019, 2020): [
-        "DPRPT", "DYSPNEA", "ELECTSURG", "EMERGNCY", "PRPT", "WNDINF", "WTLOSS"],
-    (2021, 2022): [
-        "HEMO"],
-    (2022, 2023, 2024): [
-        "PREOP_CREAT_MSINCR"],
-    (2018, 2019, 2020, 2022, 2023, 2024): [
-        "RENAFAIL"],
+PARTIAL = {
+    "Age": ((2018, 2020, 2021, 2022, 2023, 2024), "read directly"),
+    "HtoODay": ((2018, 2020, 2021, 2022, 2023, 2024), "read directly"),
+    "CASETYPE": ((2021, 2022, 2023, 2024), "missing years approximated by rule"),
+    "DPRHEMOGLOBIN": ((2023, 2024), "missing years left as NaN"),
+    "DPRHEMO_A1C": ((2023, 2024), "missing years left as NaN"),
+    "DPRPT": ((2018, 2019, 2020), "missing years left as NaN"),
+    "DYSPNEA": ((2018, 2019, 2020), "missing years left as NaN"),
+    "ELECTSURG": ((2018, 2019, 2020), "missing years approximated by rule"),
+    "EMERGNCY": ((2018, 2019, 2020), "missing years approximated by rule"),
+    "HEMO": ((2021, 2022), "missing years derived by rule"),
+    "HOMESUP": ((2021, 2022, 2023, 2024), "missing years left as NaN"),
+    "HXDEMENTIA": ((2021, 2022, 2023, 2024), "missing years left as NaN"),
+    "HXFALL": ((2021, 2022, 2023, 2024), "missing years left as NaN"),
+    "IMMUNO_CAT": ((2021, 2022, 2023, 2024), "missing years left as NaN"),
+    "OXYGEN_SUPPORT": ((2021, 2022, 2023, 2024), "missing years left as NaN"),
+    "PREOP_COVID": ((2021, 2022, 2023, 2024), "missing years left as NaN"),
+    "PREOP_CREAT_MSINCR": ((2022, 2023, 2024), "missing years left as NaN"),
+    "PRHEMOGLOBIN": ((2023, 2024), "missing years approximated by rule"),
+    "PRHEMO_A1C": ((2023, 2024), "missing years derived by rule"),
+    "PRPT": ((2018, 2019, 2020), "missing years left as NaN"),
+    "RENAFAIL": ((2018, 2019, 2020, 2022, 2023, 2024), "missing years left as NaN"),
+    "WNDINF": ((2018, 2019, 2020), "missing years left as NaN"),
+    "WTLOSS": ((2018, 2019, 2020), "missing years left as NaN"),
 }
 
-# Fields that a rule fills where the year lacks them.
-APPROXIMATED = ["CASETYPE", "ELECTSURG", "EMERGNCY", "PRHEMOGLOBIN"]
-DERIVED = ["HEMO", "PRHEMO_A1C"]
-READ_DIRECTLY = ["Age", "HtoODay"]  # although one year lacks them
-
 # No training value, so no model input, and masked in the text of every cohort.
 TRAINING_EMPTY = ["DPRHEMOGLOBIN", "DPRHEMO_A1C", "PRPT", "DPRPT"]
 
@@ -132,7 +136,7 @@ CROSSWALK = [
 
 
 def years_of(name: str) -> tuple[int, ...]:
-    return next((y for y, names in YEARS_OF.items() if name in names), ALL_YEARS)
+    return PARTIAL[name][0] if name in PARTIAL else ALL_YEARS
 
 
 def model_fields() -> list[str]:
@@ -151,12 +155,7 @@ def passage_groups() -> list[list[str]]:
 
 
 def build_action(name: str) -> str:
-    if name in APPROXIMATED:
-        return "missing years approximated by rule"
-    if name in DERIVED:
-        return "missing years derived by rule"
-    return "read directly" if years_of(name) == ALL_YEARS or name in READ_DIRECTLY else (
-        "missing years left as NaN")
+    return PARTIAL[name][1] if name in PARTIAL else "read directly"
 
 
 def spec_table(spark: SparkSession) -> DataFrame:
