@@ -187,7 +187,8 @@ def repeat_rows(docs: DataFrame, **settings) -> DataFrame:
     k, times, turn = (free_name(docs, c) for c in ("_key", "_times", "_turn"))
     copies = written(mix(docs, **settings).groupBy(key.alias(k)).agg(
         F.max("copies").cast("int").alias(times)), "copies")
-    return docs.withColumn(k, key).join(copies.where(F.col(times) > 0), k).withColumn(
+    # One row of copies per document: always by shuffle, as in every large corpus.
+    return docs.withColumn(k, key).join(copies.where(F.col(times) > 0).hint("merge"), k).withColumn(
         turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 

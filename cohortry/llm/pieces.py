@@ -24,8 +24,8 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 # Weight of a piece: (rank in the vocabulary) ** -SHARPNESS. 0 would make all ways equal.
 SHARPNESS, SEED = 0.5, 42
 # Symbols taken together; bounds what a task holds besides its longest text.
-BATCH_SYMBOLS = 4_000_000
-BLOCK_CELLS = 2_000_000
+BATCH_SYMBOLS = 2_500_000
+BLOCK_CELLS = 1_500_000
 SPACE, BYTE0 = 0x2581, 0x110000
 _U = np.uint64
 _B, _K1, _K2 = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95), _U(0xA0761D6478BD642F)
@@ -95,11 +95,11 @@ class Pieces:
     def symbols(self, text: str) -> np.ndarray:
         """The symbols of a text with a space before it; an empty text has none."""
         if not text:
-            return np.zeros(0, np.int64)
-        s = np.frombuffer((" " + text).encode("utf-32-le"), np.uint32).astype(np.int64)
+            return np.zeros(0, np.int32)
+        s = np.frombuffer((" " + text).encode("utf-32-le"), np.uint32).astype(np.int32)
         other = ~self.known[s] | (s == SPACE)
         other &= s != 32
-        s = np.where(s == 32, SPACE, s)
+        s[s == 32] = SPACE
         if not other.any():
             return s
         if s[other].max() < 128:
@@ -110,7 +110,7 @@ class Pieces:
         width[other] = size[other]
         out = np.repeat(s, width)
         raw = "".join(map(chr, s[other])).encode()
-        out[np.repeat(other, width)] = BYTE0 + np.frombuffer(raw, np.uint8).astype(np.int64)
+        out[np.repeat(other, width)] = BYTE0 + np.frombuffer(raw, np.uint8).astype(np.int32)
         return out
 
     def decode(self, ids) -> str:
@@ -175,7 +175,7 @@ class Pieces:
         Pieces are found by 64-bit hashes; ``exact`` also compares their symbols.
         """
         sizes = np.array([len(s) for s in symbols], np.int64)
-        s = np.concatenate(symbols) if len(symbols) else np.zeros(0, np.int64)
+        s = np.concatenate(symbols) if len(symbols) else np.zeros(0, np.int32)
         doc_start = np.r_[0, np.cumsum(sizes)]
         if not len(s):
             return np.zeros(len(symbols) + 1, np.int32), np.zeros(0, np.int32)
@@ -232,7 +232,7 @@ class Pieces:
         """(order, bounds): parts sorted so that equal ones stand together, and where each
         run of equal parts begins. Parts are sorted by a hash and compared with the first of
         their run; should two differ, another hash is taken."""
-        inside = np.arange(len(s)) - np.repeat(start, length)
+        inside = (np.arange(len(s)) - np.repeat(start, length)).astype(np.int32)
         salt = np.ones(1, np.uint64)
         while True:
             powers = np.cumprod(np.repeat(_B * (salt + salt - _U(1)), int(length.max())))
