@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import time
 import uuid
 from collections.abc import Mapping, Sequence
@@ -35,8 +36,9 @@ PATIENCE, MIN_ITERATIONS = 50, 20
 MODEL_KINDS = {m.__name__: m for m in (LogisticRegressionModel, RandomForestClassificationModel,
                                        GBTClassificationModel)}
 VIEW_FOR = {"logistic_regression": "linear", "random_forest": "matrix", "boosted_trees": "tree"}
-# Partitions of the rows of a fit. Fixed, because the layout is part of a seeded model.
-FIT_PARTITIONS = 32
+# Rows of a partition of a fit, and partitions at least. The number follows from the rows alone,
+# because the layout is part of a seeded model.
+FIT_ROWS, FIT_PARTITIONS = 250_000, 8
 # MLlib trees split on numbers only; a missing one goes to the far left.
 MISSING = -1e30
 
@@ -168,13 +170,15 @@ def boosted_trees(rows: DataFrame, val: DataFrame, seed: int = SEED, patience: i
     return full, at
 
 
-def laid_out(df: DataFrame, row_id: str, parts: int = FIT_PARTITIONS) -> DataFrame:
+def laid_out(df: DataFrame, row_id: str) -> DataFrame:
     """Rows for an iterative fit, in a layout that follows from their keys alone.
 
-    MLlib draws its samples per partition in the order of the rows. Dealt by key into a fixed
-    number of partitions and sorted there, the same rows and seed give the same model whatever
-    files or cores they came from. Pinned, so that a lost executor recomputes nothing.
+    MLlib draws its samples per partition in the order of the rows. Dealt by key into a number
+    of partitions that the row count gives, and sorted there, the same rows and seed give the
+    same model whatever files or cores they came from. Pinned, so that a lost executor
+    recomputes nothing.
     """
+    parts = max(FIT_PARTITIONS, math.ceil(df.count() / FIT_ROWS))
     return pinned(df.repartition(parts, row_id).sortWithinPartitions(row_id))
 
 
