@@ -5,6 +5,9 @@ a fixed remainder. Cuts follow content, so text inserted before a passage does n
 inside it. Chunks of two or more lines that occur before, anywhere in the corpus, are removed:
 they are found by a hash of the chunk and compared byte by byte with the first occurrence.
 
+Chunks miss the edges of a shared passage, and short passages whole. ``without_passages`` has no
+chunks: it looks up every two adjacent lines, so that shared runs of two or more lines go whole.
+
 DataFrame functions only. Chunks are made inside a row. Only their hashes are shuffled, map-side
 sums first; texts are shuffled for chunks that repeat, in a join whose hot keys can be split.
 """
@@ -102,10 +105,64 @@ def without_repeats(docs: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:
         F.coalesce("removed_lines", F.lit(0)).cast("long").alias("removed_lines"))
 
 
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, thash, lines) of every row; null text is one empty line."""
+    return texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"),
+                              F.xxhash64("text").alias("thash"),
+                              F.split(F.col("text"), "\n", -1).alias("lines"))
+
+
+def _line_pairs(docs: DataFrame) -> DataFrame:
+    """(digest, doc_id, thash, line_no) of every two adjacent lines; line_no is the first's."""
+    at = _kept_apart(_lines(docs), held=F.col("lines")).where(F.size("held") > 1)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("held") - 1), lambda i: F.struct(
+        F.unhex(F.sha2(F.concat_ws("\n", F.get("held", i - 1), F.get("held", i))
+                       .cast("binary"), 256)).alias("digest"), i.alias("line_no")))
+    return at.select("doc_id", "thash", F.inline(pairs)).select(
+        "digest", "doc_id", "thash", "line_no")
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, n_lines, removed_lines) for every row of ``docs``.
+
+    Removed are all lines in a run of two or more adjacent lines that occur before, by
+    (doc_id, hash of the text, line), anywhere in the corpus: each two adjacent lines are
+    looked up by their SHA-256, so a run is found whole wherever it starts and ends, and what
+    two lines at its edge share with other texts. The chunks that ``without_repeats`` removes
+    are among them. A single line that repeats between others that do not stays. Of each line
+    that goes, an earlier copy stays.
+
+    Null text is empty text: one empty line, never removed. A text that loses all lines is
+    empty. Of rows that repeat with one id and text none is removed against the other. An
+    empty table gives no rows.
+    """
+    at = F.struct("doc_id", "thash", "line_no")
+    pairs = _line_pairs(docs)
+    keys = written(pairs.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("n"), F.min(at).alias("first")).where("n > 1"), "pair-keys")
+    hits = written(pairs.join(keys.drop("n").hint("merge"), "digest").where(
+        F.col("first") != at).select("doc_id", "thash", "line_no"), "pair-hits")
+    gone = written(hits.groupBy("doc_id", "thash").agg(
+        F.collect_set("line_no").alias("hit")), "gone-lines")
+    rows = _lines(docs).join(gone.hint("merge"), ["doc_id", "thash"], "left")
+    hit = F.coalesce("hit", F.array().cast("array<int>"))
+    both = F.concat(hit, F.transform(hit, lambda i: i + 1))
+    rows = _kept_apart(rows, stay=F.array_except(F.sequence(F.lit(1), F.size("lines")), both))
+    n = F.size("lines")
+    return rows.select(
+        F.nullif(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"),
+        F.array_join(F.transform("stay", lambda i: F.get("lines", i - 1)), "\n").alias("text"),
+        n.cast("long").alias("n_lines"), (n - F.size("stay")).cast("long").alias("removed_lines"))
+
+
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_passages(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

@@ -12,6 +12,7 @@ QUERIES = {
     "op6_norm_sorted_topk": topk.op6_norm_sorted_topk,
     "op7_digest_index": exact_dedup.op7_digest_index,
     "op8_line_chunks": line_chunks.op8_line_chunks,
+    "op8_line_passages": line_chunks.op8_line_passages,
     "op9_suffix_tree": suffix_tree.op9_suffix_tree,
     "op10_centroid_langid": langid.op10_centroid_langid,
 }

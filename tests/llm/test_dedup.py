@@ -181,3 +181,50 @@ def test_line_chunks_odd_rows_and_empty_table(spark):
     unlike = [(i, t or "") for i, t, *_ in odd_rows()]  # no chunk repeats but in equal rows
     assert got == sorted(unlike, key=repr)
     assert line_chunks.without_repeats(documents(spark, [])).count() == 0
+
+
+def expected_passages(rows):
+    """Lines in a pair of adjacent lines that another place holds before."""
+    seen, out = set(), []
+    for i, t in sorted(rows):
+        lines, gone = (t or "").split("\n"), set()
+        for at in range(len(lines) - 1):
+            pair = tuple(lines[at:at + 2])
+            if pair in seen:
+                gone |= {at, at + 1}
+            seen.add(pair)
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines),
+                    len(gone)))
+    return sorted(out, key=repr)
+
+
+def test_short_shared_passages_go_whole(spark):
+    rnd = random.Random(8)
+    passages = [[" ".join(f"p{p}l{k}w{w}" for w in range(52 // n + 1)) for k in range(n)]
+                for p in range(20) for n in (2, 3, 4, 5, 6)]
+    rows = []
+    for i, p in enumerate(passages * 2):
+        own = [[f"own {i} {side} {k}" for k in range(rnd.randint(0, 3))] for side in "ab"]
+        rows.append((i, "\n".join(own[0] + p + own[1])))
+    got = {r["doc_id"]: r for r in line_chunks.without_passages(documents(spark, rows)).collect()}
+    for i, p in enumerate(passages * 2):
+        text = got[i]["text"].split("\n")
+        assert sum(x in text for x in p) == (len(p) if i < len(passages) else 0)
+        assert sum(x.startswith("own") for x in text) == rows[i][1].count("own")
+        assert got[i]["removed_lines"] == (0 if i < len(passages) else len(p))
+
+
+def test_line_passages_equal_plain_python(spark):
+    rows = [*line_rows(), (70, "one\n" * 5), (71, "one\none"), (72, "a\n\nb"), (73, "a\n\nc")]
+    got = line_chunks.without_passages(documents(spark, rows))
+    cols = ("doc_id", "text", "n_lines", "removed_lines")
+    assert rows_of(got, *cols) == expected_passages(rows)
+    held = {r["doc_id"]: set(r["text"].split("\n")) for r in got.collect()}
+    for (i, t, *_) in rows:
+        assert all(any(x in held[j] for j in held) for x in (t or "").split("\n"))
+
+
+def test_line_passages_odd_rows_and_empty_table(spark):
+    got = rows_of(line_chunks.without_passages(documents(spark, odd_rows())), "doc_id", "text")
+    assert got == sorted([(i, t or "") for i, t, *_ in odd_rows()], key=repr)
+    assert line_chunks.without_passages(documents(spark, [])).count() == 0
