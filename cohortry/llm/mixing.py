@@ -149,11 +149,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP)
     starts = written(counts.withColumn("start", F.coalesce(F.sum("in_bucket").over(earlier),
                                                            F.lit(0))), "starts")
     seat = F.row_number().over(Window.partitionBy(*cell, "bucket").orderBy("doc_id"))
-    last = F.col("before_mass") + F.col("part") * (F.col("start") + seat)
+    last = F.col("before_mass") + F.col("part") * (F.col("start") + F.col("seat"))
     copies = F.col("whole") + F.floor((last + UNIT // 2) / UNIT) - F.floor(
         (last - F.col("part") + UNIT // 2) / UNIT)
+    # With its seat a row is told from others of its id; the seats are written with it.
     taken = rows.join(starts.drop("in_bucket"), [*cell, "bucket"]).withColumn(
-        "copies", F.least(copies, F.lit(cap)).cast("long"))
+        "seat", seat).withColumn("copies", F.least(copies, F.lit(cap)).cast("long"))
     taken = _nudged(_nudged(written(taken, "copies"), targets), targets)
     return taken.join(targets.drop("docs", "skey"), "sid").select(
         "doc_id", "size", "source_size", "target",
@@ -161,8 +162,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP)
 
 
 def _nudged(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """In each source, one document is rounded the other way: the one whose size is nearest
-    to the words that are missing or too many, if that brings the sum nearer to the target."""
+    """In each source, one row is rounded the other way: the one whose size is nearest to the
+    words that are missing or too many, if that brings the sum nearer to the target. Of rows
+    that share an id, or have none, it is still one."""
     sums = rows.groupBy("sid").agg(F.sum(F.col("copies") * F.col("size")).alias("now"))
     miss = written(targets.select("sid", "target").join(sums, "sid").select(
         "sid", (F.col("target") - F.col("now")).alias("miss")), "misses")
@@ -170,13 +172,14 @@ def _nudged(rows: DataFrame, targets: DataFrame) -> DataFrame:
     free = (F.col("part") > 0) & F.when(up, F.col("copies") == F.col("whole")).otherwise(
         F.col("copies") > F.col("whole"))
     off = F.abs(gap - size)
+    row = ["size", "bucket", "seat"]
     pick = rows.join(miss, "sid").where(free & (off < gap)).groupBy("sid").agg(
-        F.min(F.struct(off.alias("off"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))).alias("p"),
+        F.min(F.struct(off.alias("off"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"),
+                       *row)).alias("p"),
         F.max(F.when(up, 1).otherwise(-1)).alias("move"))
-    picked = written(pick.select("sid", F.col("p.id").alias("id"), "move"), "nudges")
-    at = (F.coalesce(rows["doc_id"], F.lit(NO_ID)) == picked["id"]) & (rows["sid"] == picked["sid"])
-    return rows.join(picked, at, "left").select(
-        *[rows[c] for c in rows.columns if c != "copies"],
+    picked = written(pick.select("sid", *[f"p.{c}" for c in row], "move"), "nudges")
+    return rows.join(picked, ["sid", *row], "left").select(
+        *[c for c in rows.columns if c != "copies"],
         (F.col("copies") + F.coalesce("move", F.lit(0))).alias("copies"))
 
 

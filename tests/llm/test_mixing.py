@@ -96,3 +96,17 @@ def test_repeat_rows_follows_copies(spark):
     for r in got.collect():
         count[r["doc_id"]] += 1
     assert {i: c for i, c in copies.items() if c} == dict(count)
+
+
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_rows_of_one_id_are_rounded_one_by_one(spark, doc_id):
+    # The largest have ids of their own, so that the second nudge does not undo the first.
+    rows = [(i if i * 37 % 50 > 40 else doc_id, "w " * (1 + i * 37 % 50), "en", s)
+            for i in range(90) for s in "abc"]
+    got = mixing.mix(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert all(0 <= r["copies"] <= 2 for r in got)
+    assert all(math.floor(r["rate"]) <= r["copies"] <= math.ceil(r["rate"]) for r in got)
+    for s in "abc":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 50
