@@ -62,6 +62,30 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
     return docs.join(gone, F.coalesce(F.col(id_col), F.lit(NO_ID)) == F.col(own), "left_anti")
 
 
+def keep_rows(docs: DataFrame, found: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (key, sha) is in ``stay``, one of each.
+
+    ``found`` has the key of every row: its doc_id, or NO_ID; ``stay`` has distinct (key, sha),
+    sha the SHA-256 of the text. An id on one row decides by itself, so texts are not shuffled;
+    ids on several rows, and null ids, are matched by id and digest.
+    """
+    from pyspark.sql import Window
+    k, sha, no = (free_name(docs, c) for c in ("_key", "_sha", "_no"))
+    again = written(found.groupBy("key").agg(F.count(F.lit(1)).alias(no)).where(F.col(no) > 1)
+                    .select(F.col("key").alias(k)), "repeated")
+    gone = found.select("key").join(stay.select("key").distinct(), "key", "left_anti")
+    once = drop_ids(docs, gone.union(again))
+    if again.isEmpty():
+        return once
+    repeated = (docs.withColumns({
+        k: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
+        sha: F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)})
+        .join(again, k, "left_semi").join(stay.toDF(k, sha), [k, sha], "left_semi")
+        .withColumn(no, F.row_number().over(Window.partitionBy(k, sha).orderBy(sha)))
+        .where(F.col(no) == 1))
+    return once.unionByName(repeated.select(*docs.columns))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node in an edge table (a, b): root is the smallest node
     reachable. Alternating large and small stars; each round is a few aggregations and

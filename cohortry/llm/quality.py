@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import drop_ids, fold, table, texts
+from cohortry.llm.common import fold, table, texts
 from cohortry.llm.features import (Distinct, byte_grams, platt, ragged, row_sums, sampled_labels,
                                    sigmoid)
 
@@ -147,8 +147,20 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without what the classifier rejects."""
-    return drop_ids(docs, scored(docs, labels).where("predicted = 0").select("doc_id"))
+    """``docs`` without what the classifier rejects. Each row is decided by its own text, so
+    rows that share an id, or have none, stay or go one by one."""
+    weights, bias = fit(docs, labels.where(fold(F.col("doc_id"), FOLDS) != 0))
+    sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    text_at = docs.columns.index("text")
+
+    def batches(source):
+        w, distinct = sent.value.astype(np.float64), Distinct(BITS)
+        for b in source:
+            good = [float(sigmoid(w[grams(t.as_py() or "", distinct)].sum() + bias)) >= ACCEPT
+                    for t in b.column(text_at)]
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(batches, docs.schema)
 
 
 def op3_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:

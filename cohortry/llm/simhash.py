@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import NO_ID, components, drop_ids, table, texts, written
+from cohortry.llm.common import NO_ID, components, keep_rows, table, texts, written
 
 SHINGLE_WORDS, MAX_BITS = 4, 4
 MIN_SHARED = 8 - MAX_BITS
@@ -54,13 +54,20 @@ def fingerprint(text: str, k: int = SHINGLE_WORDS) -> int:
 def _fingerprint_batches(batches):
     for b in batches:
         fps = [fingerprint(t.as_py()) for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())],
-                                         names=["doc_id", "fp"])
+        others = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays(
+            [*[b.column(c) for c in others], pa.array(fps, pa.int64())], names=[*others, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; null text is empty text."""
-    return texts(docs).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row; null text is empty text. With ``digest`` (doc_id, sha, fp),
+    sha the SHA-256 of the text."""
+    rows = texts(docs)
+    if not digest:
+        return rows.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    return rows.select("doc_id", sha.alias("sha"), "text").mapInArrow(
+        _fingerprint_batches, "doc_id long, sha string, fp long")
 
 
 # --- the index ------------------------------------------------------------------
@@ -160,29 +167,41 @@ def link_forest(nodes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return pairs.union(forest)
 
 
+def _classes(fps: DataFrame, low: Column, block_rows: int) -> DataFrame:
+    """(fp, low, root) of each fingerprint: the smallest ``low`` of its rows, and a number its
+    component has alone. Nodes are fingerprints: an id may stand on rows of several."""
+    nodes = written(fps.groupBy("fp").agg(F.min(low).alias("low")), "nodes")
+    roots = components(link_forest(nodes.select(F.col("fp").alias("node"), "fp"), block_rows))
+    return written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root")), "classes")
+
+
 def near_duplicates(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row of ``docs``.
 
     component_id is the smallest doc_id reachable over links of at most 4 differing bits.
     Null and empty texts have fingerprint zero and are linked like any other. A null doc_id
-    sorts below all others and is returned as null. Repeated rows repeat in the result.
+    sorts below all others and is returned as null. Repeated rows repeat in the result. Rows
+    that share an id are linked by their fingerprints only.
     """
     fps = written(fingerprints(docs), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(
-        F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("node")), "nodes")
-    roots = components(link_forest(nodes, block_rows))
-    classes = written(nodes.join(roots, "node", "left").select(
-        "fp", F.coalesce("root", "node").alias("component")), "classes")
+    classes = _classes(fps, F.coalesce("doc_id", F.lit(NO_ID)), block_rows)
+    smallest = written(classes.groupBy("root").agg(F.min("low").alias("component")), "smallest")
+    classes = written(classes.join(smallest, "root").select("fp", "component"), "components")
     return fps.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.nullif(F.col("component"), F.lit(NO_ID)).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those near another with a smaller doc_id in their component."""
-    near = near_duplicates(docs)
-    return drop_ids(docs, near.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-                    .select("doc_id"))
+    """One document of each group of near-duplicates: the one with the smallest doc_id, null
+    below all others; of rows that share it the one with the smallest SHA-256 of the text."""
+    fps = written(fingerprints(docs, digest=True), "fingerprints")
+    key = F.coalesce("doc_id", F.lit(NO_ID)).alias("key")
+    classes = _classes(fps, F.struct(key, "sha"), BLOCK_ROWS)
+    stay = written(classes.groupBy("root").agg(F.min("low").alias("low")).select(
+        "low.key", "low.sha"), "stay")
+    return keep_rows(docs, fps.select(key), stay)
 
 
 def op5_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
