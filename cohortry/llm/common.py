@@ -28,11 +28,11 @@ def texts(docs: DataFrame, *extra: str, id_col: str = "doc_id", text_col: str =
                        *[F.col(c) for c in extra])
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The table, written to the shared folder and read back: later steps do not
     recompute it, and it outlives lost executors."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

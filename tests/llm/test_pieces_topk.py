@@ -147,5 +147,5 @@ def test_queries_equal_their_sql(spark):
         cols = sorted(got.columns)
         want = sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall(), key=repr)
         assert rows_of(got, *cols) == want and want, name
-    assert len(registry.QUERIES) == 10
+    assert len(registry.QUERIES) == 13
     assert table(spark, SF, "documents").count() > 0
