@@ -16,7 +16,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,7 @@ from pyspark.sql import types as T
 
 from cohortry.functions import hashing
 from cohortry.functions.rates import RATE_METRICS, rates
+from cohortry.operators.joins import null_safe_join, null_safe_left
 from cohortry.operators.prefix import in_ranges, sampled_quantiles
 from cohortry.operators.ranking import CELL, known_score
 from cohortry.session import pinned
@@ -212,13 +212,6 @@ def draw_sums(pred: DataFrame, n_draws: int = N_DRAWS, flags: Sequence[str] = ()
     ).drop("inside", "between")
 
 
-def null_safe_left(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """A left join on columns that may be NULL; the right side brings its other columns."""
-    other = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
-    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
-    return left.join(other, reduce(Column.__and__, same), "left").drop(*[f"_r_{c}" for c in on])
-
-
 def _usable() -> Column:
     return (F.col("pos") > 0) & (F.col("neg") > 0)
 
@@ -263,7 +256,7 @@ def intervals(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.stddev_samp("value").alias("sd"), F.count(F.lit(1)).alias("n"))
     every = draws.select(*keys).distinct()
     enough = F.col("n") >= 2
-    return every.join(stats, list(keys), "left").select(
+    return null_safe_left(every, stats, keys).select(
         *keys, F.when(enough, F.col("q")[0]).alias("ci_lo"),
         F.when(enough, F.col("q")[1]).alias("ci_hi"), F.when(enough, F.col("sd")).alias("boot_std"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_boot_valid"))
@@ -275,8 +268,9 @@ def paired_differences(draws: DataFrame, baseline: str,
     baseline model, draw by draw, as the draws are shared."""
     base = draws.where(F.col("model") == baseline).select(
         "cohort", "label", "draw", *[F.col(m).alias(f"base_{m}") for m in metrics])
-    diff = draws.where(F.col("model") != baseline).join(base, ["cohort", "label", "draw"]).select(
+    others = draws.where(~F.col("model").eqNullSafe(F.lit(baseline)))
+    diff = null_safe_join(others, base, ["cohort", "label", "draw"]).select(
         *CELL, "draw", *[(F.col(m) - F.col(f"base_{m}")).alias(m) for m in metrics])
     rows = long_draws(diff, CELL, metrics)
     mean = rows.groupBy(*CELL, "metric").agg(F.avg("value").alias("mean_diff"))
-    return intervals(rows, [*CELL, "metric"]).join(mean, [*CELL, "metric"])
+    return null_safe_join(intervals(rows, [*CELL, "metric"]), mean, [*CELL, "metric"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.rates import RATE_METRICS
 from cohortry.operators.bootstrap import intervals, long_draws
 from cohortry.operators.harmonize import recorded_counts
+from cohortry.operators.joins import null_safe_join, null_safe_left
 from cohortry.operators.ranking import CELL
 
 SHIFT_POINTS = 25.0
@@ -33,13 +34,14 @@ def tidy_summary(areas: DataFrame, points: DataFrame, rank_draws: DataFrame,
     counts = ["tp", "fp", "fn", "tn", "n_flagged"]
     per_rule = points.unpivot(
         [*CELL, "rule", "kind", "threshold", "threshold_source", *counts], RATE_METRICS,
-        "metric", "value").join(areas.select(*base), CELL)
+        "metric", "value")
+    per_rule = null_safe_join(per_rule, areas.select(*base), CELL)
     rows = ranking.unionByName(per_rule, allowMissingColumns=True)
     draws = long_draws(rank_draws, CELL, ["auroc", "auprc"]).withColumn(
         "rule", F.lit("ranking")).unionByName(
         long_draws(rule_draws, [*CELL, "rule"], RATE_METRICS))
     spread = intervals(draws, [*CELL, "rule", "metric"])
-    return rows.join(spread, [*CELL, "rule", "metric"], "left").select(*SUMMARY_COLUMNS)
+    return null_safe_left(rows, spread, [*CELL, "rule", "metric"]).select(*SUMMARY_COLUMNS)
 
 
 def sorted_summary(summary: DataFrame) -> DataFrame:

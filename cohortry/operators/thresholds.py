@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.hashing import SEED, label_seed_col
 from cohortry.functions.rates import rates
+from cohortry.operators.joins import null_safe_join, null_safe_left
 from cohortry.operators.prefix import RANGE_ROWS, quantiles_of
 from cohortry.operators.ranking import CELL, best_f1, cumulative, known_score
 from cohortry.operators.split import halves
@@ -58,7 +59,7 @@ def val_cuts(val: DataFrame, keys: Sequence[str] = ("model", "label"),
 
 def transferred(cells: DataFrame, cuts: DataFrame) -> DataFrame:
     """The validation threshold as a rule of every cell with that model and outcome."""
-    return cells.select(*CELL).distinct().join(cuts, ["model", "label"]).select(
+    return null_safe_join(cells.select(*CELL).distinct(), cuts, ["model", "label"]).select(
         *CELL, F.lit(VAL_RULE).alias("rule"), F.lit("f1_val").alias("kind"), "threshold")
 
 
@@ -86,8 +87,8 @@ def apply_cuts(pred: DataFrame, rules: DataFrame, keys: Sequence[str] = CELL) ->
     per cell and rule.
     """
     y = F.col("y_true").cast("long")
-    hit = pred.select(*keys, "score_raw", y.alias("p"), (1 - y).alias("n")).join(
-        settle(rules), list(keys))
+    hit = null_safe_join(pred.select(*keys, "score_raw", y.alias("p"), (1 - y).alias("n")),
+                         settle(rules), keys)
     return confusion(hit.withColumn("flag", known_score(F.col("score_raw")) >= F.col("threshold")),
                      [*keys, "rule", "kind", "threshold"])
 
@@ -102,8 +103,9 @@ def read_off(cum: DataFrame, rules: DataFrame, names: Sequence[str],
     at = {n: F.col(f"`{n}`") for n in names}
     tops = [F.max(F.when(F.col("score") >= c["threshold"], F.col(x))).alias(f"{x}{i}")
             for i, c in enumerate(at.values()) for x in ("tp", "fp")]
-    sums = cum.join(wide, keys).groupBy(*keys, *[c.alias(f"r{i}") for i, c in enumerate(at.values())]
-                                        ).agg(F.max("pos").alias("pos"), F.max("neg").alias("neg"), *tops)
+    sums = null_safe_join(cum, wide, keys).groupBy(
+        *keys, *[c.alias(f"r{i}") for i, c in enumerate(at.values())]).agg(
+        F.max("pos").alias("pos"), F.max("neg").alias("neg"), *tops)
     zero = F.lit(0).cast("long")
     entries = F.array(*[F.struct(
         F.lit(n).alias("rule"), F.col(f"r{i}").alias("r"),
@@ -132,9 +134,8 @@ def half_cuts(counts: DataFrame) -> DataFrame:
     learned = best_f1(counts, [*CELL, "half"])
     other = F.when(F.col("half") == "A", "B").otherwise("A")
     given = counts.select(*CELL, "half").distinct()
-    return given.join(learned.withColumn("half", other).select(*CELL, "half", "threshold"),
-                      [*CELL, "half"], "left").withColumn(
-        "threshold", F.coalesce("threshold", F.lit(1.0)))
+    return null_safe_left(given, learned.withColumn("half", other).select(*CELL, "half", "threshold"),
+                          [*CELL, "half"]).withColumn("threshold", F.coalesce("threshold", F.lit(1.0)))
 
 
 def crossfit(pred: DataFrame, seed: int = SEED, range_rows: int = RANGE_ROWS,
@@ -146,7 +147,7 @@ def crossfit(pred: DataFrame, seed: int = SEED, range_rows: int = RANGE_ROWS,
     cuts = settle(half_cuts(counts)) if cuts is None else cuts
     zero = F.lit(0).cast("long")
     hit = F.col("score") >= F.col("threshold")
-    per_half = counts.join(cuts, [*CELL, "half"]).groupBy(*CELL, "half", "threshold").agg(
+    per_half = null_safe_join(counts, cuts, [*CELL, "half"]).groupBy(*CELL, "half", "threshold").agg(
         F.coalesce(F.max(F.when(hit, F.col("tp"))), zero).alias("tp"),
         F.coalesce(F.max(F.when(hit, F.col("fp"))), zero).alias("fp"),
         F.max("pos").alias("pos"), F.max("neg").alias("neg"))
@@ -201,10 +202,10 @@ def flagged_rows(pred: DataFrame, rules: DataFrame, names: Sequence[str],
     """
     per_cell = settle(rules.groupBy(*CELL).agg(F.map_from_entries(
         F.collect_list(F.struct("rule", "threshold"))).alias("cuts")))
-    rows = pred.join(per_cell, CELL)
+    rows = null_safe_join(pred, per_cell, CELL)
     if crossed is not None:
-        rows = rows.join(settle(crossed.withColumnRenamed("threshold", "_cut")),
-                         [*CELL, "half"], "left")
+        rows = null_safe_left(rows, settle(crossed.withColumnRenamed("threshold", "_cut")),
+                              [*CELL, "half"])
 
     def cut(rule: str) -> Column:
         if rule == CROSSFIT_RULE and crossed is not None:

@@ -11,15 +11,17 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Model
-from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
-                                       LogisticRegressionModel, RandomForestClassificationModel,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import (GBTClassificationModel, LogisticRegression,
+                                       LogisticRegressionModel, RandomForestClassificationModel)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.functions.hashing import SEED
+from cohortry.functions.missing import normalise_missing
+from cohortry.operators import boosting, forest
+from cohortry.operators.boosting import best_stage, stage_scores  # noqa: F401
 from cohortry.operators.prep import PrepState, fit
 from cohortry.operators.ranking import discrimination
 from cohortry.operators.split import stratified_split
@@ -39,8 +41,11 @@ VIEW_FOR = {"logistic_regression": "linear", "random_forest": "matrix", "boosted
 # Rows of a partition of a fit, and partitions at least. The number follows from the rows alone,
 # because the layout is part of a seeded model.
 FIT_ROWS, FIT_PARTITIONS = 250_000, 8
-# MLlib trees split on numbers only; a missing one goes to the far left.
+# A missing number goes to the far left of every split.
 MISSING = -1e30
+# Levels of a column that trees split by sets; where the others of a larger column stand.
+NATIVE_LEVELS = 254
+UNSEEN, NO_LEVEL = -1.0, -2.0
 
 
 def class_weights(rows: DataFrame, keys: Sequence[str] = (), y: str = "y_true") -> DataFrame:
@@ -62,26 +67,70 @@ def with_class_weight(rows: DataFrame, balanced: bool, y: str = "y_true") -> Dat
     return rows.withColumn("weight", F.when(F.col(y) == 1, float(pos)).otherwise(float(neg)))
 
 
-def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """(keep.., features) with one vector per row."""
-    plain = {f"x{i}": F.col(f"`{c}`").cast("double") for i, c in enumerate(features)}
-    rows = df.select(*keep, *[c.alias(n) for n, c in plain.items()])
+def assemble(df: DataFrame, features: Sequence[str], keep: Sequence[str],
+             nominal: Mapping[str, int] | None = None) -> DataFrame:
+    """(keep.., features) with one vector per row. ``nominal`` has the number of codes of the
+    features that are codes without an order: trees split those by sets of codes."""
+    sizes = nominal or {}
+    plain = {}
+    for i, c in enumerate(features):
+        about = {"ml_attr": {"type": "nominal", "num_vals": sizes[c]}} if c in sizes else None
+        x = F.col(f"`{c}`").cast("double")
+        plain[f"x{i}"] = x.alias(f"x{i}", metadata=about) if about else x.alias(f"x{i}")
+    rows = df.select(*keep, *plain.values())
     out = VectorAssembler(inputCols=list(plain), outputCol="features").transform(rows)
     return out.select(*keep, "features")
 
 
+def native_levels(state: PrepState, rows: DataFrame, label: str,
+                  limit: int = NATIVE_LEVELS) -> PrepState:
+    """The tree state with the levels of large columns placed by the mean outcome of their fit
+    rows. Trees split columns of up to ``limit`` levels by sets of codes, which needs a bin for
+    each level; a larger column is split along this order."""
+    large = [c for c in state.cat_cols if state.sizes().get(c, {}).get("n", 0) > limit]
+    if not large:
+        return state
+    entries = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level"))
+               for c in large]
+    seen = normalise_missing(rows.select(label, *large)).select(
+        F.col(label).alias("y"), F.inline(F.array(*entries))).where("level IS NOT NULL")
+    means = seen.groupBy("column", "level").agg(F.avg("y").alias("by_mean"))
+    levels = state.levels.join(means, ["column", "level"], "left").withColumns({
+        "mode": F.when(F.col("column").isin(large), "mean").otherwise(F.col("mode")),
+        "freq": F.when(F.col("column").isin(large), F.coalesce("by_mean", F.lit(UNSEEN)))
+        .otherwise(F.col("freq"))}).select(*state.levels.columns)
+    return PrepState(state.view, state.num_cols, state.cat_cols, state.numeric, pinned(levels))
+
+
 def design(state: PrepState, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Features of a fitted state as vectors. Tree levels become their codes."""
-    if state.view == "tree":
-        codes = PrepState("matrix", [], state.cat_cols, None, state.levels)
-        numbers = PrepState("tree", state.num_cols, [], None, state.levels)
-        rows = df.select(*keep, *state.num_cols, *state.cat_cols)
-        out = codes.transform(rows, [*keep, *state.num_cols])
-        out = numbers.transform(
-            out, [*keep, *state.cat_cols]).na.fill(MISSING, state.num_cols)
-    else:
-        out = state.transform(df, keep)
-    return assemble(out, state.feature_names(), keep)
+    """Features of a fitted state as vectors.
+
+    In the tree view a level is its code, an unseen level and a missing one are two further codes,
+    and the vector says which features are codes. Levels of a large column are their mean outcome
+    (``native_levels``), with an unseen and a missing one below all means.
+    """
+    if state.view != "tree":
+        return assemble(state.transform(df, keep), state.feature_names(), keep)
+    sizes = state.sizes()
+    large = [c for c in state.cat_cols if sizes.get(c, {}).get("mode") == "mean"]
+    small = [c for c in state.cat_cols if c not in large]
+    has = {f"_has{i}": F.col(c).isNotNull() for i, c in enumerate(state.cat_cols)}
+    mark = dict(zip(state.cat_cols, has))
+    rows = normalise_missing(df.select(*keep, *state.num_cols, *state.cat_cols)).withColumns(has)
+    numbers = PrepState("tree", state.num_cols, [], None, state.levels)
+    out = numbers.transform(rows, [*keep, *state.cat_cols, *has]).na.fill(MISSING, state.num_cols)
+    codes = PrepState("matrix", [], small, None, state.levels)
+    out = codes.transform(out, [*keep, *state.num_cols, *large, *has])
+    counts = {c: sizes.get(c, {}).get("n", 0) for c in small}
+    for c in large:
+        out = out.withColumn(c, F.col(c).cast("string")).join(
+            state.lookup(c, "freq"), c, "left").withColumn(c, F.col("_value")).drop("_value")
+    out = out.withColumns({
+        **{c: F.when(~F.col(mark[c]), n + 1).when(F.col(c) < 0, n).otherwise(F.col(c))
+           for c, n in counts.items()},
+        **{c: F.when(~F.col(mark[c]), NO_LEVEL).otherwise(F.coalesce(F.col(c), F.lit(UNSEEN)))
+           for c in large}})
+    return assemble(out, state.feature_names(), keep, {c: n + 2 for c, n in counts.items()})
 
 
 def positive_score(model: Model, df: DataFrame, keep: Sequence[str],
@@ -90,14 +139,9 @@ def positive_score(model: Model, df: DataFrame, keep: Sequence[str],
 
     With ``best_iteration`` only the trees up to that one are read.
     """
-    if best_iteration is None or best_iteration + 1 >= len(model.trees):
-        return model.transform(df).select(
-            *keep, vector_to_array("probability")[1].alias("score_raw"))
-    out, total = df, F.lit(0.0)
-    for i in range(best_iteration + 1):
-        out = model.trees[i].setPredictionCol(f"t{i}").transform(out)
-        total = total + F.col(f"t{i}") * F.lit(float(model.treeWeights[i]))
-    return out.select(*keep, (1.0 / (1.0 + F.exp(-2.0 * total))).alias("score_raw"))
+    if best_iteration is not None:
+        model = boosting.first_trees(model, best_iteration + 1)
+    return model.transform(df).select(*keep, vector_to_array("probability")[1].alias("score_raw"))
 
 
 def logistic_regression(rows: DataFrame, c: float = LR_C, **params) -> Model:
@@ -113,61 +157,25 @@ def logistic_regression(rows: DataFrame, c: float = LR_C, **params) -> Model:
 
 
 def random_forest(rows: DataFrame, seed: int = SEED, **params) -> Model:
-    est = RandomForestClassifier(featuresCol="features", labelCol="y_true", weightCol="weight",
-                                 seed=seed, **{**RF_PARAMS, **params})
-    return est.fit(with_class_weight(rows, balanced=True))
-
-
-def _boosted(rows: DataFrame, seed: int, params: Mapping) -> Model:
-    est = GBTClassifier(featuresCol="features", labelCol="y_true", weightCol="weight", seed=seed,
-                        **{**GBT_PARAMS, **params})
-    return est.fit(with_class_weight(rows, balanced=False))
-
-
-def stage_scores(model: Model, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """(keep.., stage, score_raw): the score after 1 .. n trees, each tree read once.
-
-    All trees predict into one array; the running sums of a row are made inside the row.
-    """
-    scored, columns = rows, []
-    for i, tree in enumerate(model.trees):
-        scored = tree.setPredictionCol(f"t{i}").transform(scored)
-        columns.append(F.col(f"t{i}") * F.lit(float(model.treeWeights[i])))
-    terms = scored.select(*keep, F.array(*columns).alias("terms"))
-    # A fold over the row's own array: sums[i] = sums[i - 1] + terms[i].
-    sums = F.aggregate("terms", F.array().cast("array<double>"), lambda a, t: F.concat(
-        a, F.array(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0.0)) + t)))
-    return terms.select(*keep, F.posexplode(sums).alias("stage", "score_raw"))
-
-
-def best_stage(values: Mapping[int, float], patience: int = PATIENCE) -> int:
-    """The stage with the highest value, looking no further than ``patience`` stages past
-    the best so far."""
-    best, best_at = float("-inf"), -1
-    for i in sorted(values):
-        if values[i] is not None and values[i] > best:
-            best, best_at = values[i], i
-        elif i - best_at >= patience:
-            break
-    return best_at
+    """Resampled per tree, with the classes balanced in each resample."""
+    return forest.fit(rows, seed=seed, **{**RF_PARAMS, **params})
 
 
 def boosted_trees(rows: DataFrame, val: DataFrame, seed: int = SEED, patience: int = PATIENCE,
                   min_iterations: int = MIN_ITERATIONS, **params) -> tuple[Model, int]:
     """Boosting stopped on validation average precision: (model, best iteration).
 
-    Not on the weighted loss, which rises from the first tree on. Every tree scores the
-    validation rows once and the precision of all stages comes from one table. The model keeps
-    all its trees; ``positive_score`` reads those up to the best iteration, so there is no
-    second fit and a new site cannot be scored with more trees than were evaluated.
+    Not on the weighted loss, which rises from the first tree on. Fitting ends ``patience``
+    trees past the best one. The model keeps the trees that were fitted; ``positive_score`` reads
+    those up to the best iteration, so there is no second fit and a new site cannot be scored
+    with more trees than were evaluated.
     """
-    full = _boosted(rows, seed, params)
-    stages = stage_scores(full, val.select("y_true", "features"), ["y_true"])
-    values = {r["stage"]: r["auprc"] for r in discrimination(stages, ["stage"]).collect()}
+    model, values = boosting.fit(with_class_weight(rows, balanced=False), val, seed=seed,
+                                 patience=patience, **{**GBT_PARAMS, **params})
     at = best_stage(values, patience)
     if at < min_iterations:
-        raise ValueError(f"early stopping fired at iteration {at} of {len(full.trees)}")
-    return full, at
+        raise ValueError(f"early stopping fired at iteration {at} of {len(model.trees)}")
+    return model, at
 
 
 def laid_out(df: DataFrame, row_id: str) -> DataFrame:
@@ -241,6 +249,8 @@ def train(df: DataFrame, model: str, label: str, columns: Sequence[str],
     fit_rows = tagged.where(F.col("split") == "fit")
     val_rows = tagged.where(F.col("split") == "val")
     state = state or fit(VIEW_FOR[model], fit_rows, columns, row_id)
+    if state.view == "tree":
+        state = native_levels(state, fit_rows, label)
 
     def vectors(rows: DataFrame) -> DataFrame:
         return design(state, rows, [row_id, label]).withColumnRenamed(label, "y_true")

@@ -75,6 +75,14 @@ def row_positions(spark, sf_dir):
     return t.select("row_id", "o_orderkey")
 
 
+def row_positions_folder(spark, sf_dir):
+    """Row numbers over a folder of five files."""
+    path = work_path(spark, "orders")
+    fx.table(spark, sf_dir, "orders").select("o_orderkey").repartitionByRange(
+        5, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
+    return tables.with_row_position(spark, path).select("row_id", "o_orderkey")
+
+
 # --- sinks -------------------------------------------------------------------------
 
 def prediction_sink(spark, sf_dir):
@@ -278,6 +286,7 @@ def _seen_sql(part, where):
 
 QUERIES = {f.__name__: f for f in (
     scan_contract, scan_outcome, scan_meta, contract_file, spec_csv, crosswalk_csv, schema_rows, row_positions,
+    row_positions_folder,
     prediction_sink, split_sink, state_sink, summary_sink, draws_sink, curve_sink, cell_meta_sink,
     vector_sink, scaler_sink, run_discovery, grid_missing, rowcount_check, schema_check,
     finite_scores, stale_outputs, best_iter_check, interval_gaps, throughput, stream_apply)}
@@ -305,6 +314,8 @@ FROM x JOIN m USING (difference) WHERE sample IN ('main_train', 'main_test')""",
         f" FROM cases" for i, (c, t) in enumerate(_TYPES.items())),
     "row_positions": "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, o_orderkey"
                      " FROM orders",
+    "row_positions_folder": "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id,"
+                            " o_orderkey FROM orders",
     "prediction_sink": f"WITH {P} SELECT * REPLACE (round(score_raw, 6) AS score_raw) FROM pred",
     "split_sink": f"""WITH {hp.POOL_SQL}, {hp._split_sql("y_a", "s")}
 SELECT row_id, split FROM s""",

@@ -101,6 +101,14 @@ def operating_points(spark, sf_dir):
     return rounded(out, "threshold", *RATE_METRICS)
 
 
+def points_null_cell(spark, sf_dir):
+    """Operating points with cells whose cohort is NULL: the same points."""
+    pred, val = saved_scores(spark, sf_dir)
+    unnamed = pred.withColumn("cohort", F.nullif(F.col("cohort"), F.lit("ext")))
+    out = thresholds.operating_points(unnamed, val, fx.INTERNAL)
+    return rounded(out, "threshold", *RATE_METRICS)
+
+
 def roc_curve(spark, sf_dir):
     return rounded(ranking.roc_curve(fx.test_scores(spark, sf_dir)), "fpr", "tpr")
 
@@ -468,7 +476,7 @@ def pivot_sql(src, where="TRUE"):
 
 QUERIES = {f.__name__: f for f in (
     auroc_ap, auroc_missing, lineitem_auroc, outcome_counts, brier_logloss, best_f1, topk_rules, confusion,
-    f1_val_transfer, f1_crossfit, operating_points, roc_curve, pr_curve, bootstrap_draws,
+    f1_val_transfer, f1_crossfit, operating_points, points_null_cell, roc_curve, pr_curve, bootstrap_draws,
     rank_intervals, rule_intervals, paired_diff, summary_tidy, summary_wide, panel, counts_line,
     merged_arms, published_score_eval, reference_row, axis_range)}
 
@@ -507,6 +515,8 @@ FROM {conf_sql("valrule")}""",
 SELECT {KEYS}, {RATES_SQL}, round(t_a, 6) AS t_a, round(t_b, 6) AS t_b,
   '{thresholds.CROSSFIT_RULE}' AS rule, 'f1_crossfit' AS kind FROM crossed""",
     "operating_points": f"WITH {RULES_SQL} {POINTS_SQL}",
+    "points_null_cell": "SELECT * REPLACE (nullif(cohort, 'ext') AS cohort) FROM"
+                        f" (WITH {RULES_SQL} {POINTS_SQL})",
     "roc_curve": ROC_SQL,
     "pr_curve": PR_SQL,
     "bootstrap_draws": f"""WITH {fx.PRED_SQL}, {draws_sql()}

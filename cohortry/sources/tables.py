@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.missing import normalise_missing
+from cohortry.session import settle
 
 
 def _part(spark: SparkSession, path: str, cohort: str, split: str) -> DataFrame:
@@ -107,5 +108,13 @@ def require_unique(df: DataFrame, row_id: str = "row_id") -> None:
 
 
 def with_row_position(spark: SparkSession, path: str) -> DataFrame:
-    """A single-file table with its row positions as ``row_id``."""
-    return spark.read.parquet(path).select("*", F.col("_metadata.row_index").alias("row_id"))
+    """A table with its row positions as ``row_id``: the place in its file, after the rows of all
+    files whose paths sort before. Counting the files' rows reads no column. One row a file is
+    added up in one task."""
+    rows = spark.read.parquet(path).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(settle(starts), "_file").withColumn(
+        "row_id", F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.operators import bootstrap, prep, ranking, thresholds
+from cohortry.operators import bootstrap, prep, ranking, report, thresholds
 from cohortry.operators.prefix import Dealt, running_totals, split_points
 from cohortry.operators.split import stratified_split
 
@@ -109,3 +109,50 @@ def test_rows_without_an_outcome_are_in_no_part(spark):
            for r in stratified_split(df, "y").groupBy("y", "split").count().collect()}
     assert got[(None, None)] == 300
     assert sum(n for (_, s), n in got.items() if s == "val") == 135  # 5 % of 2,700
+
+
+def null_cells(spark):
+    """Predictions and validation rows of two cohorts, one of them NULL."""
+    df = odd_scores(spark).withColumn("score_raw", F.col("score_raw").cast("double"))
+    named = df.where("cohort IS NOT NULL").select("cohort").first()[0]
+    return df, named
+
+
+def test_rules_hold_for_cells_without_a_name(spark):
+    df, named = null_cells(spark)
+    filled = df.fillna("zz", ["cohort"])
+    for make in (lambda d: thresholds.operating_points(d, d.where(F.col("cohort") == named), named),
+                 lambda d: thresholds.apply_cuts(d, thresholds.topk_cuts(d))):
+        got, want = make(df), make(filled)
+        assert norm(got.fillna("zz", ["cohort"]).select(*sorted(got.columns))) == norm(
+            want.select(*sorted(want.columns)))
+        assert got.where("cohort IS NULL").count() > 0
+
+
+def test_intervals_hold_for_cells_without_a_name(spark):
+    df, _ = null_cells(spark)
+    keys = [*ranking.CELL, "metric"]
+
+    def make(d):
+        return bootstrap.intervals(bootstrap.long_draws(
+            bootstrap.rank_draws(bootstrap.draw_sums(d, 20)), ranking.CELL, ["auroc", "auprc"]), keys)
+    got, want = make(df), make(df.fillna("zz", ["cohort"]))
+    assert norm(got.fillna("zz", ["cohort"])) == norm(want)
+    assert got.where("cohort IS NULL AND n_boot_valid > 0").count() == 2
+
+
+def test_differences_and_summary_hold_for_cells_without_a_name(spark):
+    df, _ = null_cells(spark)
+    two = df.withColumn("model", F.lit("base")).unionByName(df.withColumn("model", F.lit("other"))
+                                                            .withColumn("score_raw", -F.col("score_raw")))
+
+    def make(d):
+        draws = bootstrap.rank_draws(bootstrap.draw_sums(d, 20))
+        points = thresholds.operating_points(d, d, "a")
+        return (bootstrap.paired_differences(draws, "base"),
+                report.tidy_summary(ranking.discrimination(d), points, draws,
+                                    points.select(*ranking.CELL, "rule", F.lit(0).alias("draw"),
+                                                  *report.RATE_METRICS)))
+    for got, want in zip(make(two), make(two.fillna("zz", ["cohort"]))):
+        assert norm(got.fillna("zz", ["cohort"])) == norm(want)
+        assert got.where("cohort IS NULL").count() > 0
