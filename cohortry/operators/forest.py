@@ -12,6 +12,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.util import inheritable_thread_target
 
 from cohortry.functions import hashing
@@ -20,12 +21,20 @@ from cohortry.session import pinned
 SIDE_BY_SIDE = 4
 
 
-def draws(row_id: Column, tree: Column, bootstrap: bool = True) -> Column:
+def with_lanes(rows: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """Adds the hashes of the row key that all draws start from; made once, as the draws of a
+    tree name them many times."""
+    key = F.col(row_id)
+    if not isinstance(rows.schema[row_id].dataType, T.IntegralType):
+        key = F.xxhash64(key)
+    return rows.withColumns({f"_l{i}": hashing.row_lane(key.cast("long"), i) for i in (0, 1)})
+
+
+def draws(tree: Column, bootstrap: bool = True) -> Column:
     """How often a tree's resample has a row."""
     if not bootstrap:
         return F.lit(1)
-    lanes = (hashing.row_lane(row_id.cast("long"), i) for i in (0, 1))
-    return hashing.poisson_weight(hashing.draw_hash(*lanes, tree))
+    return hashing.poisson_weight(hashing.draw_hash(F.col("_l0"), F.col("_l1"), tree))
 
 
 def tree_weights(rows: DataFrame, n_trees: int, bootstrap: bool = True,
@@ -33,8 +42,8 @@ def tree_weights(rows: DataFrame, n_trees: int, bootstrap: bool = True,
     """(tree, y_true, drawn, weight): rows drawn of each class, and the class's weight, for all
     trees in one pass; only sums leave a task."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
-    sums = rows.select(row_id, "y_true", trees).groupBy("tree", "y_true").agg(
-        F.sum(draws(F.col(row_id), F.col("tree"), bootstrap)).alias("drawn"))
+    each = with_lanes(rows, row_id).select("_l0", "_l1", "y_true", trees)
+    sums = each.groupBy("tree", "y_true").agg(F.sum(draws(F.col("tree"), bootstrap)).alias("drawn"))
     totals = sums.groupBy("tree").agg(F.sum("drawn").alias("total"))
     return sums.join(totals, "tree").select(
         "tree", "y_true", "drawn", F.try_divide(F.col("total"), 2 * F.col("drawn")).alias("weight"))
@@ -47,8 +56,9 @@ def ensemble(trees: list, n_features: int) -> RandomForestClassificationModel:
     held = spark.sparkContext._gateway.new_array(jvm.DecisionTreeClassificationModel, len(trees))
     for i, t in enumerate(trees):
         held[i] = t._java_obj
-    return RandomForestClassificationModel(
-        jvm.RandomForestClassificationModel(held, n_features, 2))
+    made = jvm.RandomForestClassificationModel(held, n_features, 2)
+    made.set(made.getParam("numTrees"), len(trees))  # what a loaded model is held against
+    return RandomForestClassificationModel(made)
 
 
 def fit(rows: DataFrame, *, numTrees: int, seed: int, bootstrap: bool = True,
@@ -56,7 +66,7 @@ def fit(rows: DataFrame, *, numTrees: int, seed: int, bootstrap: bool = True,
         ) -> RandomForestClassificationModel:
     """A forest on ``rows`` (row_id, y_true, features). A tree that drew one class only has this
     class's rows with weight; both classes must occur."""
-    own = pinned(rows.select(row_id, "y_true", "features"))
+    own = pinned(with_lanes(rows.select(row_id, "y_true", "features"), row_id))
     of_tree: dict[int, dict[int, float]] = {}
     for r in tree_weights(own, numTrees, bootstrap, row_id).collect():  # two rows a tree
         of_tree.setdefault(r["tree"], {})[r["y_true"]] = r["weight"] or 0.0
@@ -65,7 +75,7 @@ def fit(rows: DataFrame, *, numTrees: int, seed: int, bootstrap: bool = True,
 
     def one(tree: int):
         w = of_tree[tree]
-        times = draws(F.col(row_id), F.lit(tree), bootstrap)
+        times = draws(F.lit(tree), bootstrap)
         here = own.withColumn("weight", times * F.when(F.col("y_true") == 1, float(w[1]))
                               .otherwise(float(w[0]))).where("weight > 0")
         return RandomForestClassifier(
