@@ -110,6 +110,22 @@ def plain_alignment(rows, a, b):
                    for r, (ids, links, cuts, groups) in zip(rows, out)), key=repr)
 
 
+def test_byte_level_ids_are_those_of_the_file():
+    """All code points, alone and beside letters, digits and contractions."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    own = alignment.ByteLevel()
+    file = Tokenizer.from_file(public_tokenizers.path(alignment.BYTE_BPE_FILE))
+    file.encode_special_tokens = True
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 50_000):
+        values = [f"a{chr(c)}b {chr(c)}1 {chr(c)}{chr(c)}'s" for c in points[at:at + 50_000]]
+        assert [e.ids for e in file.encode_batch([" " + v for v in values], add_special_tokens=False)
+                ] == own(values)
+    real = [t or "" for _, t, *_ in odd_rows()] + ODD_TEXTS
+    assert [e.ids for e in file.encode_batch([" " + t for t in real], add_special_tokens=False)] == own(real)
+
+
 MEASURES = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
