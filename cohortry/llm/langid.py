@@ -14,11 +14,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import fold, table
 from cohortry.llm.features import byte_grams
+from cohortry.session import settle
 
 BITS, GRAMS = 13, (1, 2, 3)
 PER_LANG, CENTROIDS, FOLDS, REJECT_SHARE = 400, 4, 3, 0.001
@@ -94,15 +95,18 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
 
 def fit(train: DataFrame, per_lang: int = PER_LANG, k: int = CENTROIDS):
     """(languages of the centroids, centroids, idf, rejection bound) from rows (doc_id, text,
-    lang). Without usable rows there are no centroids."""
+    lang). Centroids come from ``per_lang`` rows of a language at most, chosen by a hash of id and
+    text. Without usable rows there are no centroids."""
     known = train.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     idf = inverse_frequencies(known)
-    sizes = {r["lang"]: r["n"]
-             for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
-    keep = F.lit(False)
-    for lang, n in sizes.items():
-        keep = keep | ((F.col("lang") == lang) & (place < min(1.0, per_lang / n) * (1 << 30)))
+    # About a quarter more rows than wanted pass by their share, then each task and the whole keep
+    # the first ones: ids that repeat, or are null, cannot make the sample larger.
+    share = known.groupBy("lang").agg((F.lit(1.25 * per_lang) / F.count(F.lit(1))).alias("share"))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 30))
+    first = Window.partitionBy("lang").orderBy("place")
+    chosen = known.join(settle(share), "lang").withColumn("place", place).where(
+        F.col("place") < F.col("share") * (1 << 30)).withColumn(
+        "nth", F.row_number().over(first)).where(F.col("nth") <= per_lang)
 
     def batches(source):
         for b in source:
@@ -114,7 +118,7 @@ def fit(train: DataFrame, per_lang: int = PER_LANG, k: int = CENTROIDS):
                 [b.column("lang"), b.column("place"), pa.array(rows, pa.list_(pa.int32())),
                  pa.array(vals, pa.list_(pa.int32()))], names=["lang", "place", "ids", "counts"])
 
-    got = known.where(keep).select("text", "lang", place.alias("place")).mapInArrow(
+    got = chosen.select("text", "lang", "place").mapInArrow(
         batches, "lang string, place long, ids array<int>, counts array<int>").toPandas()
     got = got[got["ids"].notna()].sort_values(["lang", "place"], kind="stable")
     langs, centres, own = [], [], []

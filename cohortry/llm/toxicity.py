@@ -16,7 +16,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import fold, table, texts
@@ -112,17 +112,22 @@ def fit_ordinal(starts, ids, grade, levels: int, dims: int):
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS):
     """(weights, thresholds) from the labelled rows in ``labels``.
 
-    Labels above 1 are taken as grades; 0/1 labels are graded first. With rows of one class
-    only, or none, all weights are zero and every text gets that class's share.
+    Labels above 1 are taken as grades: pass them for real grades. 0/1 labels are graded first by
+    how many telling words a row holds. Without rows of grade 0, or without others, all weights
+    are zero and every text gets the share of the rows above 0, smoothed. Of documents that
+    repeat an id, no more than twice ``per_class`` rows of a label are used.
     """
     chosen = sampled_labels(labels, label, per_class, seed=4)
+    first = Window.partitionBy("y").orderBy("place", F.xxhash64("text"))
     rows = texts(docs).join(F.broadcast(chosen), "doc_id").withColumn(
-        "place", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30))).select("text", "y", "place")
+        "place", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30))).withColumn(
+        "nth", F.row_number().over(first)).where(F.col("nth") <= 2 * per_class).select(
+        "text", "y", "place")
     got = rows.mapInArrow(
         _feature_batches, "y int, place long, words array<int>, ids array<int>").toPandas()
     got = got.sort_values(["place", "y"], kind="stable")
     y = got["y"].to_numpy().clip(0)
-    if len(set(y)) < 2:
+    if not (y == 0).any() or not (y > 0).any():
         share = ((y > 0).sum() + 1) / (len(y) + 2)
         return np.zeros(1 << BITS), np.array([-np.log(share / (1 - share))])
     n_all, n_pos = labels.where(F.col(label).isNotNull()).agg(

@@ -98,6 +98,42 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.graded_documents(documents(spark, []), labels).count() == 0
 
 
+def test_toxicity_grades_of_one_side(spark):
+    docs = documents(spark, [(i, f"some words number {i}") for i in range(1, 31)])
+    every = label_rows(spark, [(i, 1, 1 + i % 2, "x") for i in range(1, 31)])
+    got = toxicity.graded_documents(docs, every).collect()
+    assert len(got) == 30 and all(r["toxic"] > 0.9 and r["grade"] == 1 for r in got)
+    none = label_rows(spark, [(i, 1, 0, "x") for i in range(1, 31)])
+    assert all(r["toxic"] < 0.1 and r["grade"] == 0 for r in toxicity.graded_documents(docs, none).collect())
+
+
+def test_toxicity_with_real_grades(spark):
+    words = {0: "calm gentle weather report", 1: "rude grumble mutter", 2: "vile hateful venom"}
+    rows = [(i, " ".join(f"{w}" for w in words[i % 3].split()) + f" filler{i % 7}") for i in range(1, 301)]
+    labels = label_rows(spark, [(i, 1, i % 3, "x") for i in range(1, 301)])
+    got = toxicity.graded_documents(documents(spark, rows), labels).collect()
+    assert np.mean([r["grade"] == r["doc_id"] % 3 for r in got]) > 0.95
+    mean = [np.mean([r["severity"] for r in got if r["doc_id"] % 3 == g]) for g in range(3)]
+    assert mean[0] < mean[1] < mean[2]
+
+
+def test_repeated_ids_do_not_enlarge_the_sample(spark):
+    rows = [(1 + i % 4, f"text {i} of few ids") for i in range(200)]
+    labels = label_rows(spark, [(i, 1, i % 2, "x") for i in range(1, 5)])
+    weights, theta = toxicity.fit(documents(spark, rows), labels, per_class=5)
+    assert np.isfinite(weights).all() and np.isfinite(theta).all()
+
+
+def test_language_of_rows_without_ids(spark):
+    rows = [(None, t, lang) for i in range(60) for t, lang in (
+        (f"the weather in the north was good number {i}", "en"),
+        (f"das Wetter im Norden war schoen Nummer {i}", "de"))]
+    got = langid.labelled(documents(spark, rows)).collect()
+    assert len(got) == 120 and {r["lang_pred"] for r in got} == {"en", "de"}
+    langs, centres, _, _ = langid.fit(documents(spark, rows).select("doc_id", "text", "lang"), per_lang=3, k=2)
+    assert len(langs) == 4 and len(centres) == 4
+
+
 def test_language_held_out(spark):
     docs = table(spark, SF01, "documents")
     got = langid.labelled(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
