@@ -1,17 +1,21 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Symbols are the words with at least ``SYMBOL_SHARE`` of the training tokens, one class for each
-shape of the other words, and the end of a text. A context of up to two symbols is a state of the
-tree if it has at least ``STATE_SHARE`` of the tokens and its next-symbol counts diverge from
-what its suffix predicts by more than a description of them costs. Distributions are smoothed
-towards those of the suffix. A token's probability is that of its symbol in the longest suffix
-state, times that of the word in its class.
+Symbols are the frequent words, one class for each shape of the other words, and the end of a
+text. A context of up to ``depth`` symbols is a state of the tree if it is frequent and its
+next-symbol counts diverge from what its suffix predicts by more than a description of them
+costs; contexts of three symbols and more are looked for behind states only. Distributions are
+smoothed towards those of the suffix. A token's probability is that of its symbol in the longest
+suffix state, times that of the word in its class.
+
+Frequent means N ** 0.6 / ``SYMBOLS``, ``STATES`` or ``ENTRIES`` of N training tokens. No share of
+the tokens is asked for, so ever rarer words and contexts are told apart as the corpus grows.
 
 Words are counted over the whole training corpus. Every task reduces its rows to distinct words
 first. A document needs the counts of its words, and the vocabulary grows with the corpus, so it
 is not broadcast: documents are dealt into chunks of bounded size, a word asks for its count once
 per task with the list of chunks that hold it, and each chunk meets its own answers. The tree has
-at most 1/share states and entries per depth, so it can be sent to every task.
+at most ``STATES`` * N ** 0.4 states and ``ENTRIES`` * N ** 0.4 entries per depth, so it can be
+sent to every task: a text of a thousand times the tokens has a tree of 16 times the bound.
 """
 
 from __future__ import annotations
@@ -27,9 +31,9 @@ from pyspark.sql import functions as F
 from cohortry.llm.common import NO_ID, fold, table, texts, written
 
 FOLDS, HELD = 7, 2
-SYMBOL_SHARE, STATE_SHARE, ENTRY_SHARE = 1 / 4096, 1e-5, 1e-6
+SYMBOLS, STATES, ENTRIES, POWER = 16, 256, 1024, 0.6
 PRIOR = 8.0  # counts that the suffix's distribution is worth
-DEPTH = 2
+DEPTH = 3
 CHUNK_CHARS, MIN_CHUNKS = 16_000_000, 32
 # What a task tokenizes at once, and how many tokens it sorts at once.
 GROUP_CHARS, TASK_TOKENS = 2_000_000, 3_000_000
@@ -43,6 +47,11 @@ for _set, _kind in ((range(97, 123), 0), (range(128, 256), 0), (b".!?", 1), (b",
         _TAIL[_c] = _kind
 
 
+def least(total: float, per: int) -> float:
+    """How often something occurs among ``total`` tokens to be frequent."""
+    return max(2.0, total ** POWER / per)
+
+
 # --- inside tasks -----------------------------------------------------------------
 
 def hash_words(words: list[bytes]) -> np.ndarray:
@@ -142,45 +151,103 @@ class Alphabet:
         return out
 
 
-def contexts(sym: np.ndarray, starts: np.ndarray, size: int) -> list[np.ndarray]:
-    """For each token the codes of its contexts of 0, 1, 2 symbols; before the first token
-    of a text stands the end."""
-    one = np.r_[CLASSES, sym[:-1]].astype(np.int64)
-    one[starts] = CLASSES
-    two = np.r_[CLASSES, one[:-1]]
-    two[starts] = CLASSES
-    return [np.zeros(len(sym), np.int64), one, two * np.int64(size) + one]
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two whole numbers (the finalizer of splitmix64)."""
+    with np.errstate(over="ignore"):
+        x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def contexts(sym: np.ndarray, starts: np.ndarray, size: int, depth: int) -> list[np.ndarray]:
+    """For each token the codes of its contexts of 0, 1 .. ``depth`` symbols; before the first
+    token of a text stands the end. Codes are exact up to two symbols and hashes beyond."""
+    out, earlier = [np.zeros(len(sym), np.int64)], sym.astype(np.int64)
+    for k in range(1, depth + 1):
+        earlier = np.r_[CLASSES, earlier[:-1]]
+        earlier[starts] = CLASSES
+        out.append(earlier if k == 1 else earlier * np.int64(size) + out[1] if k == 2
+                   else _mixed(out[-1], earlier))
+    return out
+
+
+def pair_codes(k: int, ctx: np.ndarray, sym: np.ndarray, size: int) -> np.ndarray:
+    """One number for a context of k symbols and the next one: exact up to one symbol, else a
+    hash, because three symbols of a large alphabet exceed 64 bits."""
+    return ctx * np.int64(size) + sym if k < 2 else _mixed(ctx, sym)
+
+
+def _found(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where x stands in a sorted array that is not empty, and whether it is there."""
+    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return at, sorted_[at] == x
+
+
+def _counted(k: int, ctx: np.ndarray, sym: np.ndarray, size: int):
+    """The first places of the distinct (context, next symbol) and how often each occurs."""
+    _, first, n = np.unique(pair_codes(k, ctx, sym, size), return_index=True, return_counts=True)
+    return first, n
 
 
 def _gram_batches(alphabet: Alphabet):
+    """(depth, ctx, sym, n): the next symbols of all contexts of up to two symbols."""
     def run(batches):
-        parts: list[list] = [[] for _ in range(DEPTH + 1)]
-        size = 0
+        held, size = [], 0
 
         def flush():
-            for k, p in enumerate(parts):
-                code, n = np.unique(np.concatenate(p), return_counts=True)
-                p.clear()
+            sym, *ctxs = (np.concatenate(x) for x in zip(*held))
+            for k, ctx in enumerate(ctxs):
+                first, n = _counted(k, ctx, sym, alphabet.size)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(code), k, np.int32)), pa.array(code // alphabet.size),
-                     pa.array((code % alphabet.size).astype(np.int32)), pa.array(n)],
+                    [pa.array(np.full(len(n), k, np.int32)), pa.array(ctx[first]),
+                     pa.array(sym[first].astype(np.int32)), pa.array(n)],
                     names=["depth", "ctx", "sym", "n"])
 
         for b in batches:
             for (group,) in _text_groups(b.column("text")):
                 t = Tokens(group)
                 s = alphabet.symbols(t)
-                for k, c in enumerate(contexts(s, t.starts, alphabet.size)):
-                    parts[k].append(c * alphabet.size + s)
+                held.append((s, *contexts(s, t.starts, alphabet.size, 2)))
                 size += len(s)
                 if size >= TASK_TOKENS:
                     yield from flush()
-                    size = 0
+                    held, size = [], 0
         if size:
             yield from flush()
     return run
 
 
+def _deeper_batches(alphabet: Alphabet, k: int, states: np.ndarray):
+    """(ctx, up, sym, n): the next symbols of contexts of k symbols whose suffix ``up`` is one of
+    the ``states`` (sorted)."""
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            ctx, up, sym = (np.concatenate(x) for x in zip(*held))
+            first, n = _counted(k, ctx, sym, alphabet.size)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ctx[first]), pa.array(up[first]),
+                 pa.array(sym[first].astype(np.int32)), pa.array(n)],
+                names=["ctx", "up", "sym", "n"])
+
+        for b in batches:
+            for (group,) in _text_groups(b.column("text")):
+                t = Tokens(group)
+                s = alphabet.symbols(t)
+                *_, up, ctx = contexts(s, t.starts, alphabet.size, k)
+                _, behind = _found(states, up)
+                held.append((ctx[behind], up[behind], s[behind]))
+                size += int(behind.sum())
+                if size >= TASK_TOKENS:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+    return run
+
+
 class Tree:
     """The states and entries of the tree as sorted arrays, and symbol probabilities."""
 
@@ -190,18 +257,16 @@ class Tree:
 
     def log10(self, sym: np.ndarray, starts: np.ndarray) -> np.ndarray:
         p = self.base[sym]
-        for k, ctx in enumerate(contexts(sym, starts, self.size)):
+        for k, ctx in enumerate(contexts(sym, starts, self.size, len(self.states) - 1)):
             if k == 0 or not len(self.states[k][0]):
                 continue
             codes, n, rest = self.states[k]
-            at = np.minimum(np.searchsorted(codes, ctx), len(codes) - 1)
-            here = codes[at] == ctx
+            at, here = _found(codes, ctx)
             pair, cnt = self.entries[k]
             own = np.zeros(len(sym))
             if len(pair):
-                code = ctx * self.size + sym
-                e = np.minimum(np.searchsorted(pair, code), len(pair) - 1)
-                own = np.where(pair[e] == code, cnt[e], 0)
+                e, known = _found(pair, pair_codes(k, ctx, sym, self.size))
+                own = np.where(known, cnt[e], 0)
             p = np.where(here, (own + (rest[at] + PRIOR) * p) / (n[at] + PRIOR), p)
         return np.log10(p)
 
@@ -237,9 +302,41 @@ def _score_chunk(total: int, distinct: int, alphabet: Alphabet, tree: Tree,
 
 # --- the Spark part -----------------------------------------------------------------
 
-def fit_tree(train: DataFrame, alphabet: Alphabet) -> Tree:
+def _retained(grams: DataFrame, upper: DataFrame, total: float) -> tuple[DataFrame, DataFrame]:
+    """The states (depth, ctx, total) among the contexts of ``grams`` (depth, ctx, up, sym, n), and
+    their entries (depth, ctx, sym, n). ``upper`` has the next symbols of the suffixes, with the
+    share q of each: (depth, up, sym, q), depth that of the longer context."""
+    sums = written(grams.groupBy("depth", "ctx").agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        .where(F.col("total") >= least(total, STATES)), "sums")
+    told = F.col("n") * F.log((F.col("n") / F.col("total")) / F.col("q"))
+    gained = written(grams.join(sums, ["depth", "ctx"]).join(upper, ["depth", "up", "sym"]),
+                     "divergence")
+    states = written(gained.groupBy("depth", "ctx").agg(
+        F.sum(told).alias("gain"), F.first("total").alias("total"), F.first("kinds").alias("kinds"))
+        .where(F.col("gain") > 0.5 * F.col("kinds") * F.log(F.col("total") + 1.0))
+        .select("depth", "ctx", "total"), "states")
+    entries = written(gained.where(F.col("n") >= least(total, ENTRIES)).select(
+        "depth", "ctx", "sym", "n").join(states.select("depth", "ctx"), ["depth", "ctx"]), "entries")
+    return states, entries
+
+
+def _arrays(k: int, states: DataFrame, entries: DataFrame, size: int):
+    """The states and entries of one depth as sorted arrays; see ``Tree``."""
+    s = states.where(F.col("depth") == k).select("ctx", "total").toPandas().sort_values("ctx")
+    e = entries.where(F.col("depth") == k).select("ctx", "sym", "n").toPandas()
+    ctx, totals = s["ctx"].to_numpy(np.int64), s["total"].to_numpy(np.float64)
+    of, n = e["ctx"].to_numpy(np.int64), e["n"].to_numpy(np.float64)
+    code = pair_codes(k, of, e["sym"].to_numpy(np.int64), size)
+    order = np.argsort(code)
+    held = np.bincount(np.searchsorted(ctx, of), weights=n, minlength=len(ctx)) if len(
+        ctx) else np.zeros(0)
+    return (ctx, totals, totals - held), (code[order], n[order])
+
+
+def fit_tree(train: DataFrame, alphabet: Alphabet, depth: int = DEPTH) -> Tree:
     """Counts over all rows of ``train``; states and entries are chosen in Spark, and only
-    those come to the driver: at most 1/share of each per depth."""
+    those come to the driver. See the module for their bound."""
     size = alphabet.size
     grams = written(train.select("text").mapInArrow(
         _gram_batches(alphabet), "depth int, ctx long, sym int, n long").groupBy(
@@ -248,45 +345,36 @@ def fit_tree(train: DataFrame, alphabet: Alphabet) -> Tree:
     for r in grams.where("depth = 0").collect():
         base_n[r["sym"]] = r["n"]
     total = base_n.sum()
-    base = (base_n + 1) / (total + size)
-    sent = F.array(*[F.lit(float(p)) for p in base])
 
-    sums = grams.groupBy("depth", "ctx").agg(
-        F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
     # What the suffix predicts: the base for one symbol, the shorter context's counts for two.
-    suffix = F.when(F.col("depth") == 2, F.col("ctx") % size).otherwise(F.lit(0)).cast("long")
-    rows = grams.where("depth > 0").join(
-        written(sums.where(F.col("total") >= max(2.0, STATE_SHARE * total)), "sums"),
-        ["depth", "ctx"]).withColumns({"up": suffix, "up_depth": F.col("depth") - 1})
-    upper = written(grams.join(sums, ["depth", "ctx"]).where("depth < 2").select(
-        F.col("depth").alias("up_depth"), F.col("ctx").alias("up"), "sym",
+    sums = grams.where("depth < 2").groupBy("depth", "ctx").agg(F.sum("n").alias("total"))
+    upper = written(grams.join(sums, ["depth", "ctx"]).select(
+        (F.col("depth") + 1).alias("depth"), F.col("ctx").alias("up"), "sym",
         (F.col("n") / F.col("total")).alias("q")), "suffixes")
-    told = F.col("n") * F.log((F.col("n") / F.col("total")) / F.col("q"))
-    gained = written(rows.join(upper, ["up_depth", "up", "sym"]), "divergence")
-    kept = written(gained.groupBy("depth", "ctx").agg(
-        F.sum(told).alias("gain"), F.first("total").alias("total"), F.first("kinds").alias("kinds"))
-        .where(F.col("gain") > 0.5 * F.col("kinds") * F.log(F.col("total") + 1.0)), "states")
-    entries = written(gained.join(kept.select("depth", "ctx"), ["depth", "ctx"]).where(
-        F.col("n") >= max(2.0, ENTRY_SHARE * total)).select("depth", "ctx", "sym", "n"), "entries")
-
+    up = F.when(F.col("depth") == 2, F.col("ctx") % size).otherwise(F.lit(0)).cast("long")
+    grams = grams.where(F.col("depth").between(1, depth)).withColumn("up", up)
+    kept, entries = _retained(grams, upper, total)
     states, pairs = [None], [None]
-    for k in range(1, DEPTH + 1):
-        s = kept.where(F.col("depth") == k).select("ctx", "total").toPandas().sort_values("ctx")
-        e = entries.where(F.col("depth") == k).select("ctx", "sym", "n").toPandas()
-        ctx = s["ctx"].to_numpy(np.int64)
-        code = e["ctx"].to_numpy(np.int64) * size + e["sym"].to_numpy(np.int64)
-        order = np.argsort(code)
-        n = e["n"].to_numpy(np.float64)
-        held = np.bincount(np.searchsorted(ctx, e["ctx"].to_numpy(np.int64)), weights=n,
-                           minlength=len(ctx)) if len(ctx) else np.zeros(0)
-        totals = s["total"].to_numpy(np.float64)
-        states.append((ctx, totals, totals - held))
-        pairs.append((code[order], n[order]))
-    return Tree(base, states, pairs, size)
+    for k in range(1, depth + 1):
+        if k > 2:  # one more pass over the texts, for what stands behind the states
+            if not len(states[k - 1][0]):
+                break
+            upper = written(grams.where(F.col("depth") == k - 1).join(kept, ["depth", "ctx"]).select(
+                F.lit(k).alias("depth"), F.col("ctx").alias("up"), "sym",
+                (F.col("n") / F.col("total")).alias("q")), "suffixes")
+            grams = written(train.select("text").mapInArrow(
+                _deeper_batches(alphabet, k, states[k - 1][0]),
+                "ctx long, up long, sym int, n long").groupBy("ctx", "up", "sym").agg(
+                F.sum("n").alias("n")).withColumn("depth", F.lit(k)), "grams")
+            kept, entries = _retained(grams, upper, total)
+        own, next_ = _arrays(k, kept, entries, size)
+        states.append(own)
+        pairs.append(next_)
+    return Tree((base_n + 1) / (total + size), states, pairs, size)
 
 
 def scores(docs: DataFrame, folds: int = FOLDS, held: int = HELD,
-           chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+           chunk_chars: int = CHUNK_CHARS, depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Learned from the rows outside the held-out fold; repeated rows count as often as they
@@ -305,14 +393,14 @@ def scores(docs: DataFrame, folds: int = FOLDS, held: int = HELD,
     vocab = written(asked.groupBy("word").agg(F.sum("n").alias("c"), F.min("cls").alias("cls"))
                     .where("c > 0"), "vocabulary")
     total, distinct = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    most = max(2.0, SYMBOL_SHARE * total)
+    most = least(total, SYMBOLS)
     frequent = vocab.where((F.col("c") >= most) & (F.col("word") != END_HASH)).select("word")
     alphabet = Alphabet(frequent.toPandas()["word"].to_numpy(np.int64))
     in_class = np.ones(CLASSES)
     for r in vocab.where((F.col("c") < most) & (F.col("word") != END_HASH)).groupBy("cls").agg(
             F.sum(F.col("c") + 1).alias("m")).collect():
         in_class[r["cls"]] += r["m"]
-    tree = fit_tree(rows.where("NOT held_out"), alphabet)
+    tree = fit_tree(rows.where("NOT held_out"), alphabet, depth)
 
     answers = asked.select("word", "chunks").join(vocab.select("word", "c"), "word").select(
         F.explode("chunks").alias("chunk"), "word", "c")

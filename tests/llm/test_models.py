@@ -163,13 +163,13 @@ def test_spherical_kmeans_finds_directions():
 
 # --- language model -----------------------------------------------------------------
 
-def plain_scores(rows, alphabet_size=None):
+def plain_scores(rows, depth):
     """A direct version of the whole model, with dictionaries."""
     s = suffix_tree
     train = [[w.encode() for w in words(t)] + [s.END] for i, t, *_ in rows if crc(i) % 7 != 2]
     count = Counter(w for d in train for w in d)
     total, distinct = sum(count.values()), len(count)
-    most = max(2.0, s.SYMBOL_SHARE * total)
+    most = max(2.0, total ** 0.6 / 16)
     def shape(w):
         tail = s._TAIL[w[-1]]
         size = sum(len(w) >= n for n in (4, 7, 11))
@@ -185,32 +185,34 @@ def plain_scores(rows, alphabet_size=None):
         if w != s.END and c < most:
             mass[cls[w]] += c + 1
     symbols = s.CLASSES + 1 + sum(1 for w, c in count.items() if w != s.END and c >= most)
-    grams = [Counter(), Counter(), Counter()]
+    grams = [Counter() for _ in range(depth + 1)]
     for d in train:
-        y = ["end", "end"] + [symbol(w) for w in d]
-        for i in range(2, len(y)):
-            grams[0][((), y[i])] += 1
-            grams[1][((y[i - 1],), y[i])] += 1
-            grams[2][((y[i - 2], y[i - 1]), y[i])] += 1
-    sums = [Counter(), Counter(), Counter()]
-    for k in range(3):
-        for (c, _), n in grams[k].items():
+        y = ["end"] * depth + [symbol(w) for w in d]
+        for i in range(depth, len(y)):
+            for k in range(depth + 1):
+                grams[k][(tuple(y[i - k:i]), y[i])] += 1
+    sums = [Counter() for _ in grams]
+    following = [{} for _ in grams]
+    for k, g in enumerate(grams):
+        for (c, x), n in g.items():
             sums[k][c] += n
+            following[k].setdefault(c, {})[x] = n
     states = {}
-    for k in (1, 2):
+    for k in range(1, depth + 1):
         for c, n in sums[k].items():
-            if n < max(2.0, s.STATE_SHARE * total):
-                continue
-            nxt = {x: m for (d, x), m in grams[k].items() if d == c}
             up = c[1:]
+            if n < max(2.0, total ** 0.6 / 256) or (k > 2 and up not in states):
+                continue
+            nxt = following[k][c]
             gain = sum(m * math.log((m / n) / (grams[k - 1][(up, x)] / sums[k - 1][up]))
                        for x, m in nxt.items())
             if gain > 0.5 * len(nxt) * math.log(n + 1.0):
-                states[c] = (n, {x: m for x, m in nxt.items() if m >= max(2.0, s.ENTRY_SHARE * total)})
+                states[c] = (n, {x: m for x, m in nxt.items() if m >= max(2.0, total ** 0.6 / 1024)})
 
     def prob(x, ctx):
         p = (grams[0][((), x)] + 1) / (total + symbols)
-        for c in (ctx[1:], ctx):
+        for k in range(1, depth + 1):
+            c = ctx[depth - k:]
             if c in states:
                 n, own = states[c]
                 p = (own.get(x, 0) + (n - sum(own.values()) + s.PRIOR) * p) / (n + s.PRIOR)
@@ -218,27 +220,28 @@ def plain_scores(rows, alphabet_size=None):
     out = {}
     for i, t, *_ in rows:
         toks = [w.encode() for w in words(t)] + [s.END]
-        y = ["end", "end"] + [symbol(w) for w in toks]
+        y = ["end"] * depth + [symbol(w) for w in toks]
         score = 0.0
         for j, w in enumerate(toks):
-            score += math.log10(prob(y[j + 2], (y[j], y[j + 1])))
-            if isinstance(y[j + 2], int):
-                score += math.log10((count[w] + 1) / (1 + mass[y[j + 2]]))
+            score += math.log10(prob(y[j + depth], tuple(y[j:j + depth])))
+            if isinstance(y[j + depth], int):
+                score += math.log10((count[w] + 1) / (1 + mass[y[j + depth]]))
         base = sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in toks)
         out[(i, t)] = (crc(i) % 7 == 2, len(toks), sum(count[w] > 0 for w in toks), total, base, score)
-    return out
+    return out, Counter(len(c) for c in states)
 
 
-@pytest.mark.parametrize("source", ["documents", "odd"])
-def test_suffix_tree_equals_plain_version(spark, source):
+@pytest.mark.parametrize("source,depth", [("documents", 2), ("documents", 4), ("odd", 3), ("odd", 1)])
+def test_suffix_tree_equals_plain_version(spark, source, depth):
     if source == "odd":
         rows = [r for r in odd_rows()]
         docs = documents(spark, rows)
     else:
         docs = table(spark, SF, "documents")
         rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
-    want = plain_scores(rows)
-    got = suffix_tree.scores(docs, chunk_chars=50_000)
+    want, states = plain_scores(rows, depth)
+    assert source == "odd" or set(states) == set(range(1, depth + 1))
+    got = suffix_tree.scores(docs, chunk_chars=50_000, depth=depth)
     ids = [(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"],
             round(r["base_score"], 6), round(r["score"], 6)) for r in got.collect()]
     assert sorted(ids, key=repr) == sorted(
