@@ -35,8 +35,8 @@ SYMBOLS, STATES, ENTRIES, POWER = 16, 256, 1024, 0.6
 PRIOR = 8.0  # counts that the suffix's distribution is worth
 DEPTH = 3
 CHUNK_CHARS, MIN_CHUNKS = 16_000_000, 32
-# What a task tokenizes at once, and how many tokens it sorts at once.
-GROUP_CHARS, TASK_TOKENS = 2_000_000, 3_000_000
+# What a task tokenizes at once, how many tokens it sorts at once, and how many with contexts.
+GROUP_CHARS, TASK_TOKENS, CONTEXT_TOKENS = 2_000_000, 3_000_000, 1_000_000
 END = b"\x20"  # no word holds a space
 CLASSES = 5 * 4 * 2
 SIGN = np.uint64(1 << 63)
@@ -190,61 +190,58 @@ def _counted(k: int, ctx: np.ndarray, sym: np.ndarray, size: int):
     return first, n
 
 
+def _symbol_batches(alphabet: Alphabet, batches):
+    """(symbols, starts) of ``CONTEXT_TOKENS`` tokens or more at a time."""
+    held, starts, size = [], [], 0
+    for b in batches:
+        for (group,) in _text_groups(b.column("text")):
+            t = Tokens(group)
+            held.append(alphabet.symbols(t).astype(np.int32))
+            starts.append(t.starts + size)
+            size += len(t.hashes)
+            if size >= CONTEXT_TOKENS:
+                yield np.concatenate(held).astype(np.int64), np.concatenate(starts)
+                held, starts, size = [], [], 0
+    if size:
+        yield np.concatenate(held).astype(np.int64), np.concatenate(starts)
+
+
 def _gram_batches(alphabet: Alphabet):
     """(depth, ctx, sym, n): the next symbols of all contexts of up to two symbols."""
     def run(batches):
-        held, size = [], 0
-
-        def flush():
-            sym, *ctxs = (np.concatenate(x) for x in zip(*held))
-            for k, ctx in enumerate(ctxs):
+        for sym, starts in _symbol_batches(alphabet, batches):
+            for k, ctx in enumerate(contexts(sym, starts, alphabet.size, 2)):
                 first, n = _counted(k, ctx, sym, alphabet.size)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(n), k, np.int32)), pa.array(ctx[first]),
                      pa.array(sym[first].astype(np.int32)), pa.array(n)],
                     names=["depth", "ctx", "sym", "n"])
-
-        for b in batches:
-            for (group,) in _text_groups(b.column("text")):
-                t = Tokens(group)
-                s = alphabet.symbols(t)
-                held.append((s, *contexts(s, t.starts, alphabet.size, 2)))
-                size += len(s)
-                if size >= TASK_TOKENS:
-                    yield from flush()
-                    held, size = [], 0
-        if size:
-            yield from flush()
     return run
 
 
-def _deeper_batches(alphabet: Alphabet, k: int, states: np.ndarray):
+def _deeper_batches(alphabet: Alphabet, k: int, states: np.ndarray, often: np.ndarray):
     """(ctx, up, sym, n): the next symbols of contexts of k symbols whose suffix ``up`` is one of
-    the ``states`` (sorted)."""
-    def run(batches):
-        held, size = [], 0
+    the ``states`` (sorted).
 
-        def flush():
-            ctx, up, sym = (np.concatenate(x) for x in zip(*held))
+    ``often`` (sorted) has the frequent runs of three symbols. A context whose oldest three are
+    not among them is not frequent, so it is not counted.
+    """
+    def run(batches):
+        for sym, starts in _symbol_batches(alphabet, batches):
+            every = contexts(sym, starts, alphabet.size, k)
+            back = k - 2
+            begin = np.repeat(starts, np.diff(np.r_[starts, len(sym)]))
+            place = np.arange(len(sym)) - back
+            _, run_of_three = _found(often, pair_codes(2, every[2], sym, alphabet.size))
+            may = (place < begin) | run_of_three[place]
+            _, behind = _found(states, every[k - 1])
+            may &= behind
+            ctx, up, sym = every[k][may], every[k - 1][may], sym[may]
             first, n = _counted(k, ctx, sym, alphabet.size)
-            return pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [pa.array(ctx[first]), pa.array(up[first]),
                  pa.array(sym[first].astype(np.int32)), pa.array(n)],
                 names=["ctx", "up", "sym", "n"])
-
-        for b in batches:
-            for (group,) in _text_groups(b.column("text")):
-                t = Tokens(group)
-                s = alphabet.symbols(t)
-                *_, up, ctx = contexts(s, t.starts, alphabet.size, k)
-                _, behind = _found(states, up)
-                held.append((ctx[behind], up[behind], s[behind]))
-                size += int(behind.sum())
-                if size >= TASK_TOKENS:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
     return run
 
 
@@ -354,6 +351,12 @@ def fit_tree(train: DataFrame, alphabet: Alphabet, depth: int = DEPTH) -> Tree:
     up = F.when(F.col("depth") == 2, F.col("ctx") % size).otherwise(F.lit(0)).cast("long")
     grams = grams.where(F.col("depth").between(1, depth)).withColumn("up", up)
     kept, entries = _retained(grams, upper, total)
+    often = np.zeros(1, np.int64)
+    if depth > 2:  # as many as there may be states of three symbols
+        runs = grams.where((F.col("depth") == 2) & (F.col("n") >= least(total, STATES))).select(
+            "ctx", "sym").toPandas()
+        often = np.sort(np.r_[often, pair_codes(2, runs["ctx"].to_numpy(np.int64),
+                                                runs["sym"].to_numpy(np.int64), size)])
     states, pairs = [None], [None]
     for k in range(1, depth + 1):
         if k > 2:  # one more pass over the texts, for what stands behind the states
@@ -363,7 +366,7 @@ def fit_tree(train: DataFrame, alphabet: Alphabet, depth: int = DEPTH) -> Tree:
                 F.lit(k).alias("depth"), F.col("ctx").alias("up"), "sym",
                 (F.col("n") / F.col("total")).alias("q")), "suffixes")
             grams = written(train.select("text").mapInArrow(
-                _deeper_batches(alphabet, k, states[k - 1][0]),
+                _deeper_batches(alphabet, k, states[k - 1][0], often),
                 "ctx long, up long, sym int, n long").groupBy("ctx", "up", "sym").agg(
                 F.sum("n").alias("n")).withColumn("depth", F.lit(k)), "grams")
             kept, entries = _retained(grams, upper, total)
