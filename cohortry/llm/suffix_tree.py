@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -88,6 +89,13 @@ class Tokens:
                         + (high[ends] == high[begins])).astype(np.int16)
 
 
+def _first(code: np.ndarray, kinds: int) -> np.ndarray:
+    """The first place of each of the codes 0 .. ``kinds`` - 1, all of which occur."""
+    first = np.empty(kinds, np.int64)
+    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)  # of equal ones the last write stays
+    return first
+
+
 def _text_groups(column, *others):
     """The texts of a batch in groups of bounded size, with the same rows of other columns."""
     held, size, lo = [], 0, 0
@@ -103,16 +111,14 @@ def _text_groups(column, *others):
 
 def _word_table(h, c, train, cls):
     """Distinct words of these tokens with their training count and list of chunks."""
-    order = np.lexsort((c, h))
-    h, c = h[order], c[order]
-    new_word = np.r_[True, h[1:] != h[:-1]]
-    at = np.flatnonzero(new_word)
-    n = np.add.reduceat(train[order].astype(np.int64), at)
-    new_pair = new_word | np.r_[True, c[1:] != c[:-1]]
-    offsets = np.r_[np.cumsum(new_pair)[at] - 1, new_pair.sum()].astype(np.int32)
+    code, words = pd.factorize(h)
+    n = np.bincount(code[train], minlength=len(words))
+    span = int(c.max()) + 1
+    pairs = np.sort(pd.unique(code * np.int64(span) + c))
+    offsets = np.searchsorted(pairs, np.arange(len(words) + 1) * np.int64(span)).astype(np.int32)
     return pa.RecordBatch.from_arrays(
-        [pa.array(h[at]), pa.array(cls[order][at].astype(np.int32)), pa.array(n),
-         pa.ListArray.from_arrays(pa.array(offsets), pa.array(c[new_pair]))],
+        [pa.array(words), pa.array(cls[_first(code, len(words))].astype(np.int32)), pa.array(n),
+         pa.ListArray.from_arrays(pa.array(offsets), pa.array((pairs % span).astype(np.int32)))],
         names=["word", "cls", "n", "chunks"])
 
 
@@ -138,15 +144,13 @@ class Alphabet:
     """Symbol numbers: classes first, then the end, then the frequent words."""
 
     def __init__(self, frequent: np.ndarray):
-        self.words = np.sort(frequent)
+        self.words = pd.Index(np.sort(frequent))
         self.size = CLASSES + 1 + len(self.words)
 
     def symbols(self, tokens: Tokens) -> np.ndarray:
-        h, out = tokens.hashes, tokens.classes.astype(np.int64)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-            known = self.words[at] == h
-            out[known] = CLASSES + 1 + at[known]
+        h = tokens.hashes
+        at, known = _found(self.words, h)
+        out = np.where(known, CLASSES + 1 + at, tokens.classes)
         out[h == END_HASH] = CLASSES
         return out
 
@@ -178,16 +182,17 @@ def pair_codes(k: int, ctx: np.ndarray, sym: np.ndarray, size: int) -> np.ndarra
     return ctx * np.int64(size) + sym if k < 2 else _mixed(ctx, sym)
 
 
-def _found(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where x stands in a sorted array that is not empty, and whether it is there."""
-    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
-    return at, sorted_[at] == x
+def _found(keys: pd.Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where x stands among distinct keys (-1: nowhere), and whether it is there; by a hash table
+    that the index makes once a task."""
+    at = keys.get_indexer(x)
+    return at, at >= 0
 
 
 def _counted(k: int, ctx: np.ndarray, sym: np.ndarray, size: int):
     """The first places of the distinct (context, next symbol) and how often each occurs."""
-    _, first, n = np.unique(pair_codes(k, ctx, sym, size), return_index=True, return_counts=True)
-    return first, n
+    code, kinds = pd.factorize(pair_codes(k, ctx, sym, size))
+    return _first(code, len(kinds)), np.bincount(code, minlength=len(kinds))
 
 
 def _symbol_batches(alphabet: Alphabet, batches):
@@ -221,11 +226,13 @@ def _gram_batches(alphabet: Alphabet):
 
 def _deeper_batches(alphabet: Alphabet, k: int, states: np.ndarray, often: np.ndarray):
     """(ctx, up, sym, n): the next symbols of contexts of k symbols whose suffix ``up`` is one of
-    the ``states`` (sorted).
+    the ``states``.
 
-    ``often`` (sorted) has the frequent runs of three symbols. A context whose oldest three are
+    ``often`` has the frequent runs of three symbols. A context whose oldest three are
     not among them is not frequent, so it is not counted.
     """
+    often, states = pd.Index(often), pd.Index(states)
+
     def run(batches):
         for sym, starts in _symbol_batches(alphabet, batches):
             every = contexts(sym, starts, alphabet.size, k)
@@ -250,7 +257,9 @@ class Tree:
 
     def __init__(self, base: np.ndarray, states, entries, size: int):
         self.base, self.size = base, size  # probabilities without context
-        self.states, self.entries = states, entries  # per depth: (ctx, n, rest), (code, n)
+        # Per depth: (ctx, n, rest) and (code, n).
+        self.states = [s and (pd.Index(s[0]), *s[1:]) for s in states]
+        self.entries = [e and (pd.Index(e[0]), *e[1:]) for e in entries]
 
     def log10(self, sym: np.ndarray, starts: np.ndarray) -> np.ndarray:
         p = self.base[sym]
@@ -259,12 +268,13 @@ class Tree:
                 continue
             codes, n, rest = self.states[k]
             at, here = _found(codes, ctx)
+            at, here = at[here], np.flatnonzero(here)
             pair, cnt = self.entries[k]
-            own = np.zeros(len(sym))
+            own = np.zeros(len(here))
             if len(pair):
-                e, known = _found(pair, pair_codes(k, ctx, sym, self.size))
-                own = np.where(known, cnt[e], 0)
-            p = np.where(here, (own + (rest[at] + PRIOR) * p) / (n[at] + PRIOR), p)
+                e, known = _found(pair, pair_codes(k, ctx[here], sym[here], self.size))
+                own[known] = cnt[e[known]]
+            p[here] = (own + (rest[at] + PRIOR) * p[here]) / (n[at] + PRIOR)
         return np.log10(p)
 
 
@@ -274,13 +284,13 @@ def _score_chunk(total: int, distinct: int, alphabet: Alphabet, tree: Tree,
 
     def run(key, docs, counts):
         word = counts.column("word").to_numpy()
-        word, first = np.unique(word, return_index=True)
-        c = counts.column("c").to_numpy()[first]
+        code, words = pd.factorize(word)
+        c, words = counts.column("c").to_numpy()[_first(code, len(words))], pd.Index(words)
         out: list[list] = [[], [], [], []]
         for (group,) in _text_groups(docs.column("text")):
             t = Tokens(group)
-            at = np.minimum(np.searchsorted(word, t.hashes), len(word) - 1)
-            n = np.where(word[at] == t.hashes, c[at], 0)
+            at, known = _found(words, t.hashes)
+            n = np.where(known, c[at], 0)
             sym = alphabet.symbols(t)
             inside = np.where(sym < CLASSES, np.log10((n + 1) / in_class[t.classes]), 0.0)
             score = tree.log10(sym, t.starts) + inside
@@ -325,10 +335,10 @@ def _arrays(k: int, states: DataFrame, entries: DataFrame, size: int):
     ctx, totals = s["ctx"].to_numpy(np.int64), s["total"].to_numpy(np.float64)
     of, n = e["ctx"].to_numpy(np.int64), e["n"].to_numpy(np.float64)
     code = pair_codes(k, of, e["sym"].to_numpy(np.int64), size)
-    order = np.argsort(code)
+    code, order = np.unique(code, return_index=True)
     held = np.bincount(np.searchsorted(ctx, of), weights=n, minlength=len(ctx)) if len(
         ctx) else np.zeros(0)
-    return (ctx, totals, totals - held), (code[order], n[order])
+    return (ctx, totals, totals - held), (code, n[order])
 
 
 def fit_tree(train: DataFrame, alphabet: Alphabet, depth: int = DEPTH) -> Tree:
@@ -351,12 +361,12 @@ def fit_tree(train: DataFrame, alphabet: Alphabet, depth: int = DEPTH) -> Tree:
     up = F.when(F.col("depth") == 2, F.col("ctx") % size).otherwise(F.lit(0)).cast("long")
     grams = grams.where(F.col("depth").between(1, depth)).withColumn("up", up)
     kept, entries = _retained(grams, upper, total)
-    often = np.zeros(1, np.int64)
+    often = np.zeros(0, np.int64)
     if depth > 2:  # as many as there may be states of three symbols
         runs = grams.where((F.col("depth") == 2) & (F.col("n") >= least(total, STATES))).select(
             "ctx", "sym").toPandas()
-        often = np.sort(np.r_[often, pair_codes(2, runs["ctx"].to_numpy(np.int64),
-                                                runs["sym"].to_numpy(np.int64), size)])
+        often = np.unique(pair_codes(2, runs["ctx"].to_numpy(np.int64),
+                                     runs["sym"].to_numpy(np.int64), size))
     states, pairs = [None], [None]
     for k in range(1, depth + 1):
         if k > 2:  # one more pass over the texts, for what stands behind the states
