@@ -34,7 +34,8 @@ def set_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
         right.join(left, key, "left_anti").select(key, F.lit("right").alias("side")))
 
 
-def _texts(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
+def texts_of_columns(df: DataFrame, columns: Sequence[str]
+                     ) -> tuple[DataFrame, dict[str, Column]]:
     """The table with its number texts, and one text column per field.
 
     The numbers go through one function over one array: written out per column,
@@ -54,14 +55,14 @@ def sentences(df: DataFrame, labels: Mapping[str, str], mask: Sequence[str] = ()
               row_id: str = "row_id") -> DataFrame:
     """(row_id, text): all labelled columns in label order, masked ones as missing."""
     columns = list(labels)
-    df, values = _texts(mask_columns(df, mask), columns)
+    df, values = texts_of_columns(mask_columns(df, mask), columns)
     return df.select(row_id, passage(labels, values, columns).alias("text"))
 
 
 def passages(df: DataFrame, labels: Mapping[str, str], groups: Sequence[Sequence[str]],
              mask: Sequence[str] = (), keep: Sequence[str] = ("row_id",)) -> DataFrame:
     """(keep.., chunk, text): one passage per field group, each with the prefix."""
-    df, values = _texts(mask_columns(df, mask), [c for g in groups for c in g])
+    df, values = texts_of_columns(mask_columns(df, mask), [c for g in groups for c in g])
     texts = F.array(*[passage(labels, values, g) for g in groups])
     return df.select(*keep, F.posexplode(texts).alias("chunk", "text"))
 
@@ -71,7 +72,7 @@ def field_costs(df: DataFrame, labels: Mapping[str, str], mask: Sequence[str] =
     """(pos, column, cost): the most tokens a field takes in any row under any
     counter, with its joiner. All fields in one pass; nothing is exploded."""
     columns = list(labels)
-    df, values = _texts(mask_columns(df, mask), columns)
+    df, values = texts_of_columns(mask_columns(df, mask), columns)
 
     def cost(c: str) -> Column:
         text = F.concat(field_text(labels[c], values[c]), F.lit(JOIN))
