@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import NO_ID, fold, table, texts, written
+from cohortry.session import settle
 
 FOLDS, HELD = 7, 2
 SYMBOLS, STATES, ENTRIES, POWER = 16, 256, 1024, 0.6
@@ -328,6 +329,18 @@ def _retained(grams: DataFrame, upper: DataFrame, total: float) -> tuple[DataFra
     return states, entries
 
 
+def _of_frequent_pairs(grams: DataFrame, size: int, n: float) -> DataFrame:
+    """``grams`` (depth, ctx, sym, n, ..) without contexts of two symbols that occur less than n
+    times: but for two ends, which stand before a text, such a context is no more frequent than
+    its second symbol is after its first. Later joins and sums then see few rows."""
+    pairs = grams.where((F.col("depth") == 1) & (F.col("n") >= n)).select(
+        (F.col("ctx") * size + F.col("sym")).alias("ctx"))
+    ends = grams.sparkSession.createDataFrame([(CLASSES * size + CLASSES,)], "ctx long")
+    frequent = settle(pairs.unionByName(ends).distinct())
+    return grams.where("depth < 2").unionByName(
+        grams.where("depth = 2").join(frequent, "ctx", "left_semi").select(*grams.columns))
+
+
 def _arrays(k: int, states: DataFrame, entries: DataFrame, size: int):
     """The states and entries of one depth as sorted arrays; see ``Tree``."""
     s = states.where(F.col("depth") == k).select("ctx", "total").toPandas().sort_values("ctx")
@@ -360,6 +373,8 @@ def fit_tree(train: DataFrame, alphabet: Alphabet, depth: int = DEPTH) -> Tree:
         (F.col("n") / F.col("total")).alias("q")), "suffixes")
     up = F.when(F.col("depth") == 2, F.col("ctx") % size).otherwise(F.lit(0)).cast("long")
     grams = grams.where(F.col("depth").between(1, depth)).withColumn("up", up)
+    if depth > 1:
+        grams = _of_frequent_pairs(grams, size, least(total, STATES))
     kept, entries = _retained(grams, upper, total)
     often = np.zeros(0, np.int64)
     if depth > 2:  # as many as there may be states of three symbols
