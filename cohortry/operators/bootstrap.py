@@ -32,106 +32,171 @@ from cohortry.session import pinned
 
 N_DRAWS = 1000
 CI = (0.025, 0.975)
-# Rows of one task's group, and how many (row, draw) weights it holds at once.
+# Rows of one group, and of one task, about.
 RANGE_ROWS = 500_000
-WEIGHTS_AT_ONCE = 4_000_000
+TASK_ROWS = 50_000
+# Weights that numpy holds at once: few enough to stay in a core's cache.
+ROWS_AT_ONCE, DRAWS_AT_ONCE = 64, 1000
 _RANGE, _SALT = "_range", "_salt"
 
 
 # --- the part that runs inside a task -----------------------------------------
 
-def _scramble(x: np.ndarray) -> np.ndarray:
-    x = ((x ^ (x >> 15)) * hashing.MIX_A) % hashing.PRIME
-    x = ((x ^ (x >> 13)) * hashing.MIX_B) % hashing.PRIME
-    return x ^ (x >> 16)
+def _weight_maker(draws: np.ndarray) -> Callable:
+    """A function of (lane0, lane1) of at most ``ROWS_AT_ONCE`` rows that gives rows x draws: how
+    often each row is drawn. It writes into one buffer, so a result lasts until the next call."""
+    prime, short = np.uint64(hashing.PRIME), np.uint32(hashing.PRIME)
+    factor = ((draws * hashing.MIX_C + 1) * hashing.MIX_C % hashing.PRIME).astype(np.uint64)
+    cuts = np.array([c for c in hashing.poisson_cuts() if c <= hashing.PRIME], np.uint32)
+    shape = (ROWS_AT_ONCE, len(draws))
+    buffers = [np.empty(shape, t) for t in (np.uint64, np.uint64, np.uint32, np.uint32, np.uint8,
+                                            np.bool_, np.float32)]
+
+    def make(lane0: np.ndarray, lane1: np.ndarray) -> np.ndarray:
+        wide, high, h, g, w, over, out = (x[:len(lane0)] for x in buffers)
+
+        def remainder():
+            # Below PRIME ** 2, so bits above 31 and the rest add up to less than two primes.
+            np.right_shift(wide, np.uint64(31), out=high)
+            np.bitwise_and(wide, prime, out=wide)
+            np.copyto(h, np.add(wide, high, out=wide), casting="unsafe")
+            np.minimum(h, np.subtract(h, short, out=g), out=h)
+
+        def mix(bits: int):
+            np.bitwise_xor(h, np.right_shift(h, np.uint32(bits), out=g), out=h)
+
+        np.multiply(lane0[:, None], factor, out=wide)
+        np.add(wide, lane1[:, None], out=wide)
+        remainder()
+        for bits, by in ((15, hashing.MIX_A), (13, hashing.MIX_B)):
+            mix(bits)
+            np.multiply(h, np.uint64(by), out=wide)
+            remainder()
+        mix(16)
+        w.fill(0)
+        for cut in cuts:
+            np.add(w, np.greater_equal(h, cut, out=over).view(np.uint8), out=w)
+        np.copyto(out, w)
+        return out
+    return make
 
 
 def draw_weights(lane0: np.ndarray, lane1: np.ndarray, draws: np.ndarray) -> np.ndarray:
     """Rows x draws: how often each row is drawn. Equals the column expressions
     ``draw_hash`` and ``poisson_weight``."""
-    m = (draws * hashing.MIX_C + 1) * hashing.MIX_C % hashing.PRIME
-    h = _scramble((lane0[:, None] * m[None, :] + lane1[:, None]) % hashing.PRIME)
-    return np.searchsorted(np.array(hashing.poisson_cuts()), h, side="right").astype(np.float64)
+    make, lanes = _weight_maker(draws), [x.astype(np.uint64) for x in (lane0, lane1)]
+    out = np.empty((len(lane0), len(draws)))
+    for a in range(0, len(out), ROWS_AT_ONCE):
+        out[a:a + ROWS_AT_ONCE] = make(*(x[a:a + ROWS_AT_ONCE] for x in lanes))
+    return out
 
 
-def _batches(table: pa.Table, n_draws: int):
-    """Per batch of draws: (draws, weights of positives, of all) in falling score order."""
-    col = {c: table.column(c).to_numpy() for c in ("score_raw", "y_true", "_l0", "_l1")}
-    order = np.argsort(-col["score_raw"], kind="stable")
-    s, y = col["score_raw"][order], col["y_true"][order].astype(np.float64)[:, None]
-    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    step = max(1, WEIGHTS_AT_ONCE // len(s))
-    for lo in range(0, n_draws, step):
-        draws = np.arange(lo, min(lo + step, n_draws), dtype=np.int64)
-        w = draw_weights(col["_l0"][order], col["_l1"][order], draws)
-        yield draws, order, starts, w * y, w
-
-
-def _tied_sums(starts, wp, w):
-    """Weighted positives and negatives per distinct score, and running totals."""
-    p = np.add.reduceat(wp, starts, axis=0)
-    n = np.add.reduceat(w, starts, axis=0) - p
-    return p, n, np.cumsum(p, axis=0), np.cumsum(n, axis=0)
+def _lane(table: pa.Table, name: str) -> np.ndarray:
+    if table.column(name).null_count:
+        raise ValueError("a row key is NULL: it has no weights")
+    return table.column(name).to_numpy().astype(np.uint64)
 
 
-def _precision_sum(p, tp, fp, before_p=0.0, before_n=0.0):
-    tp, fp = tp + before_p, fp + before_n
-    return np.divide(p * tp, tp + fp, out=np.zeros_like(p), where=p > 0).sum(axis=0)
+def _sums(table: pa.Table, n_draws: int, flags: Sequence[str] = (), inside: bool = True,
+          before: tuple[np.ndarray, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Sums of a group per draw: weights of positives and negatives, all and flagged; and
+    ``inside`` the order of scores, the area and the precision, with ``before`` ranked above.
 
-
-def _range_sums(n_draws: int, flags: Sequence[str], names: Sequence[str]) -> Callable:
+    Sums of weights are whole numbers, exact as a product of small blocks. Area and precision
+    change at the scores of positives alone, so only there the running sums are looked at.
+    """
+    s, y, l0, l1 = (*(table.column(c).to_numpy() for c in ("score_raw", "y_true")),
+                    *(_lane(table, c) for c in ("_l0", "_l1")))
+    order = np.argsort(-s, kind="stable")
+    s, y, l0, l1 = s[order], y[order].astype(np.float32), l0[order], l1[order]
+    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    ends, n_scores = np.r_[starts[1:], len(s)], len(starts)
+    held = np.add.reduceat(y != 0, starts, dtype=np.int64) > 0
+    starts, ends = starts[held], ends[held]
+    marks = [table.column(f).to_numpy()[order] for f in flags]
+    known = [np.nan_to_num(m) for m in marks]
+    factors = np.stack([np.ones_like(y), y, *[x for m in known for x in (m * y, m * (1 - y))]]
+                       ).astype(np.float32)
+    sums = np.zeros((len(factors), n_draws))
+    area, prec = np.zeros(n_draws), np.zeros(n_draws)
+    above = np.zeros((2, n_draws)) if before is None else np.stack(before)
+    row = np.arange(ROWS_AT_ONCE)
+
+    for lo in range(0, n_draws, DRAWS_AT_ONCE):
+        part = slice(lo, min(lo + DRAWS_AT_ONCE, n_draws))
+        make = _weight_maker(np.arange(part.start, part.stop, dtype=np.int64))
+        run, (above_p, above_n) = sums[:, part], above[:, part]
+        # Positives and negatives above the last score that has begun and not ended.
+        open_p = open_n = np.zeros((0, run.shape[1]))
+        for a in range(0, len(s), ROWS_AT_ONCE):
+            b = min(a + ROWS_AT_ONCE, len(s))
+            w = make(l0[a:b], l1[a:b])
+            begun = starts[slice(*np.searchsorted(starts, (a, b)))] if inside else starts[:0]
+            ended = ends[slice(*np.searchsorted(ends, (a, b), side="right"))] if inside else ends[:0]
+            if len(begun) + len(ended):
+                upto = row[:b - a] < (np.r_[begun, ended] - a)[:, None]
+                tp = run[1] + (upto * y[a:b]) @ w
+                fp = run[0] + upto.astype(np.float32) @ w - tp
+                k, n = len(begun), len(ended)
+                from_p, from_n = np.r_[open_p, tp[:k]], np.r_[open_n, fp[:k]]
+                p, reached, below = tp[k:] - from_p[:n], tp[k:] + above_p, fp[k:] + above_n
+                below += reached
+                prec[part] += np.divide(p * reached, below, out=np.zeros_like(p),
+                                        where=below > 0).sum(axis=0)
+                area[part] -= (p * (fp[k:] + from_n[:n])).sum(axis=0) / 2
+                open_p, open_n = from_p[n:], from_n[n:]
+            run += factors[:, a:b] @ w
+
+    wp, wn = sums[1], sums[0] - sums[1]
+    out = {"draw": np.arange(n_draws, dtype=np.int64), "scores": np.full(n_draws, n_scores),
+           "wp": wp, "wn": wn, "area": area + wp * wn, "prec": prec}
+    for i, m in enumerate(marks):
+        # A rule that the cell does not have flags nothing and gives no number.
+        gap = np.nan if np.isnan(m).any() else 0.0
+        out[f"hit_p{i}"], out[f"hit_n{i}"] = sums[2 * i + 2] + gap, sums[2 * i + 3] + gap
+    return out
+
+
+def _range_sums(n_draws: int, flags: Sequence[str], names: Sequence[str], inside: bool) -> Callable:
     def run(key, table):
-        marks = [table.column(f).to_numpy() for f in flags]
-        out: dict[str, list] = {c: [] for c in names}
-        for draws, order, starts, wp, w in _batches(table, n_draws):
-            p, n, tp, fp = _tied_sums(starts, wp, w)
-            sums = {"draw": draws, "wp": tp[-1], "wn": fp[-1],
-                    "area": (n * (tp - p / 2)).sum(axis=0), "prec": _precision_sum(p, tp, fp)}
-            for i, mark in enumerate(marks):
-                f = mark[order].astype(np.float64)
-                sums[f"hit_p{i}"], sums[f"hit_n{i}"] = f @ wp, f @ (w - wp)
-            for c in names:
-                out[c].append(sums[c] if c in sums else np.full(len(draws), len(starts)))
+        out = _sums(table, n_draws, flags, inside)
         cols = [pa.array([k.as_py()] * n_draws, k.type) for k in key]
-        cols += [pa.array(np.concatenate(out[c])) for c in names]
+        cols += [pa.array(out[c]) for c in names]
         return pa.table(cols, names=[f"k{i}" for i in range(len(key))] + list(names))
     return run
 
 
-def _range_precision(n_draws: int) -> Callable:
+def _range_inside(n_draws: int) -> Callable:
     def run(key, rows, before):
-        names = [f"k{i}" for i in range(len(key))] + ["draw", "prec"]
-        draw_col, prec_col = np.zeros(0, np.int64), np.zeros(0)
+        names = ["draw", "area", "prec"]
+        out = {"draw": np.zeros(0, np.int64), "area": np.zeros(0), "prec": np.zeros(0)}
         if rows.num_rows and before.num_rows:
             at = np.argsort(before.column("draw").to_numpy())
-            bp, bn = (before.column(c).to_numpy()[at] for c in ("before_p", "before_n"))
-            parts = []
-            for draws, _, starts, wp, w in _batches(rows, n_draws):
-                p, _, tp, fp = _tied_sums(starts, wp, w)
-                parts.append(_precision_sum(p, tp, fp, bp[draws], bn[draws]))
-            draw_col, prec_col = np.arange(n_draws, dtype=np.int64), np.concatenate(parts)
-        cols = [pa.array([k.as_py()] * len(draw_col), k.type) for k in key]
-        return pa.table([*cols, pa.array(draw_col), pa.array(prec_col)], names=names)
+            out = _sums(rows, n_draws, before=tuple(
+                before.column(c).to_numpy()[at] for c in ("before_p", "before_n")))
+        cols = [pa.array([k.as_py()] * len(out["draw"]), k.type) for k in key]
+        return pa.table([*cols, *[pa.array(out[c]) for c in names]],
+                        names=[f"k{i}" for i in range(len(key))] + names)
     return run
 
 
 # --- the Spark part -----------------------------------------------------------
 
 def range_plan(df: DataFrame, value: str,
-               range_rows: int = RANGE_ROWS) -> tuple[list[float], dict[int, int]]:
-    """(cut points, {range number: salts}) so that no group exceeds its share.
+               range_rows: int = RANGE_ROWS) -> tuple[list[float], dict[int, int], int]:
+    """(cut points, {range number: salts}, rows) so that no group exceeds its share.
 
     A score that holds several shares by itself gets a range of its own. Ties
     need no order among them, so that range can be salted into smaller groups.
     """
     n = df.count()
     if n <= range_rows:
-        return [], {}
+        return [], {}, n
     cuts = sampled_quantiles(df, value, math.ceil(n / range_rows), n)
     seen = Counter(cuts)
     hot = {c: k for c, k in seen.items() if k > 1}
     points = sorted(set(seen) | {float(np.nextafter(c, math.inf)) for c in hot})
-    return points, {points.index(c) + 1: k + 1 for c, k in hot.items()}
+    return points, {points.index(c) + 1: k + 1 for c, k in hot.items()}, n
 
 
 def draw_sums(pred: DataFrame, n_draws: int = N_DRAWS, flags: Sequence[str] = (),
@@ -148,7 +213,7 @@ def draw_sums(pred: DataFrame, n_draws: int = N_DRAWS, flags: Sequence[str] = ()
     keys = list(keys)
     unit = [*keys, _RANGE, _SALT]
     pred = pred.withColumn("score_raw", known_score(F.col("score_raw")))
-    points, salts = range_plan(pred, "score_raw", range_rows)
+    points, salts, n_rows = range_plan(pred, "score_raw", range_rows)
     lane_key = F.col(row_id)
     if not isinstance(pred.schema[row_id].dataType, T.IntegralType):
         lane_key = F.xxhash64(lane_key)
@@ -161,17 +226,21 @@ def draw_sums(pred: DataFrame, n_draws: int = N_DRAWS, flags: Sequence[str] = ()
     if salts:
         table = F.create_map(*[F.lit(x) for kv in salts.items() for x in kv])
         salt = F.coalesce(F.col("_l0") % F.try_element_at(table, F.col(_RANGE)), salt)
-    rows = in_ranges(laned, "score_raw", points, _RANGE).withColumn(_SALT, salt)
+    # The work is rows times draws, which the bytes of a shuffle do not tell: the number of
+    # tasks is set here, as adaptive execution would merge them into a few.
+    parts = max(pred.sparkSession.sparkContext.defaultParallelism, math.ceil(n_rows / TASK_ROWS))
+    rows = in_ranges(laned, "score_raw", points, _RANGE).withColumn(_SALT, salt).repartition(
+        parts, *unit)
 
     hits = [f"hit_{c}{i}" for i in range(len(flags)) for c in "pn"]
-    names = ["draw", "scores", "wp", "wn", "area", "prec", *hits]
+    names = ["draw", "scores", "wp", "wn", *([] if points else ["area", "prec"]), *hits]
     kinds = {"draw": T.LongType(), "scores": T.LongType()}
     key_fields = [T.StructField(f"k{i}", rows.schema[c].dataType) for i, c in enumerate(unit)]
     schema = T.StructType(key_fields + [
         T.StructField(c, kinds.get(c, T.DoubleType())) for c in names])
     back = {f"k{i}": c for i, c in enumerate(unit)}
     sums = rows.groupBy(*unit).applyInArrow(
-        _range_sums(n_draws, list(flags), names), schema).withColumnsRenamed(back)
+        _range_sums(n_draws, list(flags), names, not points), schema).withColumnsRenamed(back)
     group = [*keys, "draw"]
     hit_sums = [F.sum(F.nanvl(F.col(h), F.lit(None))).alias(h) for h in hits]
     if not points:
@@ -183,22 +252,25 @@ def draw_sums(pred: DataFrame, n_draws: int = N_DRAWS, flags: Sequence[str] = ()
     # Pinned, because three later steps read it: a few numbers per range and draw.
     ranges = pinned(sums.groupBy(*keys, _RANGE, "draw").agg(
         F.max("scores").alias("scores"), F.sum("wp").alias("wp"), F.sum("wn").alias("wn"),
-        F.sum("area").alias("area"), *hit_sums))
+        *hit_sums))
     steps = Window.partitionBy(*group).orderBy(F.desc(_RANGE)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    tied = F.col("scores") == 1
+    tied, zero = F.col("scores") == 1, F.lit(0.0)
     placed = ranges.withColumns({
         "before_p": F.sum("wp").over(steps) - F.col("wp"),
         "before_n": F.sum("wn").over(steps) - F.col("wn"),
-        "area": F.when(tied, F.col("wp") * F.col("wn") / 2).otherwise(F.col("area"))})
+        "area": F.when(tied, F.col("wp") * F.col("wn") / 2).otherwise(zero)})
 
     before = placed.where(~tied).select(
-        *keys, _RANGE, F.lit(0).cast("long").alias(_SALT), "draw", "before_p", "before_n")
-    prec_schema = T.StructType([*key_fields, T.StructField("draw", T.LongType()),
-                                T.StructField("prec", T.DoubleType())])
+        *keys, _RANGE, F.lit(0).cast("long").alias(_SALT), "draw", "before_p", "before_n"
+    ).repartition(parts, *unit)
+    inside_schema = T.StructType([*key_fields, T.StructField("draw", T.LongType()),
+                                  T.StructField("area", T.DoubleType()),
+                                  T.StructField("prec", T.DoubleType())])
     inside = rows.groupBy(*unit).cogroup(before.groupBy(*unit)).applyInArrow(
-        _range_precision(n_draws), prec_schema).withColumnsRenamed(back)
-    inside = inside.groupBy(*group).agg(F.sum("prec").alias("inside"))
+        _range_inside(n_draws), inside_schema).withColumnsRenamed(back)
+    inside = inside.groupBy(*group).agg(
+        F.sum("area").alias("inside_area"), F.sum("prec").alias("inside"))
     reached = F.col("before_p") + F.col("wp")
     tied_prec = F.when(tied & (F.col("wp") > 0), F.col("wp") * reached / (
         reached + F.col("before_n") + F.col("wn")))
@@ -206,10 +278,10 @@ def draw_sums(pred: DataFrame, n_draws: int = N_DRAWS, flags: Sequence[str] = ()
         F.sum("wp").alias("pos"), F.sum("wn").alias("neg"),
         F.sum(F.col("area") + F.col("before_p") * F.col("wn")).alias("rank_sum"),
         F.sum(tied_prec).alias("between"), *[F.sum(h).alias(h) for h in hits])
-    zero = F.lit(0.0)
-    return null_safe_left(cells, inside, group).withColumn(
-        "prec_sum", F.coalesce("inside", zero) + F.coalesce("between", zero)
-    ).drop("inside", "between")
+    return null_safe_left(cells, inside, group).withColumns({
+        "rank_sum": F.col("rank_sum") + F.coalesce("inside_area", zero),
+        "prec_sum": F.coalesce("inside", zero) + F.coalesce("between", zero),
+    }).drop("inside", "inside_area", "between")
 
 
 def _usable() -> Column:

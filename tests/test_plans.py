@@ -62,3 +62,11 @@ def test_bootstrap_repeats_no_row_per_draw(spark, case_path):
         F.col("y").alias("y_true"), F.col("a").alias("score_raw"))
     text = plan(bootstrap.draw_sums(pred, 1000))
     assert "FlatMapGroupsInArrow" in text and "Generate" not in text
+
+
+def test_bootstrap_tasks_follow_rows_and_not_bytes(spark, case_path):
+    pred = spark.read.parquet(case_path).select(
+        "cohort", F.lit("m").alias("model"), F.lit("y").alias("label"), "row_id",
+        F.col("y").alias("y_true"), F.col("a").alias("score_raw"))
+    # Adaptive execution would merge these few bytes, and so all their draws, into one task.
+    assert "REPARTITION_BY_NUM" in plan(bootstrap.draw_sums(pred, 1000))
