@@ -5,6 +5,11 @@ from left to right. Every distinct word of a table is costed once per vocabulary
 so the work grows with the distinct words and not with the texts. All steps are DataFrame
 operations: substrings of words meet the pieces in a join, a fold walks over the longest matches.
 
+Texts are read again for each step instead of being kept or shuffled: the costs of the most
+frequent words, as many as may be broadcast, meet the words of a text where it is read, and what
+leaves the task is a sum per text. Only words rarer than these are shuffled, as word and digest.
+So ``texts`` must give the same rows at each read.
+
 A word is cut after ``WORD_CHARS`` characters, so no word is long, however long a text is.
 """
 
@@ -22,9 +27,11 @@ from pyspark.sql import types as T
 from cohortry.functions.text import JOIN, field_text
 from cohortry.operators.harmonize import mask_columns
 from cohortry.operators.passages import MAX_TOKENS, SPECIAL_TOKENS, texts_of_columns
-from cohortry.session import pinned, settle
+from cohortry.session import BROADCAST_BYTES, pinned, row_bytes, settle
 
 WORD_CHARS = 64
+# Distinct words that one task costs, about.
+TASK_WORDS = 20_000
 # How byte-level files write the space before a word, and others a word's end or inside.
 SPACE_MARK, END_MARK, INNER_MARK = "Ġ", "</w>", "##"
 # White space as both engines see it.
@@ -120,23 +127,53 @@ def word_costs(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return steps.select("word", cost.cast("long").alias("cost"))
 
 
+def _frequent(costs: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """(the words that may be broadcast, the rarer ones) of (word, cost, times)."""
+    size = F.floor(F.log2("times")).alias("size")
+    held = sorted(costs.groupBy(size).agg(F.sum(row_bytes(costs)).alias("bytes")).collect(),
+                  reverse=True)
+    kept = [size for i, (size, _) in enumerate(held) if sum(n for _, n in held[:i + 1]) <= max_bytes]
+    if len(kept) == len(held):
+        return F.broadcast(costs), None
+    least = 2 ** min(kept) if kept else 2 ** (held[0][0] + 1)
+    return F.broadcast(costs.where(F.col("times") >= least)), costs.where(F.col("times") < least)
+
+
+def costed_groups(texts: DataFrame, by: Sequence[str], vocabulary: Vocabulary,
+                  max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(by, n_rows, cost) of groups of equal texts, NULL included: ``by`` tells texts apart.
+
+    Costs of a group's rows are added up, so they are a multiple of what one of them costs.
+    """
+    by = list(by)
+    words = texts.select(*by, F.posexplode_outer(vocabulary.words_of(F.col("text"))).alias("_at", "word"))
+    counted = pinned(words.where("word IS NOT NULL").groupBy("word").agg(F.count(F.lit(1)).alias("times")))
+    # A word meets its pieces in one task; a task holds the spots of its words, so their number
+    # is bounded, which the few bytes of the words would not do.
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, -(-counted.count() // TASK_WORDS))
+    costs = pinned(word_costs(counted.select("word").repartition(tasks, "word"), vocabulary).join(
+        counted, "word"))
+    frequent, rare = _frequent(costs, max_bytes)
+    first = F.coalesce(F.col("_at") == 0, F.lit(True)).cast("long")
+    sums = words.join(frequent, "word", "left").groupBy(*by).agg(
+        F.sum(first).alias("n_rows"), F.coalesce(F.sum("cost"), F.lit(0)).alias("cost"))
+    if rare is not None:
+        left = words.where("word IS NOT NULL").join(frequent, "word", "left_anti")
+        rest = left.join(rare, "word").groupBy(*by).agg(
+            F.lit(0).cast("long").alias("n_rows"), F.sum("cost").alias("cost"))
+        sums = sums.unionByName(rest).groupBy(*by).agg(
+            F.sum("n_rows").alias("n_rows"), F.sum("cost").alias("cost"))
+    return sums.select(*by, "n_rows", F.expr("cost div n_rows").alias("cost"))
+
+
 def text_costs(texts: DataFrame, vocabularies: Sequence[Vocabulary]) -> DataFrame:
     """(text_md5, vocabulary, cost) for each distinct ``text`` of a table; NULL costs nothing.
 
     Texts are told apart by their md5, so no text is carried along with its words.
     """
-    distinct = texts.where("text IS NOT NULL").select("text").distinct().select(
-        F.md5("text").alias("text_md5"), "text")
-
-    def under(v: Vocabulary) -> DataFrame:
-        held = distinct.select("text_md5", F.explode_outer(v.words_of(F.col("text"))).alias("word"))
-        counted = pinned(held.groupBy("text_md5", "word").agg(F.count("word").alias("times")))
-        costs = settle(word_costs(counted.where("word IS NOT NULL").select("word").distinct(), v))
-        return counted.join(costs, "word", "left").groupBy("text_md5").agg(
-            F.coalesce(F.sum(F.col("times") * F.col("cost")), F.lit(0)).alias("cost")).select(
-            "text_md5", F.lit(v.name).alias("vocabulary"), "cost")
-
-    return reduce(DataFrame.unionByName, [under(v) for v in vocabularies])
+    held = texts.where("text IS NOT NULL").select(F.md5("text").alias("text_md5"), "text")
+    return reduce(DataFrame.unionByName, [costed_groups(held, ["text_md5"], v).select(
+        "text_md5", F.lit(v.name).alias("vocabulary"), "cost") for v in vocabularies])
 
 
 def field_costs(df: DataFrame, labels: Mapping[str, str], vocabularies: Sequence[Vocabulary],
@@ -162,11 +199,10 @@ def truncation_audit(chunks: DataFrame, keys: Sequence[str], vocabularies: Seque
                      max_tokens: int = MAX_TOKENS, special: int = SPECIAL_TOKENS) -> DataFrame:
     """(keys, vocabulary, n_chunks, longest, n_over, headroom) of passages in ``text``; a NULL
     text holds the special tokens only."""
-    rows = pinned(chunks.select(*keys, F.md5("text").alias("text_md5"), "text"))
-    counted = rows.groupBy(*keys, "text_md5").agg(F.count(F.lit(1)).alias("n_rows"))
-    each = counted.withColumn("vocabulary", F.explode(F.array(*[F.lit(v.name) for v in vocabularies])))
-    costed = each.join(text_costs(rows, vocabularies), ["text_md5", "vocabulary"], "left").withColumn(
-        "tokens", F.coalesce("cost", F.lit(0)) + special)
+    rows = chunks.select(*keys, F.md5("text").alias("text_md5"), "text")
+    costed = reduce(DataFrame.unionByName, [
+        costed_groups(rows, [*keys, "text_md5"], v).withColumn("vocabulary", F.lit(v.name))
+        for v in vocabularies]).withColumn("tokens", F.col("cost") + special)
     return costed.groupBy(*keys, "vocabulary").agg(
         F.sum("n_rows").alias("n_chunks"), F.max("tokens").alias("longest"),
         F.sum(F.when(F.col("tokens") > max_tokens, F.col("n_rows")).otherwise(0)).alias("n_over"),

@@ -77,3 +77,21 @@ def test_worst_of_two_vocabularies(spark):
     both, one = (tc.field_costs(df, {"a": "a"}, vs).first()["cost"]
                  for vs in ([coarse, fine], [coarse]))
     assert one == 4 and both == 1 + 2 + len("undefined") + 1
+
+
+def test_rare_words_beyond_the_broadcast_cost_the_same(spark):
+    v = tc.inner_vocabulary(spark, "inner", PIECES)
+    rows = [(i % 2, t) for i, t in enumerate([*TEXTS, *TEXTS[1:7], "abc", "abc", "abc"])]
+    df = spark.createDataFrame(rows, "k int, text string").withColumn("m", F.md5("text"))
+    got = [sorted(map(tuple, tc.costed_groups(df, ["k", "m"], v, max_bytes=b).collect()), key=str)
+           for b in (1 << 20, 120, 0)]
+    assert got[0] == got[1] == got[2] and sum(r[2] for r in got[0]) == len(rows)
+
+
+def test_texts_are_not_kept_nor_shuffled(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(tc, "pinned", lambda df: kept.append(df.columns) or df.cache())
+    v = tc.inner_vocabulary(spark, "inner", PIECES)
+    df = spark.createDataFrame([("x", t) for t in TEXTS], "k string, text string")
+    assert tc.truncation_audit(df, ["k"], [v]).first()["n_chunks"] == len(TEXTS)
+    assert kept and not any({"text", "text_md5"} & set(columns) for columns in kept)
