@@ -95,3 +95,14 @@ def test_texts_are_not_kept_nor_shuffled(spark, monkeypatch):
     df = spark.createDataFrame([("x", t) for t in TEXTS], "k string, text string")
     assert tc.truncation_audit(df, ["k"], [v]).first()["n_chunks"] == len(TEXTS)
     assert kept and not any({"text", "text_md5"} & set(columns) for columns in kept)
+
+
+def test_words_of_one_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(tc, "TASK_WORDS", 10)
+    seen, cost = [], tc.word_costs
+    monkeypatch.setattr(tc, "word_costs", lambda words, v: seen.append(
+        words.rdd.getNumPartitions()) or cost(words, v))
+    df = spark.range(200).select(F.concat(F.lit("a"), F.col("id")).alias("text"))
+    # "a" and the ten digits are few; whole words of letters and digits are 200.
+    v = tc.inner_vocabulary(spark, "inner", PIECES, words="[a-z0-9]+")
+    assert tc.text_costs(df, [v]).count() == 200 and seen == [20]
