@@ -70,3 +70,15 @@ def test_bootstrap_tasks_follow_rows_and_not_bytes(spark, case_path):
         F.col("y").alias("y_true"), F.col("a").alias("score_raw"))
     # Adaptive execution would merge these few bytes, and so all their draws, into one task.
     assert "REPARTITION_BY_NUM" in plan(bootstrap.draw_sums(pred, 1000))
+
+
+def test_cells_are_written_side_by_side_and_not_sorted(spark, tmp_path, monkeypatch):
+    name, seen = sinks.OPEN_CELLS[0], []
+    rows = spark.range(400).select(F.nullif(F.col("id") % 40, F.lit(7)).alias("cell"), "id")
+    before, hint = spark.conf.get(name), type(rows).hint
+    monkeypatch.setattr(type(rows), "hint", lambda df, *a: seen.append(spark.conf.get(name)) or hint(df, *a))
+    sinks.write_cells(rows, str(tmp_path / "t"), ["cell"])
+    assert int(seen[0]) > 0 and spark.conf.get(name) == before
+    got = {r["cell"]: r["n"] for r in sinks.read_cells(spark, str(tmp_path / "t")).groupBy("cell").agg(
+        F.count("id").alias("n")).collect()}
+    assert got == {(None if c == 7 else c): 10 for c in range(40)}
