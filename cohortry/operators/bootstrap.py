@@ -28,7 +28,7 @@ from cohortry.functions.rates import RATE_METRICS, rates
 from cohortry.operators.joins import null_safe_join, null_safe_left
 from cohortry.operators.prefix import in_ranges, sampled_quantiles
 from cohortry.operators.ranking import CELL, known_score
-from cohortry.session import pinned
+from cohortry.session import pinned, settle
 
 N_DRAWS = 1000
 CI = (0.025, 0.975)
@@ -37,57 +37,78 @@ RANGE_ROWS = 500_000
 TASK_ROWS = 50_000
 # Weights that numpy holds at once: few enough to stay in a core's cache.
 ROWS_AT_ONCE, DRAWS_AT_ONCE = 64, 1000
-_RANGE, _SALT = "_range", "_salt"
+# Weights up to this one are counted for all rows, the few above are looked up.
+COMMON = 5
+# Runs of draws that share their products; eight, so that weights can be looked at by eights.
+RUNS = 8
+_CELL, _RANGE, _SALT, _UNIT = "_cell", "_range", "_salt", "_unit"
 
 
 # --- the part that runs inside a task -----------------------------------------
 
-def _weight_maker(draws: np.ndarray) -> Callable:
+def _weight_maker(first: int, n_draws: int) -> Callable:
     """A function of (lane0, lane1) of at most ``ROWS_AT_ONCE`` rows that gives rows x draws: how
-    often each row is drawn. It writes into one buffer, so a result lasts until the next call."""
+    often each row is drawn in the draws from ``first`` on. It writes into one buffer, so a result
+    lasts until the next call."""
     prime, short = np.uint64(hashing.PRIME), np.uint32(hashing.PRIME)
-    factor = ((draws * hashing.MIX_C + 1) * hashing.MIX_C % hashing.PRIME).astype(np.uint64)
+    # A draw's first hash is that of an earlier one and a product of the row and the distance: a
+    # run of draws is made by products, the others are sums with one product for a run.
+    run = math.ceil(n_draws / RUNS)
+
+    def factors(of) -> np.ndarray:
+        return np.array([x % hashing.PRIME for x in of], np.uint64)
+
+    in_run = factors((d * hashing.MIX_C + 1) * hashing.MIX_C for d in range(first, first + run))
+    to_run = factors(i * run * hashing.MIX_C ** 2 for i in range(RUNS))
     cuts = np.array([c for c in hashing.poisson_cuts() if c <= hashing.PRIME], np.uint32)
-    shape = (ROWS_AT_ONCE, len(draws))
-    buffers = [np.empty(shape, t) for t in (np.uint64, np.uint64, np.uint32, np.uint32, np.uint8,
-                                            np.bool_, np.float32)]
+    shape = (ROWS_AT_ONCE, RUNS * run)
+    buffers = [np.empty(shape, t) for t in (np.uint64, np.uint32, np.uint32, np.uint8, np.bool_)]
 
     def make(lane0: np.ndarray, lane1: np.ndarray) -> np.ndarray:
-        wide, high, h, g, w, over, out = (x[:len(lane0)] for x in buffers)
+        wide, h, g, w, over = (x[:len(lane0)] for x in buffers)
 
-        def remainder():
-            # Below PRIME ** 2, so bits above 31 and the rest add up to less than two primes.
-            np.right_shift(wide, np.uint64(31), out=high)
-            np.bitwise_and(wide, prime, out=wide)
-            np.copyto(h, np.add(wide, high, out=wide), casting="unsafe")
+        def below_prime():
+            # For less than two primes: the difference wraps around where h is below one.
             np.minimum(h, np.subtract(h, short, out=g), out=h)
 
         def mix(bits: int):
             np.bitwise_xor(h, np.right_shift(h, np.uint32(bits), out=g), out=h)
 
-        np.multiply(lane0[:, None], factor, out=wide)
-        np.add(wide, lane1[:, None], out=wide)
-        remainder()
+        start = (lane0[:, None] * in_run + lane1[:, None]) % prime
+        steps = lane0[:, None] * to_run % prime
+        np.add(start.astype(np.uint32)[:, None, :], steps.astype(np.uint32)[:, :, None],
+               out=h.reshape(len(h), RUNS, run))
+        below_prime()
         for bits, by in ((15, hashing.MIX_A), (13, hashing.MIX_B)):
             mix(bits)
-            np.multiply(h, np.uint64(by), out=wide)
-            remainder()
+            np.copyto(wide, h)
+            np.multiply(wide, np.uint64(by), out=wide)
+            # Below PRIME ** 2, so bits above 31 and the rest add up to less than two primes.
+            np.copyto(h, wide, casting="unsafe")
+            np.copyto(g, np.right_shift(wide, np.uint64(31), out=wide), casting="unsafe")
+            np.add(np.bitwise_and(h, short, out=h), g, out=h)
+            below_prime()
         mix(16)
         w.fill(0)
-        for cut in cuts:
+        for cut in cuts[:COMMON]:
             np.add(w, np.greater_equal(h, cut, out=over).view(np.uint8), out=w)
+        np.greater_equal(h, cuts[COMMON], out=over)
+        rare = np.flatnonzero(over.reshape(-1).view(np.uint64))  # eight at once: few have one
+        w.reshape(-1, 8)[rare] = np.searchsorted(cuts, h.reshape(-1, 8)[rare], side="right")
+        out = g.view(np.float32)
         np.copyto(out, w)
-        return out
+        return out[:, :n_draws]
     return make
 
 
 def draw_weights(lane0: np.ndarray, lane1: np.ndarray, draws: np.ndarray) -> np.ndarray:
     """Rows x draws: how often each row is drawn. Equals the column expressions
     ``draw_hash`` and ``poisson_weight``."""
-    make, lanes = _weight_maker(draws), [x.astype(np.uint64) for x in (lane0, lane1)]
+    first, lanes = int(min(draws)), [x.astype(np.uint64) for x in (lane0, lane1)]
+    make = _weight_maker(first, int(max(draws)) + 1 - first)
     out = np.empty((len(lane0), len(draws)))
     for a in range(0, len(out), ROWS_AT_ONCE):
-        out[a:a + ROWS_AT_ONCE] = make(*(x[a:a + ROWS_AT_ONCE] for x in lanes))
+        out[a:a + ROWS_AT_ONCE] = make(*(x[a:a + ROWS_AT_ONCE] for x in lanes))[:, draws - first]
     return out
 
 
@@ -124,7 +145,7 @@ def _sums(table: pa.Table, n_draws: int, flags: Sequence[str] = (), inside: bool
 
     for lo in range(0, n_draws, DRAWS_AT_ONCE):
         part = slice(lo, min(lo + DRAWS_AT_ONCE, n_draws))
-        make = _weight_maker(np.arange(part.start, part.stop, dtype=np.int64))
+        make = _weight_maker(part.start, part.stop - part.start)
         run, (above_p, above_n) = sums[:, part], above[:, part]
         # Positives and negatives above the last score that has begun and not ended.
         open_p = open_n = np.zeros((0, run.shape[1]))
@@ -160,9 +181,7 @@ def _sums(table: pa.Table, n_draws: int, flags: Sequence[str] = (), inside: bool
 def _range_sums(n_draws: int, flags: Sequence[str], names: Sequence[str], inside: bool) -> Callable:
     def run(key, table):
         out = _sums(table, n_draws, flags, inside)
-        cols = [pa.array([k.as_py()] * n_draws, k.type) for k in key]
-        cols += [pa.array(out[c]) for c in names]
-        return pa.table(cols, names=[f"k{i}" for i in range(len(key))] + list(names))
+        return pa.table({_UNIT: np.full(n_draws, key[0].as_py()), **{c: out[c] for c in names}})
     return run
 
 
@@ -174,22 +193,30 @@ def _range_inside(n_draws: int) -> Callable:
             at = np.argsort(before.column("draw").to_numpy())
             out = _sums(rows, n_draws, before=tuple(
                 before.column(c).to_numpy()[at] for c in ("before_p", "before_n")))
-        cols = [pa.array([k.as_py()] * len(out["draw"]), k.type) for k in key]
-        return pa.table([*cols, *[pa.array(out[c]) for c in names]],
-                        names=[f"k{i}" for i in range(len(key))] + names)
+        return pa.table({_UNIT: np.full(len(out["draw"]), key[0].as_py()),
+                         **{c: out[c] for c in names}})
     return run
 
 
 # --- the Spark part -----------------------------------------------------------
 
-def range_plan(df: DataFrame, value: str,
-               range_rows: int = RANGE_ROWS) -> tuple[list[float], dict[int, int], int]:
+def numbered_cells(pred: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    """(keys, _cell) with a number for each cell, and the rows of all cells. Rows are dealt and
+    sorted by one number then, in place of texts that are equal for whole groups."""
+    sizes = pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.orderBy(*(keys or [F.lit(0)]))  # one row per cell
+    cells = settle(sizes.withColumn(_CELL, F.row_number().over(order).cast("long")))
+    return cells.drop("_n"), cells.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+
+
+def range_plan(df: DataFrame, value: str, range_rows: int = RANGE_ROWS,
+               n: int | None = None) -> tuple[list[float], dict[int, int], int]:
     """(cut points, {range number: salts}, rows) so that no group exceeds its share.
 
     A score that holds several shares by itself gets a range of its own. Ties
     need no order among them, so that range can be salted into smaller groups.
     """
-    n = df.count()
+    n = df.count() if n is None else n
     if n <= range_rows:
         return [], {}, n
     cuts = sampled_quantiles(df, value, math.ceil(n / range_rows), n)
@@ -211,14 +238,14 @@ def draw_sums(pred: DataFrame, n_draws: int = N_DRAWS, flags: Sequence[str] = ()
     0/1 columns in ``flags`` mark the rows that a fixed rule flags.
     """
     keys = list(keys)
-    unit = [*keys, _RANGE, _SALT]
     pred = pred.withColumn("score_raw", known_score(F.col("score_raw")))
-    points, salts, n_rows = range_plan(pred, "score_raw", range_rows)
+    cells, n_rows = numbered_cells(pred, keys)
+    points, salts, n_rows = range_plan(pred, "score_raw", range_rows, n_rows)
     lane_key = F.col(row_id)
     if not isinstance(pred.schema[row_id].dataType, T.IntegralType):
         lane_key = F.xxhash64(lane_key)
-    laned = pred.select(
-        *keys, "score_raw",
+    laned = _with_cell(pred, cells, keys).select(
+        _CELL, "score_raw",
         F.col("y_true").cast("int").alias("y_true"), *[F.col(f).cast("double").alias(f) for f in flags],
         hashing.row_lane(lane_key, 0).alias("_l0"),
         hashing.row_lane(lane_key, 1).alias("_l1"))
@@ -229,28 +256,32 @@ def draw_sums(pred: DataFrame, n_draws: int = N_DRAWS, flags: Sequence[str] = ()
     # The work is rows times draws, which the bytes of a shuffle do not tell: the number of
     # tasks is set here, as adaptive execution would merge them into a few.
     parts = max(pred.sparkSession.sparkContext.defaultParallelism, math.ceil(n_rows / TASK_ROWS))
-    rows = in_ranges(laned, "score_raw", points, _RANGE).withColumn(_SALT, salt).repartition(
-        parts, *unit)
+    ranges_, salts_ = len(points) + 1, max(salts.values(), default=1)
+    unit = ((F.col(_CELL) * ranges_ + F.col(_RANGE)) * salts_ + F.col(_SALT)).alias(_UNIT)
+    own = {_CELL: F.expr(f"{_UNIT} div {ranges_ * salts_}"),
+           _RANGE: F.expr(f"{_UNIT} div {salts_} % {ranges_}")}
+    rows = in_ranges(laned, "score_raw", points, _RANGE).withColumn(_SALT, salt).select(
+        unit, "score_raw", "y_true", *flags, "_l0", "_l1").repartition(parts, _UNIT)
 
     hits = [f"hit_{c}{i}" for i in range(len(flags)) for c in "pn"]
     names = ["draw", "scores", "wp", "wn", *([] if points else ["area", "prec"]), *hits]
     kinds = {"draw": T.LongType(), "scores": T.LongType()}
-    key_fields = [T.StructField(f"k{i}", rows.schema[c].dataType) for i, c in enumerate(unit)]
-    schema = T.StructType(key_fields + [
+    schema = T.StructType([T.StructField(_UNIT, T.LongType())] + [
         T.StructField(c, kinds.get(c, T.DoubleType())) for c in names])
-    back = {f"k{i}": c for i, c in enumerate(unit)}
-    sums = rows.groupBy(*unit).applyInArrow(
-        _range_sums(n_draws, list(flags), names, not points), schema).withColumnsRenamed(back)
-    group = [*keys, "draw"]
+    sums = rows.groupBy(_UNIT).applyInArrow(
+        _range_sums(n_draws, list(flags), names, not points), schema).withColumns(own).drop(_UNIT)
+    group = [_CELL, "draw"]
     hit_sums = [F.sum(F.nanvl(F.col(h), F.lit(None))).alias(h) for h in hits]
+    made = ["draw", "pos", "neg", "rank_sum", "prec_sum", *hits]
     if not points:
-        return sums.groupBy(*group).agg(
+        out = sums.groupBy(*group).agg(
             F.sum("wp").alias("pos"), F.sum("wn").alias("neg"), F.sum("area").alias("rank_sum"),
             F.sum("prec").alias("prec_sum"), *hit_sums)
+        return out.join(cells, _CELL).select(*keys, *made)
 
     # Salts of a tied range merge by adding up; its own area is half the product.
     # Pinned, because three later steps read it: a few numbers per range and draw.
-    ranges = pinned(sums.groupBy(*keys, _RANGE, "draw").agg(
+    ranges = pinned(sums.groupBy(_CELL, _RANGE, "draw").agg(
         F.max("scores").alias("scores"), F.sum("wp").alias("wp"), F.sum("wn").alias("wn"),
         *hit_sums))
     steps = Window.partitionBy(*group).orderBy(F.desc(_RANGE)).rowsBetween(
@@ -261,27 +292,28 @@ def draw_sums(pred: DataFrame, n_draws: int = N_DRAWS, flags: Sequence[str] = ()
         "before_n": F.sum("wn").over(steps) - F.col("wn"),
         "area": F.when(tied, F.col("wp") * F.col("wn") / 2).otherwise(zero)})
 
-    before = placed.where(~tied).select(
-        *keys, _RANGE, F.lit(0).cast("long").alias(_SALT), "draw", "before_p", "before_n"
-    ).repartition(parts, *unit)
-    inside_schema = T.StructType([*key_fields, T.StructField("draw", T.LongType()),
-                                  T.StructField("area", T.DoubleType()),
-                                  T.StructField("prec", T.DoubleType())])
-    inside = rows.groupBy(*unit).cogroup(before.groupBy(*unit)).applyInArrow(
-        _range_inside(n_draws), inside_schema).withColumnsRenamed(back)
+    before = placed.where(~tied).withColumn(_SALT, F.lit(0).cast("long")).select(
+        unit, "draw", "before_p", "before_n").repartition(parts, _UNIT)
+    inside = rows.groupBy(_UNIT).cogroup(before.groupBy(_UNIT)).applyInArrow(
+        _range_inside(n_draws), f"{_UNIT} long, draw long, area double, prec double"
+    ).withColumns(own)
     inside = inside.groupBy(*group).agg(
         F.sum("area").alias("inside_area"), F.sum("prec").alias("inside"))
     reached = F.col("before_p") + F.col("wp")
     tied_prec = F.when(tied & (F.col("wp") > 0), F.col("wp") * reached / (
         reached + F.col("before_n") + F.col("wn")))
-    cells = placed.groupBy(*group).agg(
+    totals = placed.groupBy(*group).agg(
         F.sum("wp").alias("pos"), F.sum("wn").alias("neg"),
         F.sum(F.col("area") + F.col("before_p") * F.col("wn")).alias("rank_sum"),
         F.sum(tied_prec).alias("between"), *[F.sum(h).alias(h) for h in hits])
-    return null_safe_left(cells, inside, group).withColumns({
+    return totals.join(inside, group, "left").withColumns({
         "rank_sum": F.col("rank_sum") + F.coalesce("inside_area", zero),
         "prec_sum": F.coalesce("inside", zero) + F.coalesce("between", zero),
-    }).drop("inside", "inside_area", "between")
+    }).join(cells, _CELL).select(*keys, *made)
+
+
+def _with_cell(pred: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return null_safe_join(pred, cells, keys) if keys else pred.crossJoin(cells)
 
 
 def _usable() -> Column:
