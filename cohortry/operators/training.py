@@ -288,12 +288,16 @@ def run_grid(df: DataFrame, tests: DataFrame, models: Sequence[str], labels: Seq
     For each cell it writes the model with its state, the split, and the predictions for the
     validation rows and for ``tests`` (tables ``val`` and ``test`` of ``path``). The metadata
     row comes last: it is what marks a cell as finished. The loop runs over the grid, a few
-    cells; every step of a cell is a job.
+    cells; every step of a cell is a job. Both tables are pinned first: each step reads them, and
+    would make them, with what their joins broadcast through the driver, anew.
     """
     spark = df.sparkSession
     trained = []
-    for model, label in unfinished(models, labels, finished(spark, path)).orderBy(
-            "label", "model").collect():
+    left = unfinished(models, labels, finished(spark, path)).orderBy("label", "model").collect()
+    if left:
+        read = list(dict.fromkeys(["cohort", row_id, *labels, *columns]))
+        df, tests = (pinned(rows.select(*read)) for rows in (df, tests))
+    for model, label in left:
         done = train(df, model, label, columns, row_id=row_id, **(options or {}).get(model, {}))
         done.cell.save(f"{path}/cells/{model}/{label}")
         sinks.write_cells(done.split.withColumn("model", F.lit(model)), f"{path}/split",
