@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.functions.text import number_text, value_text
+from cohortry.functions.text import WORD, number_text, value_text, word_count
 from cohortry.operators import audit, harmonize, passages, split, training, vectors
 from cohortry.session import settle
 from cohortry.sources import fields, sinks, tables
@@ -267,3 +267,22 @@ def test_work_tables_are_removed(spark):
         spark.read.parquet(path)
     with pytest.raises(ValueError):
         session.remove_work(spark, "/elsewhere/data")
+
+
+def test_words_are_counted_as_the_expression_finds_them(spark):
+    rng = random.Random(3)
+    signs = "ab Z9 \t\n\x0b\f\r.,-_\x00\x1c\x85\xa0é日𝄞 "
+    texts = [None, "", " ", "a", "a", "b-", "12 ab,", None, *[
+        "".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(500)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(3)
+    counted = df.withColumns({"n": word_count(F.col("t")), "m": F.regexp_count("t", F.lit(WORD))})
+    assert all(r.n == r.m for r in counted.collect()) and counted.schema["n"].dataType == T.IntegerType()
+    # Each match as a text of its own took most of the time of an audit.
+    audit_plan = passages.truncation_audit(df.withColumnRenamed("t", "text"), ["i"])
+    shown = audit_plan._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in shown and "ArrowEvalPython" in shown
+    # Texts longer than what is looked at together, and a maximum of several fields.
+    long = spark.range(3).select(F.repeat(F.lit("ab, "), 400_000).alias("a"), F.lit("x.y").alias("b"))
+    assert [r.n for r in long.select(word_count(F.col("a")).alias("n")).collect()] == [800_000] * 3
+    costs = passages.field_costs(long.select("b"), {"b": "Field"}).first()
+    assert costs.cost == len(["Field", "is", "x", ".", "y", ","])
