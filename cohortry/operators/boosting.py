@@ -5,10 +5,14 @@ bins are MLlib's. Trees are fitted in blocks. The margins of the fit rows and of
 rows are columns that are pinned after each block, so no plan holds more trees than a block, and
 no row is scored twice by a tree. After a block, the average precision of its stages comes from
 one table; no further block is fitted once ``patience`` stages have brought no gain.
+
+A tree cannot tell rows with equal features apart. Where there are few kinds of rows, those of a
+kind become a few rows that weigh as much before the first tree, so that trees do not read every row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import GBTClassificationModel
@@ -22,6 +26,10 @@ from cohortry.session import pinned
 
 BLOCK = 10
 HASH_RANGE = 1 << 30
+# Rows of a kind, at least, for which merging them is worth a shuffle.
+ALIKE = 4
+# Rows of a partition of merged rows, and partitions at least: the layout follows from the rows.
+MERGED_ROWS, MERGED_PARTITIONS = 250_000, 8
 
 
 def ensemble(trees: Sequence[DecisionTreeRegressionModel],
@@ -106,6 +114,27 @@ def nominal_sizes(rows: DataFrame) -> list[int]:
     return [a.get("num_vals") or len(a.get("vals", [])) for a in attrs.get("nominal", [])]
 
 
+def few_kinds(rows: DataFrame, columns: Sequence[str], shares: int = 1) -> bool:
+    """Whether these columns, vectors included, repeat often enough to merge rows into ``shares``
+    rows of each kind. A count that may err: it decides how rows are read, never a result."""
+    got = rows.agg(F.count(F.lit(1)).alias("n"),
+                   F.approx_count_distinct(F.xxhash64(*columns)).alias("kinds")).first()
+    return got["kinds"] * shares * ALIKE <= got["n"]
+
+
+def merged_fit_rows(rows: DataFrame, row_id: str, shares: int) -> DataFrame:
+    """(row_id, sign, weight, features) with rows of equal sign, weight and features as up to
+    ``shares`` rows that weigh as much together. MLlib wants at least as many rows as a feature
+    has levels, therefore the shares. The sums do not depend on the order of rows."""
+    share = F.pmod(F.xxhash64(row_id), F.lit(shares)).alias("_share")
+    out = rows.groupBy("sign", F.col("weight").alias("_each"), "features", share).agg(
+        F.min(row_id).alias(row_id), (F.first("weight") * F.count(F.lit(1))).alias("weight")
+    ).select(row_id, "sign", "weight", "features")
+    out = pinned(out)
+    parts = max(MERGED_PARTITIONS, math.ceil(out.count() / MERGED_ROWS))
+    return out.repartition(parts, row_id).sortWithinPartitions(row_id, "sign", "weight")
+
+
 def fit(rows: DataFrame, val: DataFrame, *, maxIter: int, stepSize: float, seed: int, patience: int,
         subsamplingRate: float = 1.0, row_id: str = "row_id", block: int = BLOCK,
         **tree_params) -> tuple[GBTClassificationModel, dict[int, float]]:
@@ -114,11 +143,19 @@ def fit(rows: DataFrame, val: DataFrame, *, maxIter: int, stepSize: float, seed:
     ``rows`` (row_id, y_true, weight, features), ``val`` (y_true, features). The first tree is
     fitted to the signs of the outcome, later ones to the gradient of the log-loss and with the
     step size. ``patience`` counts stages; up to ``block - 1`` trees past the stop are fitted.
+    Fit rows stay apart where trees sample or count them, or where few are alike.
     """
     sign = (2 * F.col("y_true") - 1).cast("double")
-    own = pinned(rows.select(row_id, sign.alias("sign"), "weight", "features",
-                             F.lit(0.0).alias("margin")))
-    seen = pinned(val.select("y_true", "features", F.lit(0.0).alias("margin")))
+    own = rows.select(row_id, sign.alias("sign"), "weight", "features")
+    shares = max([1, *nominal_sizes(rows)])
+    apart = subsamplingRate < 1 or tree_params.get("minInstancesPerNode", 1) > 1
+    if not apart and few_kinds(own, ["sign", "weight", "features"], shares):
+        own = merged_fit_rows(own, row_id, shares)
+    own = pinned(own.withColumn("margin", F.lit(0.0)))
+    seen = val.select("y_true", "features", F.lit(1).cast("long").alias("stands_for"))
+    if few_kinds(seen, ["y_true", "features"]):
+        seen = seen.groupBy("y_true", "features").agg(F.sum("stands_for").alias("stands_for"))
+    seen = pinned(seen.withColumn("margin", F.lit(0.0)))
     bins = max([32, tree_params.pop("maxBins", 32), *nominal_sizes(rows)])
     gradient = 4 * F.col("sign") / (1 + F.exp(2 * F.col("sign") * F.col("margin")))
     trees, weights, values = [], [], {}
@@ -134,8 +171,9 @@ def fit(rows: DataFrame, val: DataFrame, *, maxIter: int, stepSize: float, seed:
                 numTrees=1, bootstrap=False, subsamplingRate=1.0, seed=seed + i, labelCol="target",
                 weightCol="weight", maxBins=bins, cacheNodeIds=False, **tree_params).fit(here)
             fresh.append(fitted.trees[0])
-        stages = block_margins(fresh, steps, seen, ["y_true"], lo)
-        values |= {r["stage"]: r["auprc"] for r in discrimination(stages, ["stage"]).collect()}
+        stages = block_margins(fresh, steps, seen, ["y_true", "stands_for"], lo)
+        values |= {r["stage"]: r["auprc"] for r in discrimination(
+            stages, ["stage"], weight=F.col("stands_for")).collect()}
         trees, weights = trees + fresh, weights + steps
         if len(trees) - 1 - best_stage(values, patience) >= patience or len(trees) >= maxIter:
             break

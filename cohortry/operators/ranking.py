@@ -40,27 +40,29 @@ def score_counts(pred: DataFrame, keys: Sequence[str] = CELL, y: str = "y_true",
 def cumulative(pred: DataFrame, keys: Sequence[str] = CELL, y: str = "y_true",
                score: str = "score_raw", range_rows: int = RANGE_ROWS,
                following: Sequence[str] = (), totals: bool = True,
-               points: Sequence[float] | None = None) -> DataFrame:
-    """(cell, score, p, n, tp, fp, pos, neg): counts at or above each score."""
+               points: Sequence[float] | None = None, weight: Column | None = None) -> DataFrame:
+    """(cell, score, p, n, tp, fp, pos, neg): counts at or above each score. ``weight`` says how
+    many rows a row stands for."""
     pred = pred.withColumn(score, known_score(F.col(score)))
-    counts = score_counts(pred, keys, y, score)
+    counts = score_counts(pred, keys, y, score, weight)
     if points is None:
         points = split_points(pred, score, range_rows)
-    one = F.col(y).cast("long")
+    one, w = F.col(y).cast("long"), F.lit(1) if weight is None else weight
     cum = running_totals(counts, keys, "score", {"p": F.col("p"), "n": F.col("n")},
                          descending=True, points=points, following=following, totals=totals,
-                         source=(pred, score, {"p": one, "n": 1 - one}))
+                         source=(pred, score, {"p": one * w, "n": (1 - one) * w}))
     return cum.withColumnsRenamed(
         {"cum_p": "tp", "cum_n": "fp", "tot_p": "pos", "tot_n": "neg"})
 
 
 def discrimination(pred: DataFrame, keys: Sequence[str] = CELL, y: str = "y_true",
-                   score: str = "score_raw", range_rows: int = RANGE_ROWS) -> DataFrame:
+                   score: str = "score_raw", range_rows: int = RANGE_ROWS,
+                   weight: Column | None = None) -> DataFrame:
     """(cell, n_rows, n_pos, n_neg, prevalence, auroc, auprc).
 
     The two areas are NULL where a cell has only one class.
     """
-    cum = cumulative(pred, keys, y, score, range_rows, totals=False)
+    cum = cumulative(pred, keys, y, score, range_rows, totals=False, weight=weight)
     p, n, tp, fp = (F.col(c) for c in ("p", "n", "tp", "fp"))
     # Ties count half in the first sum; the second is the step sum, not the trapezoid.
     sums = cum.groupBy(*keys).agg(

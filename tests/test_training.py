@@ -140,3 +140,32 @@ def test_positions_run_through_a_folder(spark, tmp_path):
     got = tables.with_row_position(spark, path)
     assert got.columns == ["k", "row_id"]
     assert all(r.k == r.row_id for r in got.collect()) and got.count() == 1000
+
+
+def test_rows_alike_are_merged_without_changing_a_fit(spark, monkeypatch):
+    rows = case_rows(spark).withColumns({"a": (F.col("a") > 2).cast("int"), "b": F.col("row_id") % 3})
+    x = training.assemble(rows, ["a", "b"], ["row_id", "y"], {"b": 40}).withColumnRenamed("y", "y_true")
+    weighted = training.with_class_weight(x, balanced=False)
+    read, plain = [], boosting.with_margin
+    monkeypatch.setattr(boosting, "with_margin",
+                        lambda r, t, w: read.append(r.count()) or plain(r, t, w))
+    options = dict(patience=9, maxIter=4, stepSize=0.3, seed=3, maxDepth=2, maxBins=64,
+                   featureSubsetStrategy="all")
+    def scores(model):
+        each = x.dropDuplicates(["features"])
+        return {str(r.features): round(r.probability[1], 9) for r in model.transform(each).collect()}
+    # Rows of 12 kinds: a fit read all 600 for every tree, and in every stage.
+    monkeypatch.setattr(boosting, "ALIKE", 1)
+    model, values = boosting.fit(weighted, x, **options)
+    assert 40 <= max(read) < 600 and len(values) == 4
+    monkeypatch.setattr(boosting, "ALIKE", 1 << 40)
+    read.clear()
+    apart, apart_values = boosting.fit(weighted, x, **options)
+    assert set(read) == {600} and scores(model) == scores(apart)
+    assert values == pytest.approx(apart_values)
+    # Trees that sample or count rows get each of them.
+    monkeypatch.setattr(boosting, "ALIKE", 1)
+    for more in ({"subsamplingRate": 0.5}, {"minInstancesPerNode": 2}):
+        read.clear()
+        boosting.fit(weighted, x, **{**options, "maxIter": 2, **more})
+        assert set(read) == {600}
