@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.rates import log_loss, squared_error
-from cohortry.operators.prefix import RANGE_ROWS, running_totals, split_points
+from cohortry.operators.prefix import RANGE_ROWS, Dealt, running_totals, split_points
 from cohortry.session import pinned
 
 CELL = ["cohort", "model", "label"]
@@ -44,9 +44,14 @@ def cumulative(pred: DataFrame, keys: Sequence[str] = CELL, y: str = "y_true",
     """(cell, score, p, n, tp, fp, pos, neg): counts at or above each score. ``weight`` says how
     many rows a row stands for."""
     pred = pred.withColumn(score, known_score(F.col(score)))
-    counts = score_counts(pred, keys, y, score, weight)
     if points is None:
         points = split_points(pred, score, range_rows)
+    # A task merges ties in a table of its scores: files of many rows are dealt again, so that it
+    # holds about a range of them, however large the files are.
+    ranges = points.parts if isinstance(points, Dealt) else len(points) + 1
+    many = ranges > pred.sparkSession.sparkContext.defaultParallelism
+    dealt = pred.repartition(ranges) if many else pred
+    counts = score_counts(dealt, keys, y, score, weight)
     one, w = F.col(y).cast("long"), F.lit(1) if weight is None else weight
     cum = running_totals(counts, keys, "score", {"p": F.col("p"), "n": F.col("n")},
                          descending=True, points=points, following=following, totals=totals,

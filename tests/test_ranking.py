@@ -197,3 +197,14 @@ def test_one_class_draws_leave_the_interval(spark):
     ci = bootstrap.intervals(bootstrap.long_draws(draws, CELL, ["auroc"]), [*CELL, "metric"])
     used = draws.where("auroc IS NOT NULL").count()
     assert 0 < used < 50 and ci.first().n_boot_valid == used
+
+
+def test_no_task_counts_the_scores_of_a_large_file(spark):
+    rows = spark.range(0, 3000, 1, 1).select(
+        F.lit("a").alias("cohort"), (F.col("id") % 3 == 0).cast("int").alias("y_true"),
+        (F.col("id") * 7 % 2999 / 2999).alias("score_raw"))
+    shown = [ranking.cumulative(rows, ["cohort"], range_rows=n)._jdf.queryExecution().executedPlan()
+             .toString() for n in (100, 10**6)]
+    assert "RoundRobinPartitioning(" in shown[0] and "RoundRobinPartitioning(" not in shown[1]
+    got = [sorted(ranking.cumulative(rows, ["cohort"], range_rows=n).collect()) for n in (100, 10**6)]
+    assert got[0] == got[1] and len(got[0]) == 2999
