@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortry.functions import hashing
 from cohortry.operators import boosting, forest, prep, training
 from cohortry.sources import tables
 from cohortry.streaming.apply import case_stream, read_scores, score_stream
@@ -96,6 +97,25 @@ def test_a_forest_does_not_depend_on_partitions(spark, bootstrap):
     assert len({r.drawn for r in weights if r.y_true == 1}) == (5 if bootstrap else 1) or bootstrap
 
 
+def test_draws_of_all_trees_are_made_once(spark, monkeypatch):
+    rows = training.assemble(case_rows(spark), ["a"], ["row_id", "y"]).withColumnRenamed("y", "y_true")
+    unnamed = rows.withColumn("row_id", F.when(F.col("row_id") % 5 != 0, F.col("row_id")))
+    both = forest.with_lanes(unnamed).select(
+        forest.all_draws(7)("_l0", "_l1").alias("got"),
+        F.array(*[forest.draws(F.lit(t)) for t in range(7)]).alias("want")).collect()
+    assert both and all(list(r.got) == list(r.want) for r in both)
+
+    read = []
+
+    class Spy(forest.RandomForestClassifier):
+        def fit(self, here):
+            read.append(here._jdf.queryExecution().optimizedPlan().toString())
+            return super().fit(here)
+    monkeypatch.setattr(forest, "RandomForestClassifier", Spy)
+    forest.fit(rows, numTrees=3, seed=1, maxDepth=2)
+    assert len(read) == 3 and not any(str(hashing.MIX_A) in plan for plan in read)
+
+
 def test_a_forest_needs_both_classes(spark):
     rows = training.assemble(case_rows(spark), ["a"], ["row_id", "y"]).withColumn("y_true", F.lit(1))
     with pytest.raises(ValueError, match="both classes"):
