@@ -6,9 +6,11 @@ talking, and models scored on the same rows get the same draws. The size of a
 draw varies around n, unlike a draw of exactly n rows; that is the usual form
 for distributed data and gives the same spread for large n.
 
-Rows are never repeated per draw. They are spread once by (cell, score range);
+Rows are never repeated per draw. They are spread by (cell, score range);
 inside a range the weights of all draws are made and summed with numpy, and only
-a few sums per range and draw leave the task. Spark adds the ranges up.
+a few sums per range and draw leave the task. Spark adds the ranges up. Where there
+is more than one range, the sums above a range are made first, with the rows spread
+by key: the weights of a key are made once for all its cells.
 """
 
 from __future__ import annotations
@@ -39,6 +41,11 @@ TASK_ROWS = 50_000
 ROWS_AT_ONCE, DRAWS_AT_ONCE = 64, 1000
 # Weights up to this one are counted for all rows, the few above are looked up.
 COMMON = 5
+# Sums of the rows of a key are kept up to this many bytes in a task; and up to this many rows of
+# a group, as whole numbers in 32-bit floats are exact to 2 ** 24 and a weight is at most 12.
+SUM_BYTES, SUM_ROWS = 128 << 20, 1_000_000
+# Tasks a core that sum the rows of keys.
+KEY_TASKS = 2
 # Runs of draws that share their products; eight, so that weights can be looked at by eights.
 RUNS = 8
 _CELL, _RANGE, _SALT, _UNIT = "_cell", "_range", "_salt", "_unit"
@@ -52,7 +59,8 @@ def _weight_maker(first: int, n_draws: int) -> Callable:
     lasts until the next call."""
     prime, short = np.uint64(hashing.PRIME), np.uint32(hashing.PRIME)
     # A draw's first hash is that of an earlier one and a product of the row and the distance: a
-    # run of draws is made by products, the others are sums with one product for a run.
+    # run of draws is made by products, the others are sums with one product for a run. Numbers
+    # below PRIME are widened with their sign, which is never set: that takes half the time.
     run = math.ceil(n_draws / RUNS)
 
     def factors(of) -> np.ndarray:
@@ -62,7 +70,7 @@ def _weight_maker(first: int, n_draws: int) -> Callable:
     to_run = factors(i * run * hashing.MIX_C ** 2 for i in range(RUNS))
     cuts = np.array([c for c in hashing.poisson_cuts() if c <= hashing.PRIME], np.uint32)
     shape = (ROWS_AT_ONCE, RUNS * run)
-    buffers = [np.empty(shape, t) for t in (np.uint64, np.uint32, np.uint32, np.uint8, np.bool_)]
+    buffers = [np.empty(shape, t) for t in (np.int64, np.uint32, np.uint32, np.uint8, np.bool_)]
 
     def make(lane0: np.ndarray, lane1: np.ndarray) -> np.ndarray:
         wide, h, g, w, over = (x[:len(lane0)] for x in buffers)
@@ -81,11 +89,12 @@ def _weight_maker(first: int, n_draws: int) -> Callable:
         below_prime()
         for bits, by in ((15, hashing.MIX_A), (13, hashing.MIX_B)):
             mix(bits)
-            np.copyto(wide, h)
-            np.multiply(wide, np.uint64(by), out=wide)
+            np.copyto(wide, h.view(np.int32))
+            np.multiply(wide, np.int64(by), out=wide)
             # Below PRIME ** 2, so bits above 31 and the rest add up to less than two primes.
-            np.copyto(h, wide, casting="unsafe")
-            np.copyto(g, np.right_shift(wide, np.uint64(31), out=wide), casting="unsafe")
+            np.multiply(h, np.uint32(by), out=h)
+            np.copyto(g.view(np.int32), np.right_shift(wide, np.int64(31), out=wide),
+                      casting="unsafe")
             np.add(np.bitwise_and(h, short, out=h), g, out=h)
             below_prime()
         mix(16)
@@ -93,7 +102,7 @@ def _weight_maker(first: int, n_draws: int) -> Callable:
         for cut in cuts[:COMMON]:
             np.add(w, np.greater_equal(h, cut, out=over).view(np.uint8), out=w)
         np.greater_equal(h, cuts[COMMON], out=over)
-        rare = np.flatnonzero(over.reshape(-1).view(np.uint64))  # eight at once: few have one
+        rare = np.flatnonzero(over.reshape(-1).view(np.uint64) != 0)  # eight at once: few have one
         w.reshape(-1, 8)[rare] = np.searchsorted(cuts, h.reshape(-1, 8)[rare], side="right")
         out = g.view(np.float32)
         np.copyto(out, w)
@@ -118,10 +127,10 @@ def _lane(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy().astype(np.uint64)
 
 
-def _sums(table: pa.Table, n_draws: int, flags: Sequence[str] = (), inside: bool = True,
+def _sums(table: pa.Table, n_draws: int, flags: Sequence[str] = (),
           before: tuple[np.ndarray, np.ndarray] | None = None) -> dict[str, np.ndarray]:
-    """Sums of a group per draw: weights of positives and negatives, all and flagged; and
-    ``inside`` the order of scores, the area and the precision, with ``before`` ranked above.
+    """Sums of a group per draw: weights of positives and negatives, all and flagged, the area
+    and the precision, with ``before`` ranked above.
 
     Sums of weights are whole numbers, exact as a product of small blocks. Area and precision
     change at the scores of positives alone, so only there the running sums are looked at.
@@ -131,7 +140,7 @@ def _sums(table: pa.Table, n_draws: int, flags: Sequence[str] = (), inside: bool
     order = np.argsort(-s, kind="stable")
     s, y, l0, l1 = s[order], y[order].astype(np.float32), l0[order], l1[order]
     starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    ends, n_scores = np.r_[starts[1:], len(s)], len(starts)
+    ends = np.r_[starts[1:], len(s)]
     held = np.add.reduceat(y != 0, starts, dtype=np.int64) > 0
     starts, ends = starts[held], ends[held]
     marks = [table.column(f).to_numpy()[order] for f in flags]
@@ -152,8 +161,8 @@ def _sums(table: pa.Table, n_draws: int, flags: Sequence[str] = (), inside: bool
         for a in range(0, len(s), ROWS_AT_ONCE):
             b = min(a + ROWS_AT_ONCE, len(s))
             w = make(l0[a:b], l1[a:b])
-            begun = starts[slice(*np.searchsorted(starts, (a, b)))] if inside else starts[:0]
-            ended = ends[slice(*np.searchsorted(ends, (a, b), side="right"))] if inside else ends[:0]
+            begun = starts[slice(*np.searchsorted(starts, (a, b)))]
+            ended = ends[slice(*np.searchsorted(ends, (a, b), side="right"))]
             if len(begun) + len(ended):
                 upto = row[:b - a] < (np.r_[begun, ended] - a)[:, None]
                 tp = run[1] + (upto * y[a:b]) @ w
@@ -169,8 +178,7 @@ def _sums(table: pa.Table, n_draws: int, flags: Sequence[str] = (), inside: bool
             run += factors[:, a:b] @ w
 
     wp, wn = sums[1], sums[0] - sums[1]
-    out = {"draw": np.arange(n_draws, dtype=np.int64), "scores": np.full(n_draws, n_scores),
-           "wp": wp, "wn": wn, "area": area + wp * wn, "prec": prec}
+    out = {"draw": np.arange(n_draws, dtype=np.int64), "wp": wp, "wn": wn, "area": area + wp * wn, "prec": prec}
     for i, m in enumerate(marks):
         # A rule that the cell does not have flags nothing and gives no number.
         gap = np.nan if np.isnan(m).any() else 0.0
@@ -178,13 +186,89 @@ def _sums(table: pa.Table, n_draws: int, flags: Sequence[str] = (), inside: bool
     return out
 
 
-def _range_sums(n_draws: int, flags: Sequence[str], names: Sequence[str], inside: bool) -> Callable:
+def _range_sums(n_draws: int, flags: Sequence[str], names: Sequence[str]) -> Callable:
     def run(key, table):
-        out = _sums(table, n_draws, flags, inside)
+        out = _sums(table, n_draws, flags)
         return pa.table({_UNIT: np.full(n_draws, key[0].as_py()), **{c: out[c] for c in names}})
     return run
 
 
+def _key_sums(n_draws: int, flags: Sequence[str]) -> Callable:
+    """Sums of the rows of a task per unit and draw, and the lowest and highest score of a unit.
+
+    Rows come in the order of their keys. The weights of a key are made once, and added to the sums
+    of every unit that has one of its rows. A unit leaves when its sums may grow beyond what they
+    hold exactly, and all do when they take too many bytes: so one may leave in parts.
+    """
+    n_sums = 2 + 2 * len(flags)
+    parts = [slice(lo, min(lo + DRAWS_AT_ONCE, n_draws)) for lo in range(0, n_draws, DRAWS_AT_ONCE)]
+    draws = np.arange(n_draws, dtype=np.int64)
+    most = max(1, SUM_BYTES // (4 * n_sums * n_draws))
+
+    def run(batches):
+        makers = [_weight_maker(x.start, x.stop - x.start) for x in parts]
+        held: dict[int, tuple[np.ndarray, list]] = {}
+
+        def leave(unit: int) -> pa.RecordBatch:
+            sums, (lo, hi, _, gaps) = held.pop(unit)
+            total, wp, *hits = sums.astype(np.float64)
+            for i in gaps:  # a rule that the cell does not have gives no number
+                hits[2 * i][:] = hits[2 * i + 1][:] = np.nan
+            return pa.RecordBatch.from_pydict({
+                _UNIT: np.full(n_draws, unit), "draw": draws, "lo": np.full(n_draws, lo),
+                "hi": np.full(n_draws, hi), "wp": wp, "wn": total - wp,
+                **{f"hit_{'pn'[j % 2]}{j // 2}": x for j, x in enumerate(hits)}})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            unit, s, y = (table.column(c).to_numpy() for c in (_UNIT, "score_raw", "y_true"))
+            lanes = [_lane(table, c) for c in ("_l0", "_l1")]
+            marks = [table.column(f).to_numpy() for f in flags]
+            known = [np.nan_to_num(m) for m in marks]
+            factors = [np.ones(len(y)), y, *[x for m in known for x in (m * y, m * (1 - y))]]
+            units, of, times = np.unique(unit, return_inverse=True, return_counts=True)
+            new = np.r_[True, (lanes[0][1:] != lanes[0][:-1]) | (lanes[1][1:] != lanes[1][:-1])]
+            first, row = np.flatnonzero(new), np.cumsum(new) - 1
+            full = [u for u, k in zip(units.tolist(), times.tolist())
+                    if u in held and held[u][1][2] + k > SUM_ROWS]
+            if len(held) + len(units) > max(most, len(units)):
+                full = list(held)
+            yield from map(leave, full)
+            lows, highs = np.full(len(units), np.inf), np.full(len(units), -np.inf)
+            np.minimum.at(lows, of, s)
+            np.maximum.at(highs, of, s)
+            gaps = [set(of[np.isnan(m)].tolist()) for m in marks]
+            for j, u in enumerate(units.tolist()):
+                if u not in held:
+                    held[u] = (np.zeros((n_sums, n_draws), np.float32),
+                               [math.inf, -math.inf, 0, set()])
+                about = held[u][1]
+                about[:3] = min(about[0], lows[j]), max(about[1], highs[j]), about[2] + int(times[j])
+                about[3].update(i for i, g in enumerate(gaps) if j in g)
+            sums = [held[u][0] for u in units.tolist()]
+            # Per factor the rows that it does not leave out, and where each block of keys begins.
+            blocks = range(0, len(first), ROWS_AT_ONCE)
+            bounds = np.r_[first[::ROWS_AT_ONCE], len(row)]
+            terms = []
+            for f in factors:
+                at = np.flatnonzero(f)
+                terms.append((of[at].tolist(), (row[at] % ROWS_AT_ONCE).tolist(), f[at].tolist(),
+                              np.searchsorted(at, bounds).tolist()))
+            for x, make in zip(parts, makers):
+                views = [[m[k, x] for m in sums] for k in range(n_sums)]
+                for b, lo in enumerate(blocks):
+                    keys = first[lo:lo + ROWS_AT_ONCE]
+                    w = list(make(lanes[0][keys], lanes[1][keys]))
+                    for view, (into, rows, by, cut) in zip(views, terms):
+                        part = slice(cut[b], cut[b + 1])
+                        for u, r, c in zip(into[part], rows[part], by[part]):
+                            np.add(view[u], w[r] if c == 1 else w[r] * np.float32(c), out=view[u])
+        yield from map(leave, list(held))
+    return run
+
+
 def _range_inside(n_draws: int) -> Callable:
     def run(key, rows, before):
         names = ["draw", "area", "prec"]
@@ -264,29 +348,38 @@ def draw_sums(pred: DataFrame, n_draws: int = N_DRAWS, flags: Sequence[str] = ()
         unit, "score_raw", "y_true", *flags, "_l0", "_l1").repartition(parts, _UNIT)
 
     hits = [f"hit_{c}{i}" for i in range(len(flags)) for c in "pn"]
-    names = ["draw", "scores", "wp", "wn", *([] if points else ["area", "prec"]), *hits]
-    kinds = {"draw": T.LongType(), "scores": T.LongType()}
-    schema = T.StructType([T.StructField(_UNIT, T.LongType())] + [
-        T.StructField(c, kinds.get(c, T.DoubleType())) for c in names])
-    sums = rows.groupBy(_UNIT).applyInArrow(
-        _range_sums(n_draws, list(flags), names, not points), schema).withColumns(own).drop(_UNIT)
+
+    def schema(names: Sequence[str]) -> T.StructType:
+        return T.StructType([T.StructField(c, T.LongType()) for c in (_UNIT, "draw")] + [
+            T.StructField(c, T.DoubleType()) for c in names])
+
     group = [_CELL, "draw"]
-    hit_sums = [F.sum(F.nanvl(F.col(h), F.lit(None))).alias(h) for h in hits]
     made = ["draw", "pos", "neg", "rank_sum", "prec_sum", *hits]
     if not points:
+        names = ["wp", "wn", "area", "prec", *hits]
+        sums = rows.groupBy(_UNIT).applyInArrow(
+            _range_sums(n_draws, list(flags), ["draw", *names]), schema(names)).withColumns(own)
+        hit_sums = [F.sum(F.nanvl(F.col(h), F.lit(None))).alias(h) for h in hits]
         out = sums.groupBy(*group).agg(
             F.sum("wp").alias("pos"), F.sum("wn").alias("neg"), F.sum("area").alias("rank_sum"),
             F.sum("prec").alias("prec_sum"), *hit_sums)
         return out.join(cells, _CELL).select(*keys, *made)
 
-    # Salts of a tied range merge by adding up; its own area is half the product.
+    # The sums of a task are units times draws, however few rows it has: tasks are as many as keep
+    # the cores at work. A unit that lacks a rule for some rows has no number for it.
     # Pinned, because three later steps read it: a few numbers per range and draw.
+    keyed = in_ranges(laned, "score_raw", points, _RANGE).withColumn(
+        _SALT, F.lit(0).cast("long")).select(unit, "score_raw", "y_true", *flags, "_l0", "_l1")
+    tasks = KEY_TASKS * pred.sparkSession.sparkContext.defaultParallelism
+    sums = keyed.repartition(tasks, "_l0", "_l1").sortWithinPartitions("_l0", "_l1").mapInArrow(
+        _key_sums(n_draws, list(flags)), schema(["lo", "hi", "wp", "wn", *hits])).withColumns(own)
     ranges = pinned(sums.groupBy(_CELL, _RANGE, "draw").agg(
-        F.max("scores").alias("scores"), F.sum("wp").alias("wp"), F.sum("wn").alias("wn"),
-        *hit_sums))
+        (F.min("lo") == F.max("hi")).alias("tied"), F.sum("wp").alias("wp"),
+        F.sum("wn").alias("wn"), *[F.nanvl(F.sum(h), F.lit(None)).alias(h) for h in hits]))
     steps = Window.partitionBy(*group).orderBy(F.desc(_RANGE)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    tied, zero = F.col("scores") == 1, F.lit(0.0)
+    # The own area of a tied range is half the product.
+    tied, zero = F.col("tied"), F.lit(0.0)
     placed = ranges.withColumns({
         "before_p": F.sum("wp").over(steps) - F.col("wp"),
         "before_n": F.sum("wn").over(steps) - F.col("wn"),
