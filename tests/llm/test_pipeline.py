@@ -79,4 +79,4 @@ def test_entry_has_all_text_queries():
     import __spark_entry__ as e
     names = set(e.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {
-        f"op{i}" for i in range(1, 11)}
+        f"op{i}" for i in range(1, 14)}
