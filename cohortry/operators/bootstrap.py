@@ -43,7 +43,7 @@ ROWS_AT_ONCE, DRAWS_AT_ONCE = 64, 1000
 COMMON = 5
 # Sums of the rows of a key are kept up to this many bytes in a task; and up to this many rows of
 # a group, as whole numbers in 32-bit floats are exact to 2 ** 24 and a weight is at most 12.
-SUM_BYTES, SUM_ROWS = 128 << 20, 1_000_000
+SUM_BYTES, SUM_ROWS = 512 << 20, 1_000_000
 # Tasks a core that sum the rows of keys.
 KEY_TASKS = 2
 # Runs of draws that share their products; eight, so that weights can be looked at by eights.
@@ -233,7 +233,7 @@ def _key_sums(n_draws: int, flags: Sequence[str]) -> Callable:
             first, row = np.flatnonzero(new), np.cumsum(new) - 1
             full = [u for u, k in zip(units.tolist(), times.tolist())
                     if u in held and held[u][1][2] + k > SUM_ROWS]
-            if len(held) + len(units) > max(most, len(units)):
+            if held and len(held.keys() | set(units.tolist())) > most:
                 full = list(held)
             yield from map(leave, full)
             lows, highs = np.full(len(units), np.inf), np.full(len(units), -np.inf)

@@ -65,6 +65,9 @@ def test_weights_of_a_key_are_made_once_for_all_its_cells(monkeypatch):
         assert (r.wp, r.wn) == ((w[:, d] * y)[at].sum(), (w[:, d] * (1 - y))[at].sum())
         hits = [(w[:, d] * flag * x)[at].sum() for x in (y, 1 - y)]
         assert [r.hit_p0, r.hit_n0] == hits or u == 2 and np.isnan([r.hit_p0, r.hit_n0]).all()
+    with monkeypatch.context() as m:  # units that a batch has again take no more room
+        m.setattr(bootstrap, "SUM_BYTES", cells * 4 * 4 * 5)
+        assert len(list(bootstrap._key_sums(5, ["f"])(iter(batches)))) == cells
     for limit, value in (("SUM_ROWS", 20), ("SUM_BYTES", 1)):  # sums that leave in parts
         with monkeypatch.context() as m:
             m.setattr(bootstrap, limit, value)
